@@ -60,8 +60,9 @@ class ChatMarkers:
 class TokenSpec:
     """Lengths and padding of encoded rows, and the tokens with a fixed id.
 
-    ``reserved`` take the ids 0, 1, 2, ... of a vocabulary counted from a corpus.
-    A ``pad_token`` of None means that the end-of-turn token pads.
+    ``special`` and then ``roles`` take the ids 0, 1, 2, ... of a vocabulary counted from
+    a corpus; only ``special`` is left out of decoded text. A ``pad_token`` of None means
+    that the end-of-turn token pads.
     """
 
     data_max_length: int = 2048
@@ -70,9 +71,14 @@ class TokenSpec:
     pad_token: str | None = "<|pad|>"
     unk_token: str = "<|unk|>"
     eos_token: str = "<|im_end|>"
-    reserved: tuple[str, ...] = ("<|pad|>", "<|unk|>", "<|im_start|>", "<|im_end|>")
+    special: tuple[str, ...] = ("<|pad|>", "<|unk|>", "<|im_start|>", "<|im_end|>")
+    roles: tuple[str, ...] = ("system", "user", "assistant")
     ignore_index: int = -100
 
+    @property
+    def reserved(self) -> tuple[str, ...]:
+        return self.special + self.roles
+
     @property
     def pad(self) -> str:
         return self.eos_token if self.pad_token is None else self.pad_token

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 # The 29 characters that Python's str.strip() removes.
 PYTHON_WHITESPACE = (
-    "\u0009\u000a\u000b\u000c\u000d\u001c\u001d\u001e\u001f \u0085  "
-    "           "
-    "    　"
+    "\u0009\u000a\u000b\u000c\u000d\u001c\u001d\u001e\u001f\u0020"
+    "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 # Hangul syllables, Jamo, compatibility Jamo.
-HANGUL = "가-힣ᄀ-ᇿ㄰-㆏"
+HANGUL = "\uac00-\ud7a3\u1100-\u11ff\u3130-\u318f"
 
 MISSING = "_"
 

@@ -73,18 +73,22 @@ def find_pattern(ids: Column, pattern: Sequence[int]) -> Column:
     """All 0-based starts of ``pattern`` in ``ids``, overlaps included."""
     if not pattern:
         raise ValueError("the pattern to find is empty")
-    last = F.size(ids) - F.lit(len(pattern))
 
-    def matches(i: Column) -> Column:
-        hit = F.get(ids, i) == F.lit(pattern[0])
-        for offset, token in enumerate(pattern[1:], start=1):
-            hit = hit & (F.get(ids, i + F.lit(offset)) == F.lit(token))
-        return hit
+    def search(items: Column) -> Column:
+        last = F.size(items) - F.lit(len(pattern))
 
-    # sequence() counts downwards when its end is below its start
-    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), matches)).otherwise(
-        F.array().cast(EMPTY_INTS)
-    )
+        def matches(i: Column) -> Column:
+            hit = F.get(items, i) == F.lit(pattern[0])
+            for offset, token in enumerate(pattern[1:], start=1):
+                hit = hit & (F.get(items, i + F.lit(offset)) == F.lit(token))
+            return hit
+
+        # sequence() counts downwards when its end is below its start
+        return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), matches)).otherwise(
+            F.array().cast(EMPTY_INTS)
+        )
+
+    return _let(ids, search)
 
 
 def _label_spans(

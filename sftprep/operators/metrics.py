@@ -65,11 +65,9 @@ def epoch_metrics(
     weight: str = "batch_size",
 ) -> DataFrame:
     """Mean of each logged metric over steps and devices, weighted by batch size."""
-    return df.groupBy(*by).agg(
-        (F.sum(F.col(value) * F.col(weight)) / F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))).alias(
-            value
-        )
-    )
+    weights = F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))
+    mean = F.try_divide(F.sum(F.col(value) * F.col(weight)), weights)
+    return df.groupBy(*by).agg(mean.alias(value))
 
 
 def best_trial(

@@ -41,7 +41,7 @@ def _bounds(ranked: DataFrame, names: Sequence[str], rows: int, buckets: int) ->
     keys = F.sort_array(F.collect_set(F.struct(*names)))
     every = F.greatest(F.lit(1), F.ceil(F.size("keys") / F.lit(buckets)))
     cuts = F.filter("keys", lambda _, i: (i > 0) & (i % every == 0))
-    found = sample.agg(keys.alias("keys")).select(F.transform(cuts, F.to_json).alias("cuts"))
+    found = sample.agg(keys.alias("keys")).select(F.transform(cuts, lambda key: F.to_json(key)).alias("cuts"))
     return found.first().cuts
 
 

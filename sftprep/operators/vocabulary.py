@@ -164,15 +164,15 @@ class Vocabulary:
 
     @functools.cached_property
     def unk_id(self) -> int:
-        known = token_ids(self.table, [self.unk])
-        if self.unk not in known:
-            raise ValueError(f"the vocabulary lacks its unknown token {self.unk!r}")
-        return known[self.unk]
+        return self.ids([self.unk])[0]
 
     def ids(self, tokens: Sequence[str]) -> list[int]:
-        """Ids of a handful of tokens, on the driver."""
+        """Ids of a handful of tokens such as markers; all of them must be in the table."""
         known = token_ids(self.table, tokens)
-        return [known[t] if t in known else self.unk_id for t in tokens]
+        missing = [t for t in tokens if t not in known]
+        if missing:
+            raise ValueError(f"the vocabulary lacks {missing}")
+        return [known[t] for t in tokens]
 
     def encode(self, df: DataFrame, key: str, tokens: str, out: str) -> DataFrame:
         """Add the id array ``out`` of the token array ``tokens``; truncate it before."""

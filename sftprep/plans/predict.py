@@ -41,7 +41,7 @@ def predict(
 ) -> DataFrame:
     """``index, <target>, device_num, batch_idx``: cleaned text of the new tokens."""
     target = recipe.names.target
-    special = [encoder.literal_ids(token)[0] for token in recipe.tokens.reserved]
+    special = [encoder.literal_ids(token)[0] for token in recipe.tokens.special]
     place = ["pos", "device_num", "batch_idx"]
     prompts = prepared.select(*place, "encoded.input_ids", "encoded.attention_mask")
     length = F.lit(recipe.tokens.data_max_length)
