@@ -177,7 +177,7 @@ dealt AS (
   SELECT n + i, input FROM base, size, range({DEVICES - 1}) r(i)
   WHERE pos = n - 1 AND i < ({DEVICES} - n % {DEVICES}) % {DEVICES}),
 shards AS (
-  SELECT pos AS index, translate(upper(input), {NL} || chr(13), '  ') AS response,
+  SELECT pos AS index, translate('Re: ' || input, {NL} || chr(13), '  ') AS response,
     (pos % {DEVICES})::INT AS device_num, pos // {DEVICES * BATCH} AS batch_idx
   FROM dealt)"""
 

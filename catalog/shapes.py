@@ -138,7 +138,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     dealt = assign_batches(pad_tail(base, rows, DEVICES), DEVICES, BATCH)
     shards = dealt.select(
         F.col("pos").alias("index"),
-        clean_generation(F.upper("input")).alias("response"),
+        clean_generation(F.concat(F.lit("Re: "), "input")).alias("response"),
         "device_num",
         "batch_idx",
     )

@@ -25,9 +25,7 @@ def relative_logprobs(df: DataFrame) -> DataFrame:
 
 def pair_sums(df: DataFrame, beta: float) -> DataFrame:
     """Add the struct ``sums`` (see ``preference_sums``) of each row."""
-    return relative_logprobs(df).withColumn(
-        "sums", preference_sums(F.col("relative_chosen"), F.col("relative_rejected"), beta)
-    )
+    return df.withColumn("sums", preference_sums(*map(F.col, POLICY_AND_REFERENCE), beta))
 
 
 def preference_means() -> dict[str, Column]:

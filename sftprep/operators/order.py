@@ -45,20 +45,24 @@ def _bounds(ranked: DataFrame, names: Sequence[str], rows: int, buckets: int) ->
     return found.first().cuts
 
 
-def _bucket_of(key: Column, bounds: list[str], key_type: T.StructType) -> Column:
-    """Number of bounds at or below ``key``: a binary search in a literal array."""
+def _bucket_of(names: Sequence[str], bounds: list[str], key_type: T.StructType) -> Column:
+    """Number of bounds at or below the key: a binary search in a literal array."""
     if not bounds:
         return F.lit(0)
     table = F.from_json(F.lit("[" + ",".join(bounds) + "]"), T.ArrayType(key_type))
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
 
-    def descend(found: Column, step: Column) -> Column:
-        reached = (found + step <= F.lit(len(bounds))) & (
-            F.get(table, found + step - F.lit(1)) <= key
-        )
-        return F.when(reached, found + step).otherwise(found)
+    def search(table: Column, key: Column) -> Column:
+        def descend(last: Column, step: Column) -> Column:
+            # get() beyond the table is null, which is not below any key
+            return F.when(F.get(table, last + step) <= key, last + step).otherwise(last)
+
+        return F.aggregate(steps, F.lit(-1), descend, lambda last: last + F.lit(1))
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), descend)
+    if len(names) == 1:
+        return search(table[names[0]], F.col(names[0]))
+    # bound once, or every step would build the struct again
+    return F.get(F.transform(F.array(F.struct(*names)), lambda key: search(table, key)), F.lit(0))
 
 
 def index_rows(
@@ -82,7 +86,7 @@ def index_rows(
     bounds = _bounds(only_keys, names, rows, buckets) if buckets > 1 else []
     key_type = T.StructType([T.StructField(n, ranked.schema[n].dataType) for n in names])
     key = F.struct(*names)
-    bucket = _bucket_of(key, bounds, key_type)
+    bucket = _bucket_of(names, bounds, key_type)
 
     sizes = dict(only_keys.groupBy(bucket.alias("bucket")).count().collect()) if bounds else {}
     first, offsets = 0, []
