@@ -17,7 +17,6 @@ from sftprep.operators.generation import GenerationOptions, generate
 from sftprep.plans import predict as predict_plan
 from sftprep.plans import prepare, report
 from sftprep.plans import vocabulary as vocabulary_plan
-from sftprep.plans.encoding import TableEncoder
 from sftprep.sources import readers, writers
 from sftprep.storage import shared_path
 
@@ -29,7 +28,8 @@ BLANKS = "　 \t"
 
 
 def joined(items: Column | str, sep: str = " ") -> Column:
-    return F.array_join(F.col(items).cast("array<string>") if isinstance(items, str) else items.cast("array<string>"), sep)
+    column = F.col(items) if isinstance(items, str) else items
+    return F.array_join(column.cast("array<string>"), sep)
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,9 +181,7 @@ def project_turns(spark, sf_dir):
         ),
     )
     kept = turns.select("conv_id", "turn", chat.project_turns(F.col("messages")).alias("m"))
-    return kept.select(
-        "conv_id", "turn", F.inline("m")
-    )
+    return kept.select("conv_id", "turn", F.inline("m"))
 
 
 def drop_last_turn(spark, sf_dir):
@@ -314,36 +312,26 @@ def tokenize(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(cut).alias("size"), joined(cut, "␟").alias("tokens"))
 
 
-def _document_ids(spark, sf_dir, length=None) -> tuple[DataFrame, TableEncoder]:
-    """Ids of the documents, and the encoder that made them."""
-    encoder = shapes.encoder(spark, sf_dir)
-    df = docs(spark, sf_dir).select("doc_id", "text")
-    if length:
-        return encoder.encode(df, "doc_id", "text", "ids", length).drop("text"), encoder
-    cut = df.select("doc_id", tokens.tokenize(F.col("text")).alias("tokens"))
-    return encoder.vocabulary.encode(cut, "doc_id", "tokens", "ids").drop("tokens"), encoder
+def _turn_tokens(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("turn_key"),
+        tokens.tokenize(F.col("text")).alias("tokens"),
+    )
 
 
 def lookup_ids(spark, sf_dir):
     """Conversation turns by the vocabulary of the documents, so some tokens are unknown."""
-    encoder = shapes.encoder(spark, sf_dir)
-    turns = table(spark, sf_dir, "conversations").select(
-        F.concat_ws("-", "conv_id", "turn").alias("turn_key"),
-        tokens.tokenize(F.col("text")).alias("tokens"),
-    )
-    ids = encoder.vocabulary.encode(turns, "turn_key", "tokens", "ids")
+    table_ids = shapes.encoder(spark, sf_dir).vocabulary
+    ids = table_ids.encode(_turn_tokens(spark, sf_dir), "turn_key", "tokens", "ids")
     return ids.select("turn_key", joined("ids").alias("ids"))
 
 
 def lookup_ids_by_join(spark, sf_dir):
     """The same with a head of 1,024 tokens shipped and the rest joined."""
-    encoder = shapes.encoder(spark, sf_dir)
-    small = vocabulary.Vocabulary(encoder.vocabulary.table, TOKENS.unk_token, max_tokens=1024)
-    turns = table(spark, sf_dir, "conversations").select(
-        F.concat_ws("-", "conv_id", "turn").alias("turn_key"),
-        tokens.tokenize(F.col("text")).alias("tokens"),
-    )
-    return small.encode(turns, "turn_key", "tokens", "ids").select("turn_key", joined("ids").alias("ids"))
+    whole = shapes.encoder(spark, sf_dir).vocabulary
+    small = vocabulary.Vocabulary(whole.table, TOKENS.unk_token, max_tokens=1024)
+    ids = small.encode(_turn_tokens(spark, sf_dir), "turn_key", "tokens", "ids")
+    return ids.select("turn_key", joined("ids").alias("ids"))
 
 
 def truncate(spark, sf_dir):
@@ -410,7 +398,9 @@ def strip_prompt(spark, sf_dir):
 
 def decode_ids(spark, sf_dir):
     """Text -> ids -> text; the spaces, as a stand-in for special tokens, left out."""
-    ids, encoder = _document_ids(spark, sf_dir)
+    encoder = shapes.encoder(spark, sf_dir)
+    cut = docs(spark, sf_dir).select("doc_id", tokens.tokenize(F.col("text")).alias("tokens"))
+    ids = encoder.vocabulary.encode(cut, "doc_id", "tokens", "ids").drop("tokens")
     space = encoder.literal_ids(" ")
     return encoder.vocabulary.decode(ids, "doc_id", "ids", "text", skip=space).select("doc_id", "text")
 
@@ -423,18 +413,20 @@ def argmax(spark, sf_dir):
 
 
 def build_vocab(spark, sf_dir):
-    return shapes.vocabulary(spark, sf_dir)
+    cut = docs(spark, sf_dir).select(tokens.tokenize(F.col("text")).alias("tokens"))
+    return vocabulary.build_vocab(cut, reserved=TOKENS.reserved)
 
 
 def extend_vocab(spark, sf_dir):
     documents = docs(spark, sf_dir)
     base = vocabulary_plan.corpus_vocabulary(documents.filter("lang = 'en'"))
-    other = vocabulary_plan.corpus_vocabulary(documents.filter("lang <> 'en'"))
+    other = vocabulary_plan.corpus_tokens(documents.filter("lang <> 'en'"))
     return vocabulary.extend_vocab(base, other, LATIN_ACCENTS)
 
 
 def append_special(spark, sf_dir):
-    return vocabulary.append_special(shapes.vocabulary(spark, sf_dir), ["<think>", " ", "</think>"])
+    base = vocabulary_plan.corpus_vocabulary(docs(spark, sf_dir), reserved=TOKENS.reserved)
+    return vocabulary.append_special(base, ["<think>", " ", "</think>"])
 
 
 # Merging predictions
@@ -487,18 +479,25 @@ def relative_logprob(spark, sf_dir):
     )
 
 
-def _preference_metric(*names):
-    def query(spark, sf_dir):
-        found = metrics.preference_metrics(shapes.logits(spark, sf_dir), BETA)
-        return found.select(*[F.round(name, 6).alias(name) for name in names])
+def _preference_metrics(spark, sf_dir, *names):
+    found = metrics.preference_metrics(shapes.logits(spark, sf_dir), BETA)
+    return found.select(*[F.round(name, 6).alias(name) for name in names])
+
+
+def dpo_loss(spark, sf_dir):
+    return _preference_metrics(spark, sf_dir, "loss")
+
+
+def mean_logprobs(spark, sf_dir):
+    return _preference_metrics(spark, sf_dir, "chosen_logprob", "rejected_logprob")
+
 
-    return query
+def reward_accuracy(spark, sf_dir):
+    return _preference_metrics(spark, sf_dir, "reward_accuracy")
 
 
-dpo_loss = _preference_metric("loss")
-mean_logprobs = _preference_metric("chosen_logprob", "rejected_logprob")
-reward_accuracy = _preference_metric("reward_accuracy")
-reward_margin = _preference_metric("reward_margin")
+def reward_margin(spark, sf_dir):
+    return _preference_metrics(spark, sf_dir, "reward_margin")
 
 
 def epoch_metrics(spark, sf_dir):
@@ -584,7 +583,7 @@ def prepare_sft_documents(spark, sf_dir):
 
 def prepare_chat_sft(spark, sf_dir):
     frame = prepare.prepare_chat_sft(
-        shapes.conversations(spark, sf_dir),
+        shapes.conversations(spark, sf_dir, RECIPE.max_length),
         "conv_id",
         shapes.encoder(spark, sf_dir),
         replace(RECIPE, split="val"),
@@ -609,8 +608,9 @@ def prepare_preference(spark, sf_dir):
 
 
 def prepare_predict(spark, sf_dir):
+    # one turn more than the prompt has tokens, as the last one is dropped
     frame = predict_plan.prepare_predict(
-        shapes.conversations(spark, sf_dir),
+        shapes.conversations(spark, sf_dir, TOKENS.data_max_length + 1),
         "conv_id",
         shapes.encoder(spark, sf_dir),
         RECIPE,
@@ -648,7 +648,7 @@ def preference_report(spark, sf_dir):
 
 
 QUERIES = {
-    query if isinstance(query, str) else query.__name__: globals()[query] if isinstance(query, str) else query
+    query.__name__: query
     for query in [
         read_parquet,
         read_json,
@@ -704,10 +704,10 @@ QUERIES = {
         count_guard_trim,
         log_softmax,
         relative_logprob,
-        "dpo_loss",
-        "mean_logprobs",
-        "reward_accuracy",
-        "reward_margin",
+        dpo_loss,
+        mean_logprobs,
+        reward_accuracy,
+        reward_margin,
         epoch_metrics,
         best_trial,
         row_counts,

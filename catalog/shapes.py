@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sftprep.config import TokenSpec
+from sftprep.functions.text import clean_generation
 from sftprep.operators.conversations import assemble_conversations
-from sftprep.operators.order import index_rows, row_index
+from sftprep.operators.order import assign_batches, index_rows, pad_tail, row_index
 from sftprep.operators.vocabulary import Vocabulary
 from sftprep.plans.encoding import TableEncoder
 from sftprep.plans.vocabulary import corpus_vocabulary
@@ -50,8 +51,9 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble_conversations(table(spark, sf_dir, "conversations"))
+def conversations(spark: SparkSession, sf_dir: str, max_turns: int | None = None) -> DataFrame:
+    """Message lists; ``max_turns`` where the prompt is truncated to that many tokens."""
+    return assemble_conversations(table(spark, sf_dir, "conversations"), max_turns=max_turns)
 
 
 def preference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,20 +122,23 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored vocabulary of the documents."""
-    return corpus_vocabulary(table(spark, sf_dir, "documents"), reserved=TOKENS.reserved)
+_encoders: dict[tuple[str, str], TableEncoder] = {}
 
 
 def encoder(spark: SparkSession, sf_dir: str) -> TableEncoder:
-    return TableEncoder(Vocabulary(vocabulary(spark, sf_dir), TOKENS.unk_token))
+    """The tokenizer of the documents: its vocabulary is stored once for each session.
+
+    It stands for a pretrained tokenizer, which jobs load rather than build.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _encoders:
+        stored = corpus_vocabulary(table(spark, sf_dir, "documents"), reserved=TOKENS.reserved)
+        _encoders[key] = TableEncoder(Vocabulary(stored, TOKENS.unk_token))
+    return _encoders[key]
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Base rows with ``pos``, and a stand-in prediction for each position and padding row."""
-    from sftprep.functions.text import clean_generation
-    from sftprep.operators.order import assign_batches, pad_tail
-
     base, rows = index_rows(structural(spark, sf_dir), ["conv_id"])
     dealt = assign_batches(pad_tail(base, rows, DEVICES), DEVICES, BATCH)
     shards = dealt.select(

@@ -16,7 +16,7 @@ from sftprep.storage import stored
 
 GROUP = 128
 VOCAB_SCHEMA = "token string, id int, freq bigint"
-MAX_SHIPPED_TOKENS = 2_000_000
+MAX_SHIPPED_TOKENS = 1 << 20
 MAX_SHIPPED_BYTES = 64 << 20
 SALTS = 32
 
@@ -29,16 +29,21 @@ def count_tokens(df: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 
 def build_vocab(df: DataFrame, tokens: str = "tokens", reserved: Sequence[str] = ()) -> DataFrame:
-    """Number the tokens of a corpus by falling frequency, behind the reserved ones.
+    """The vocabulary of the token arrays in column ``tokens`` (see ``number_tokens``)."""
+    return number_tokens(count_tokens(df, tokens), reserved)
+
+
+def number_tokens(counts: DataFrame, reserved: Sequence[str] = ()) -> DataFrame:
+    """Number counted tokens by falling frequency, behind the reserved ones.
 
     Reserved tokens get the ids 0, 1, ... and their own count (0 if the corpus lacks
     them). The counts are written to the shared folder once, as numbering reads them
     several times.
     """
-    counts = stored(count_tokens(df, tokens), "token-counts")
+    counts = stored(counts, "token-counts")
     is_reserved = F.col("token").isin(list(reserved))
     known = {row.token: row.freq for row in counts.filter(is_reserved).collect()}
-    fixed = df.sparkSession.createDataFrame(
+    fixed = counts.sparkSession.createDataFrame(
         [(token, i, known.get(token, 0)) for i, token in enumerate(reserved)], VOCAB_SCHEMA
     )
     numbered = index_rows(counts.filter(~is_reserved), [-F.col("freq"), F.col("token")], "at").frame

@@ -9,10 +9,23 @@ from pyspark.sql import functions as F
 
 from sftprep.functions.text import HANGUL
 from sftprep.functions.tokens import TOKEN_PATTERN, tokenize
-from sftprep.operators.vocabulary import GROUP, append_special, build_vocab, extend_vocab
+from sftprep.operators.vocabulary import (
+    GROUP,
+    append_special,
+    count_tokens,
+    extend_vocab,
+    number_tokens,
+)
 from sftprep.storage import stored
 
 
+def corpus_tokens(
+    corpus: DataFrame, text: str = "text", pattern: str = TOKEN_PATTERN
+) -> DataFrame:
+    """``(token, freq)`` of a text column."""
+    return count_tokens(corpus.select(tokenize(F.col(text), pattern).alias("tokens")))
+
+
 def corpus_vocabulary(
     corpus: DataFrame,
     text: str = "text",
@@ -20,8 +33,7 @@ def corpus_vocabulary(
     pattern: str = TOKEN_PATTERN,
 ) -> DataFrame:
     """The stored vocabulary of a text column."""
-    tokens = corpus.select(tokenize(F.col(text), pattern).alias("tokens"))
-    return stored(build_vocab(tokens, "tokens", reserved), "vocabulary")
+    return stored(number_tokens(corpus_tokens(corpus, text, pattern), reserved), "vocabulary")
 
 
 def extend_vocabulary(
@@ -36,6 +48,6 @@ def extend_vocabulary(
 ) -> DataFrame:
     """Vocabulary of one corpus, extended by the script tokens of another and by ``special``."""
     base = corpus_vocabulary(base_corpus, text, reserved, pattern)
-    candidates = corpus_vocabulary(other_corpus, text, (), pattern)
+    candidates = corpus_tokens(other_corpus, text, pattern)
     extended = stored(extend_vocab(base, candidates, char_class, group), "extended-vocabulary")
     return append_special(extended, special)

@@ -116,10 +116,12 @@ def load_dataset(
     dataset_format: str,
     split: str,
     schema: T.StructType | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read ``<data_path>/<dataset_name>.<dataset_format>`` with the reader of its format.
 
-    Wrong splits and formats are rejected before any Spark job.
+    Wrong splits and formats are rejected before any Spark job. ``multi_line`` is that of
+    ``read_csv``.
     """
     check_split(split)
     check_format(dataset_format)
@@ -128,7 +130,8 @@ def load_dataset(
         return read_parquet(spark, path, schema)
     if dataset_format in ("json", "jsonl"):
         return read_json(spark, path, lines=dataset_format == "jsonl", schema=schema)
-    return read_csv(spark, path, sep="\t" if dataset_format == "tsv" else None)
+    sep = "\t" if dataset_format == "tsv" else None
+    return read_csv(spark, path, sep, multi_line=multi_line)
 
 
 def read_prediction_shards(
