@@ -18,7 +18,7 @@ from sftprep.plans import predict as predict_plan
 from sftprep.plans import prepare, report
 from sftprep.plans import vocabulary as vocabulary_plan
 from sftprep.sources import readers, writers
-from sftprep.storage import shared_path
+from sftprep.storage import shared_path, stored
 
 SPLIT = SplitSpec(ratio=0.1, seed=2025)
 RECIPE = Recipe(splits=SPLIT, tokens=TOKENS, batches=BatchSpec(DEVICES, BATCH))
@@ -298,10 +298,9 @@ def remap_markers(spark, sf_dir):
 
 
 def render_pair(spark, sf_dir):
-    pairs = prepare.preference_prompts(
-        shapes.preference(spark, sf_dir), "pair", replace(RECIPE, split="test"), "structural"
-    )
-    return pairs.frame
+    pairs = stored(shapes.preference(spark, sf_dir), "pairs")
+    recipe = replace(RECIPE, split="test")
+    return prepare.preference_prompts(pairs, "pair", recipe, "structural").frame
 
 
 # Tokens
@@ -559,7 +558,7 @@ def tokenizer_plugin(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(digits, "").alias("bytes"))
 
 
-# Jobs
+# Jobs. Derived inputs are stored first, as the key column alone is read several times.
 
 
 def _flat(df: DataFrame, keys, struct: str, prefix: str = "", labels: bool = True) -> DataFrame:
@@ -583,7 +582,7 @@ def prepare_sft_documents(spark, sf_dir):
 
 def prepare_chat_sft(spark, sf_dir):
     frame = prepare.prepare_chat_sft(
-        shapes.conversations(spark, sf_dir, RECIPE.max_length),
+        stored(shapes.conversations(spark, sf_dir, RECIPE.max_length), "conversations"),
         "conv_id",
         shapes.encoder(spark, sf_dir),
         replace(RECIPE, split="val"),
@@ -593,7 +592,7 @@ def prepare_chat_sft(spark, sf_dir):
 
 def prepare_preference(spark, sf_dir):
     frame = prepare.prepare_preference(
-        shapes.preference(spark, sf_dir),
+        stored(shapes.preference(spark, sf_dir), "pairs"),
         "pair",
         shapes.encoder(spark, sf_dir),
         replace(RECIPE, split="test"),
@@ -610,7 +609,7 @@ def prepare_preference(spark, sf_dir):
 def prepare_predict(spark, sf_dir):
     # one turn more than the prompt has tokens, as the last one is dropped
     frame = predict_plan.prepare_predict(
-        shapes.conversations(spark, sf_dir, TOKENS.data_max_length + 1),
+        stored(shapes.conversations(spark, sf_dir, TOKENS.data_max_length + 1), "conversations"),
         "conv_id",
         shapes.encoder(spark, sf_dir),
         RECIPE,
