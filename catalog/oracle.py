@@ -290,7 +290,7 @@ base AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS pos, {OPEN_PROMPT
 echoed AS (SELECT k, p, coalesce(id, {UNK}) AS id, v.token FROM el LEFT JOIN vocab v USING (token))"""
 
 ORACLE = {
-    "read_parquet": "SELECT doc_id, lang, source, n_chars FROM documents WHERE n_chars > 500",
+    "read_parquet": "SELECT doc_id, lang, source, n_chars FROM documents",
     "read_json": f"WITH {STRUCTURAL} SELECT * FROM structural",
     "read_jsonl": f"WITH {RENDERED} SELECT conv_id, prompt FROM rendered",
     "read_csv": "SELECT doc_id, lang, CASE WHEN source <> 'src3' THEN source END AS source, text FROM documents",
@@ -455,6 +455,18 @@ prompts AS (
 {encoded('enc', 'prompts', 'pos', 'prompt', PROMPT_LENGTH)}
 SELECT conv_id, pos, (pos % {DEVICES})::INT AS device_num, pos // {DEVICES * BATCH} AS batch_idx,
   input_ids, attention_mask FROM prompts JOIN enc ON k = pos""",
+    "prepare_predict_preference": f"""WITH {vocab()}, {PAIRS},
+numbered AS (SELECT pair, count(*) OVER () AS n, {OPEN_PROMPT} AS prompt FROM pairs),
+prompts AS (
+  SELECT pair, pair AS pos, prompt FROM numbered
+  UNION ALL
+  SELECT pair, n + i, prompt FROM numbered, range({DEVICES - 1}) r(i)
+  WHERE pair = n - 1 AND i < ({DEVICES} - n % {DEVICES}) % {DEVICES}),
+{encoded('enc', 'prompts', 'pos', 'prompt', PROMPT_LENGTH)}
+SELECT pair, pos, (pos % {DEVICES})::INT AS device_num, pos // {DEVICES * BATCH} AS batch_idx,
+  input_ids AS chosen_input_ids, attention_mask AS chosen_attention_mask,
+  input_ids AS rejected_input_ids, attention_mask AS rejected_attention_mask
+FROM prompts JOIN enc ON k = pos""",
     "predict_and_merge": f"""WITH {PREDICT_PROMPTS},
 made AS (
   SELECT k, translate(string_agg(token, '' ORDER BY p) FILTER (id > {IM_END}), {NL} || chr(13), '  ') AS text

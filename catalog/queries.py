@@ -41,7 +41,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_parquet(spark, sf_dir):
     df = readers.load_dataset(spark, sf_dir, "documents", "parquet", "train")
-    return df.filter("n_chars > 500").select("doc_id", "lang", "source", "n_chars")
+    return df.select("doc_id", "lang", "source", "n_chars")
 
 
 def read_json(spark, sf_dir):
@@ -619,6 +619,25 @@ def prepare_predict(spark, sf_dir):
     return _flat(frame, keys, "encoded", labels=False)
 
 
+def prepare_predict_preference(spark, sf_dir):
+    frame = predict_plan.prepare_predict(
+        stored(shapes.preference(spark, sf_dir), "pairs"),
+        "pair",
+        shapes.encoder(spark, sf_dir),
+        RECIPE,
+        preference=True,
+    ).frame
+    fields = ["input_ids", "attention_mask"]
+    return frame.select(
+        "pair",
+        "pos",
+        "device_num",
+        "batch_idx",
+        *[joined(f"encoded_choice.{f}").alias(f"chosen_{f}") for f in fields],
+        *[joined(f"encoded_rejection.{f}").alias(f"rejected_{f}") for f in fields],
+    )
+
+
 def predict_and_merge(spark, sf_dir):
     return predict_plan.predict_and_merge(
         shapes.structural(spark, sf_dir),
@@ -717,6 +736,7 @@ QUERIES = {
         prepare_chat_sft,
         prepare_preference,
         prepare_predict,
+        prepare_predict_preference,
         predict_and_merge,
         extend_vocabulary,
         preference_report,

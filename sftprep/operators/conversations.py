@@ -11,15 +11,26 @@ from sftprep.config import ColumnNames
 TURNS_PER_BLOCK = 512
 
 
+def _keep_first(turns: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return turns.withColumn("__rank", rank).filter(F.col("__rank") <= limit).drop("__rank")
+
+
 def first_turns(turns: DataFrame, key: str, order: str, limit: int) -> DataFrame:
     """The first ``limit`` turns of every conversation.
 
     Exact where a prompt is truncated to ``limit`` tokens, since a turn renders to at
-    least one. Spark applies the rank limit before the shuffle as well as after it, so
-    one endless conversation costs a task no more than ``limit`` rows from each mapper.
+    least one. Up to a threshold Spark applies a rank limit before the shuffle, so one
+    endless conversation costs a task no more than ``limit`` rows from each mapper. Beyond
+    it the limit first works within salted parts, spread over all shuffle partitions, and
+    then on what they leave.
     """
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return turns.withColumn("__rank", rank).filter(F.col("__rank") <= limit).drop("__rank")
+    conf = turns.sparkSession.conf
+    if limit > int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        salts = int(conf.get("spark.sql.shuffle.partitions"))
+        salted = turns.withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(salts)))
+        turns = _keep_first(salted, [key, "__salt"], order, limit).drop("__salt")
+    return _keep_first(turns, [key], order, limit)
 
 
 def assemble_conversations(

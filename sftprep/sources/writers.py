@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _csv(df: DataFrame):
+def csv_writer(df: DataFrame):
     return (
         df.write.mode("errorifexists")
         .option("header", True)
@@ -31,7 +31,7 @@ def write_prediction_shards(
     shards = df.select("index", target, *levels)
     if per_batch:
         shards = shards.repartition(*levels)
-    _csv(shards).partitionBy(*levels).csv(path)
+    csv_writer(shards).partitionBy(*levels).csv(path)
 
 
 def write_submission(df: DataFrame, path: str, pos: str = "pos") -> None:
@@ -40,7 +40,7 @@ def write_submission(df: DataFrame, path: str, pos: str = "pos") -> None:
     Part files are range partitioned, so reading them by name gives the order back.
     """
     columns = [c for c in df.columns if c != pos]
-    _csv(df.orderBy(pos).select(*columns)).csv(path)
+    csv_writer(df.orderBy(pos).select(*columns)).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

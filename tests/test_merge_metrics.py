@@ -148,5 +148,8 @@ def test_conversations(spark):
     assert [tuple(m) for m in got[2]] == [("system", None)]
     short = {r.conv_id: r.messages for r in assemble_conversations(df, max_turns=7).collect()}
     assert [m.content for m in short[1]] == [f"t{t}" for t in range(7)]
+    longer = {r.conv_id: r.messages for r in assemble_conversations(df, max_turns=1200).collect()}
+    assert [m.content for m in longer[1]] == [f"t{t}" for t in range(1200)]
+    assert [tuple(m) for m in longer[2]] == [("system", None)]
     plan = assemble_conversations(df, max_turns=7)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan

@@ -136,6 +136,22 @@ def test_predict_and_merge(encoder, records, tmp_path):
     assert [(r.key, r.pos, r.response) for r in rows] == [(i, i, "yes yes") for i in range(5)]
 
 
+def test_preference_rows_continue_the_chosen_side(encoder, records, tmp_path):
+    pairs = records.selectExpr("key", "instruction", "input", "response as chosen", "'hi' as rejected")
+    yes = WORDS.index("yes")
+    merged = predict.predict_and_merge(
+        pairs,
+        "key",
+        encoder,
+        RECIPE,
+        lambda: lambda batch, options: [[*ids, yes] for ids in batch.input_ids],
+        GenerationOptions(),
+        str(tmp_path / "g"),
+        preference=True,
+    )
+    assert [(r.chosen, r.rejected) for r in merged.collect()] == [("yes", "hi")] * 5
+
+
 def test_row_local_functions_need_neither_shuffle_nor_python(spark):
     df = spark.createDataFrame([("a", "b", "c", [1, 2])], "i string, d string, t string, ids array<int>")
     prompt = chat.render_chat(chat.to_messages(text.strip_text(F.col("i")), F.col("d"), F.col("t")))

@@ -119,6 +119,6 @@ def test_submission_keeps_row_order(spark, tmp_path):
 
 def test_structural_csv_round_trip(spark, tmp_path):
     path = str(tmp_path / "d.csv")
-    writers._csv(structural(spark)).csv(path)
+    writers.csv_writer(structural(spark)).csv(path)
     rows = [tuple(r) for r in readers.read_csv(spark, path, ",").collect()]
     assert set(rows) == {("i", 'a, "b" \\', "x\ny"), (None, None, None), (" s ", None, "한")}
