@@ -47,3 +47,19 @@ def test_query(spark, database, name):
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
+
+
+def test_functions_reach_workers_that_cannot_import_the_packages(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from catalog.queries import byte_tokenizer
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(byte_tokenizer))
+    code = "import pickle; print(pickle.load(open('f', 'rb'))()(['ab']))"
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60
+    )
+    assert done.stdout.strip() == "[[97, 98]]", done.stderr
