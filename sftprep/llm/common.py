@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,3 +24,34 @@ def lower_ascii(text: Column) -> Column:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+class WorkerMemory:
+    """What a Python worker has worked out about words, in two generations of bounded size.
+
+    When the younger generation is full it becomes the older one, and what was older is
+    forgotten; a word met again moves back to the younger one. So frequent words stay.
+    """
+
+    def __init__(self, limit: int):
+        self.half, self.known, self.old = limit // 2, {}, {}
+
+    def lacking(self, lists: list[list]) -> list:
+        """The distinct words of ``lists`` that are not known; the others are in ``known``."""
+        if len(self.known) > self.half:
+            self.known, self.old = {}, self.known
+        known, old, new = self.known, self.old, set()
+        for words in lists:
+            for w in words:
+                if w not in known:
+                    if w in old:
+                        known[w] = old[w]
+                    else:
+                        new.add(w)
+        return list(new)
+
+
+def worker_memory(purpose: tuple, limit: int) -> WorkerMemory:
+    """The memory for a purpose, which outlives the task in a worker that is used again."""
+    place = sys.modules.setdefault("_sftprep_worker", types.ModuleType("_sftprep_worker"))
+    return place.__dict__.setdefault(purpose, WorkerMemory(limit))

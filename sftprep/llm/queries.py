@@ -6,10 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sftprep.llm import bpe, packing, token_counts
+from sftprep.llm import bpe, jaccard_join, katz, multiprobe, packing, quality, token_counts, toxicity
 from sftprep.llm.common import table
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    judged = quality.judge(docs, F.col("text"), F.col("lang"))
+    return judged.drop("text", "lang")
+
+
+def op3_multiprobe_search(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    asks = F.col("vec_id") % 100 == 0
+    return multiprobe.search(rows, F.col("vec_id"), F.col("embedding"), asks, 10)
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,6 +29,11 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return katz.score(docs, "doc_id", F.col("text"), folds=7, fold=2)
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,6 +41,21 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_join(docs, "doc_id", F.col("text"), percent=90, width=3)
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    seen = docs.join(labels, "doc_id").filter(~held_out)
+    machine = toxicity.fit(seen, "doc_id", F.col("text"), F.col("toxic"))
+    scored = toxicity.score(docs, F.col("text"), machine)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
@@ -34,8 +66,13 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_multiprobe_search": op3_multiprobe_search,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_katz_backoff": op5_katz_backoff,
     "op6_token_counts": op6_token_counts,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

@@ -1,7 +1,7 @@
 """Token counts of a sentencepiece BPE model by rank-synchronous merging of arrays.
 
 A text is cut before every run of spaces, as no piece of the model holds a space after
-another character, so that merges never cross such a cut. The chunks a task has not met yet
+another character, so that merges never cross such a cut. The chunks a worker has not met yet
 are laid out together in flat arrays: one symbol a place, and the chunk each place belongs
 to. Every round looks up the rank of all neighbouring pairs at once, finds the lowest rank of
 each chunk, and joins all pairs of that rank simultaneously (of overlapping ones, the first,
@@ -20,8 +20,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks a task remembers; past this many the older half is forgotten and counted anew.
-REMEMBERED = 400_000
+from sftprep.llm.common import worker_memory
+
+#: Chunks a worker remembers.
+REMEMBERED = 800_000
 SPACE = "▁"
 NEVER = np.iinfo(np.int64).max
 
@@ -106,20 +108,15 @@ def token_counter(model: str):
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        merger, known, old = PieceMerger(model), {}, {}
+        merger, memory = PieceMerger(model), worker_memory(("pieces", model), REMEMBERED)
         for batch in batches:
             out = []
             for lo in range(0, len(batch), 256):
                 split = [chunks_of(x or "") for x in batch.iloc[lo : lo + 256]]
-                met = set().union(*split)
-                if len(known) > REMEMBERED // 2:
-                    known, old = {}, known
-                for x in met & old.keys():
-                    known[x] = old[x]
-                if new := list(met - known.keys()):
+                if new := memory.lacking(split):
                     counts = merger.count([SPACE + x.replace(" ", SPACE) for x in new])
-                    known.update(zip(new, counts.tolist()))
-                out += [sum(map(known.__getitem__, x)) for x in split]
+                    memory.known.update(zip(new, counts.tolist()))
+                out += [sum(map(memory.known.__getitem__, x)) for x in split]
             yield pd.Series(out, dtype="int64")
 
     return count
