@@ -1,6 +1,6 @@
 """Byte-level BPE by recursive DuckDB queries inside each partition.
 
-Every match of the pre-token pattern is encoded by itself. The ones a task has not met yet
+Every match of the pre-token pattern is encoded by itself. The ones a worker has not met yet
 become rows (word, position, token), one row a byte, of an in-process DuckDB table. A recursive
 query joins neighbouring rows with the merge table and contracts, in each word, the pair of
 the lowest rank, from the left, until no word has a pair left. Equal pairs of a word are
@@ -21,10 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words a task remembers, words of one DuckDB call, bytes of one call (a longer word is
+from sftprep.llm.common import worker_memory
+
+#: Words a worker remembers, words of one DuckDB call, bytes of one call (a longer word is
 #: a call by itself), and steps of the recursion in one call; what is not finished then goes
 #: on in the next call, so that the rows of all steps never add up beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 CALL_WORDS = 40_000
 CALL_BYTES = 400_000
 CALL_STEPS = 24
@@ -142,7 +144,7 @@ class RankEncoder:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _finish(self, words: list[bytes], steps: str) -> Iterator[tuple[int, str, bytes]]:
+    def _finish(self, words: list[bytes], steps: str) -> Iterator[tuple[int, str, str]]:
         ends = np.cumsum([0] + [len(w) for w in words], dtype=np.int32)
         flat = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
         fed = pa.table(
@@ -156,8 +158,8 @@ class RankEncoder:
             rows = self.db.sql(steps).to_arrow_table()
             self.db.unregister("fed")
             self.db.register("encoded", rows.filter(pc.invert(rows["live"])))
-            for word, ids, decoded in self.db.execute(GATHER).fetchall():
-                yield word, ids, bytes.fromhex(decoded)
+            found = self.db.sql(GATHER).to_arrow_table()
+            yield from zip(*[found.column(k).to_pylist() for k in range(3)])
             self.db.unregister("encoded")
             fed = rows.filter(rows["live"]).select(["word", "toks"])
 
@@ -177,7 +179,7 @@ class RankEncoder:
                     hi += 1
                 part = own[lo:hi]
                 for k, ids, decoded in self._finish([plain[x] for x in part], steps):
-                    out[words[part[k]]] = (ids, decoded)
+                    out[words[part[k]]] = (ids, bytes.fromhex(decoded))
                 lo = hi
         return out
 
@@ -187,18 +189,14 @@ def encode_batches(ranks_path: str, pattern: str):
     import regex
 
     pre_token = regex.compile(pattern)
-    encoder, known, old = RankEncoder(read_ranks(ranks_path)), {}, {}
+    encoder = RankEncoder(read_ranks(ranks_path))
+    memory = worker_memory(("bpe", ranks_path), REMEMBERED)
 
     def run(texts: list[str]) -> list[tuple[int, str, bytes]]:
-        nonlocal known, old
         split = [pre_token.findall(x) for x in texts]
-        met = set().union(*split)
-        if len(known) > REMEMBERED // 2:
-            known, old = {}, known
-        for x in met & old.keys():
-            known[x] = old[x]
-        if new := list(met - known.keys()):
-            known.update(encoder.encode(new))
+        if new := memory.lacking(split):
+            memory.known.update(encoder.encode(new))
+        known = memory.known
         out = []
         for words in split:
             coded = [known[w] for w in words]
