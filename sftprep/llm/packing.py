@@ -15,6 +15,7 @@ packs what remains, for all pieces of a length at once.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,12 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sftprep.llm.common import worker_memory
 from sftprep.storage import stored
 
-#: Words a task remembers the ids of; past this many the older half is forgotten.
-REMEMBERED = 400_000
+#: Words a worker remembers the ids of.
+REMEMBERED = 1_000_000
 #: Pieces that one rank counter numbers.
-PIECES_PER_COUNTER = 20_000
+PIECES_PER_COUNTER = 2_000
 
 
 @dataclass
@@ -188,6 +190,21 @@ def pack(pieces: DataFrame, length: str, order: list[str], limit: int) -> DataFr
     )
 
 
+#: A full stop or comma that ends a word.
+ENDING = re.compile("(?<=[A-Za-z])([.,])(?=[ \n]|$)")
+
+
+def words_between_spaces(text: str) -> list[str]:
+    """Parts of a text whose ids, joined, are the text's.
+
+    Spaces and line feeds part tokens, and so does a letter followed by a stop. Plain ASCII
+    texts without markers go to lower case, as the tokenizer would bring them there.
+    """
+    if text.isascii() and "<|" not in text:
+        text = text.lower()
+    return ENDING.sub(r" \1", text).replace("\n", " ").split(" ")
+
+
 def cut_documents(
     docs: DataFrame, doc_id: str, text: Column, tokenizer: str, limit: int, end_id: int = 1
 ) -> DataFrame:
@@ -195,8 +212,8 @@ def cut_documents(
 
     A document is its ids by the ``tokenizers`` file, without special tokens added, then
     ``end_id``. Longer ones than ``limit`` are cut into pieces of that length and a rest. Null
-    text counts as empty, one piece that is only the end. Spaces and line feeds never stand
-    inside a token of these files, so the words between them are encoded once each.
+    text counts as empty, one piece that is only the end. The tokenizer must part words at
+    spaces and bring text to lower case, so that a worker encodes every word once.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -204,7 +221,8 @@ def cut_documents(
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encoder, known, old = Tokenizer.from_file(tokenizer), {}, {}
+        encoder = Tokenizer.from_file(tokenizer)
+        memory = worker_memory(("ids", tokenizer), REMEMBERED)
         encoder.no_truncation()
         encoder.no_padding()
         end = np.array([end_id], dtype="<u4").tobytes()
@@ -212,16 +230,12 @@ def cut_documents(
             rows = []
             for lo in range(0, len(batch), 256):
                 part = batch.iloc[lo : lo + 256]
-                split = [x.replace("\n", " ").split(" ") for x in part["text"]]
-                met = set().union(*split)
-                if len(known) > REMEMBERED // 2:
-                    known, old = {}, known
-                for x in met & old.keys():
-                    known[x] = old[x]
-                if new := list(met - known.keys()):
+                split = [words_between_spaces(x) for x in part["text"]]
+                if new := memory.lacking(split):
                     coded = encoder.encode_batch_fast(new, add_special_tokens=False)
                     for x, c in zip(new, coded):
-                        known[x] = np.array(c.ids, dtype="<u4").tobytes()
+                        memory.known[x] = np.array(c.ids, dtype="<u4").tobytes()
+                known = memory.known
                 for key, words in zip(part[doc_id], split):
                     ids = b"".join([known[x] for x in words]) + end
                     for piece, at in enumerate(range(0, len(ids), 4 * limit)):
