@@ -13,6 +13,7 @@ Everything is DataFrame expressions; references are the only thing that reaches
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -43,18 +44,18 @@ class Rules:
 
     min_words, max_repeated: base rules, in words and percent of words.
     class_words, common_words_from: fewest words to be judged by either divergence.
-    max_class_distance, max_word_distance: largest distances (0 to 1) of kept documents; for
-        words the limit grows with the chance error, ``max_word_distance + slack / sqrt(n)``.
+    max_class_distance: largest distance of kept documents, from 0 to 1.
+    max_word_share: the same for words, as a share of the smallest distance that a document
+        without any common word has.
     common_words: words a reference holds. languages: the most frequent ones get a reference.
     """
 
     min_words: int = 20
     max_repeated: int = 30
     class_words: int = 20
-    common_words_from: int = 40
+    common_words_from: int = 80
     max_class_distance: float = 0.25
-    max_word_distance: float = 0.55
-    slack: float = 1.5
+    max_word_share: float = 0.965
     common_words: int = 40
     languages: int = 64
 
@@ -220,6 +221,14 @@ def word_distance(runs: Column, n_words: Column, reference: dict) -> Column:
     return F.aggregate(runs, start, add, end)
 
 
+def without_common_words(reference: dict) -> float:
+    """The distance from a reference of a document that has none of its common words."""
+    common = sum(reference["words"].values())
+    rest = max(1 - common, 0.0)
+    other = math.log2(2 / (1 + rest)) + (rest * math.log2(2 * rest / (1 + rest)) if rest else 0)
+    return math.sqrt(common / 2 + other / 2)
+
+
 def judge(
     docs: DataFrame,
     text: Column,
@@ -289,11 +298,11 @@ def judge(
             ),
         }
     df = df.withColumns({k: v.cast("double") for k, v in distances.items()})
-    word_limit = rules.max_word_distance + rules.slack / F.sqrt(F.col("n_words"))
+    bare = min((without_common_words(x) for x in references_.values()), default=1.0)
     return df.withColumn(
         "kept",
         ~F.col("base_failed")
         & F.coalesce(F.col("class_distance") <= rules.max_class_distance, F.lit(True))
-        & F.coalesce(F.col("word_distance") <= word_limit, F.lit(True)),
+        & F.coalesce(F.col("word_distance") <= rules.max_word_share * bare, F.lit(True)),
     ).drop("__words", "__classes", "__common", "__starts", "__runs")
 

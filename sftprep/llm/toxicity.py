@@ -1,6 +1,6 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
-The kernel of two strings is the sum, over the three-character subsequences they share, of
+The kernel of two strings is the sum, over the four-character subsequences they share, of
 ``decay ** span`` on either side, so gaps and inserted characters cost weight but no match.
 Subsequences spanning more than ``SPAN`` characters are left out. Nyström features of a string
 are its kernels with the landmarks times the inverse square root of the landmarks' own kernel
@@ -32,16 +32,17 @@ from pyspark.sql import functions as F
 
 from sftprep.llm.common import worker_memory
 
-#: Classes of characters (a to z, and the others by their code), weight a character of span,
-#: longest span of a subsequence, and places of a window that subsequences may begin at.
-LETTERS = 40
+#: Weight a character of span, longest span of a subsequence, places of a window that
+#: subsequences may begin at, and the length from which strings count as long.
 DECAY = 0.75
 SPAN = 6
 WIDTH = 8
+FULL = 7
 #: Chunks a worker remembers the scores of.
 REMEMBERED = 800_000
 #: Single characters that stand apart: "s t u p i d", "s.t.u.p.i.d".
 APART = re.compile(r"(?<!\w)\w(?:[\s._*-]+\w(?!\w)){2,}")
+START = "^"
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -52,54 +53,81 @@ class Training:
     The documents with the smallest hash of their id are taken, whole. ``landmarks``: how many
     strings stand for the kernel's space. ``rounds``: how often positives are chosen anew.
     ``negatives``: chunks of clean documents per fit, a hard half and an even half.
+    ``positive_cost``: how much more a positive sentence counts than a negative one.
     """
 
     toxic: int = 1000
     clean: int = 1500
-    landmarks: int = 128
+    landmarks: int = 64
     rounds: int = 3
     negatives: int = 20_000
+    positive_cost: float = 4.0
     ridge: float = 1e-4
 
 
 def chunks_of(sentence: str) -> list[str]:
-    """Lower-case chunks of a sentence, and those that letters standing apart spell."""
-    found = sentence.lower().split()
-    for m in APART.finditer(sentence.lower()):
-        found.append(re.sub(r"[\s._*-]+", "", m.group()))
+    """Lower-case chunks of a sentence, and those that letters standing apart spell.
+
+    A mark before each chunk lets the kernel tell its beginning from its middle.
+    """
+    lower = sentence.lower()
+    found = [START + x for x in lower.split()]
+    for m in APART.finditer(lower):
+        found.append(START + re.sub(r"[\s._*-]+", "", m.group()))
     return found
 
 
-def codes_of(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the characters of all chunks, -1 after each, and where each chunk starts."""
+def codes_of(chunks: list[str], alphabet: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``alphabet`` of all chunks' characters, -1 for others and after each chunk,
+    and where each chunk starts."""
     flat = np.frombuffer("\n".join([*chunks, ""]).encode("utf-32-le"), np.uint32)
-    code = np.where((flat >= 97) & (flat <= 122), flat - 97, 26 + flat % (LETTERS - 26))
-    code = np.where(flat == 10, -1, code.astype(np.int64))
+    places = np.full(max(map(ord, alphabet), default=0) + 2, -1, dtype=np.int64)
+    places[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
+    code = places[np.minimum(flat, len(places) - 1)]
     lengths = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)) + 1
     return code, np.cumsum(lengths) - lengths
 
 
-def terms(code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """Places of all subsequences within chunks, their keys, and their weight, by shape."""
-    breaks = np.concatenate([[0], np.cumsum(code < 0)])
-    for first in range(1, SPAN - 1):
-        for second in range(1, SPAN - first):
-            n = len(code) - first - second
-            if n > 0:
-                whole = breaks[first + second + 1 : first + second + 1 + n] == breaks[:n]
-                at = np.flatnonzero(whole)
-                key = (code[at] * LETTERS + code[at + first]) * LETTERS + code[at + first + second]
-                yield at, key, DECAY ** (first + second + 1)
+#: Gaps between the four characters of a subsequence.
+SHAPES = [
+    (i, j, k)
+    for i in range(1, SPAN - 2)
+    for j in range(1, SPAN - 1 - i)
+    for k in range(1, SPAN - i - j)
+]
+
+
+def terms(code: np.ndarray, base: int) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """Places of the subsequences that lie within chunks and the alphabet, their keys, and
+    their weight, by shape."""
+    outside = np.concatenate([[0], np.cumsum(code < 0)])
+    for i, j, k in SHAPES:
+        reach = i + j + k
+        n = len(code) - reach
+        if n > 0:
+            at = np.flatnonzero(outside[reach + 1 : reach + 1 + n] == outside[:n])
+            key = (code[at] * base + code[at + i]) * base + code[at + i + j]
+            yield at, key * base + code[at + reach], DECAY ** (reach + 1)
+
+
+def scales(chunks: list[str]) -> np.ndarray:
+    """What brings short chunks to the norm of long ones: one over the norm of a string of
+    the chunk's length, or of ``FULL``, with all its subsequences different."""
+    norm = [1.0] * 4 + [
+        math.sqrt(sum(max(n - sum(x), 0) * DECAY ** (2 * sum(x) + 2) for x in SHAPES))
+        for n in range(4, FULL + 1)
+    ]
+    return 1 / np.array([norm[min(len(c), FULL)] for c in chunks])
 
 
 def best_windows(
-    code: np.ndarray, starts: np.ndarray, table: np.ndarray
+    code: np.ndarray, starts: np.ndarray, base: int, table: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """Of each chunk the largest sum of ``table`` over a window's subsequences, and its place."""
     if not len(starts):
         return np.zeros(0), np.zeros(0, dtype=np.int64)
     gain = np.zeros(len(code))
-    for at, key, weight in terms(code):
+    for at, key, weight in terms(code, base):
         gain[at] += table[key] * weight
     total = np.concatenate([[0.0], np.cumsum(gain)])
     ends = np.append(starts[1:], len(code))
@@ -112,43 +140,50 @@ def best_windows(
     return best, hits[firsts] - starts
 
 
-def window_kernels(windows: list[str], rows: np.ndarray) -> np.ndarray:
-    """Kernels of windows, as cut by ``cut_window``, with the landmarks."""
-    code, starts = codes_of(windows)
-    ends = np.append(starts[1:], len(code))
-    owner = np.repeat(np.arange(len(starts)), ends - starts)
-    inside = np.arange(len(code)) - starts[owner] < WIDTH
-    out = np.zeros((len(windows), len(rows)))
-    for at, key, weight in terms(code):
-        own = inside[at]
-        at, key = at[own], key[own]
-        for k, row in enumerate(rows):
-            out[:, k] += np.bincount(owner[at], row[key] * weight, minlength=len(windows))
-    return out
-
-
 def cut_window(chunk: str, at: int) -> str:
     """The characters that subsequences beginning in a window reach."""
     return chunk[at : at + WIDTH + SPAN - 1]
 
 
-def subsequences(text: str) -> dict[int, float]:
-    """Weights of the three-character subsequences of a short string."""
-    found: Counter = Counter()
-    for _, keys, weight in terms(codes_of([text])[0]):
-        for key in keys.tolist():
-            found[key] += weight
-    return found
+class Landmarks:
+    """Landmarks in the kernel's space: rows of length one over the subsequences they hold.
 
+    Characters that no landmark has share no subsequence with one, so the alphabet is theirs.
+    """
 
-def landmark_table(landmarks: list[str]) -> np.ndarray:
-    """Rows of the kernel's space, one a landmark, each of length one."""
-    table = np.zeros((len(landmarks), LETTERS**3), dtype=np.float32)
-    for row, text in zip(table, landmarks):
-        for key, weight in subsequences(text).items():
-            row[key] = weight
-        row /= np.linalg.norm(row) or 1.0
-    return table
+    def __init__(self, texts: list[str]):
+        self.alphabet = "".join(sorted(set("".join(texts)) - {"\n"}))
+        self.base = max(1, len(self.alphabet))
+        found = []
+        for text in texts:
+            own: Counter = Counter()
+            for _, keys, weight in terms(codes_of([text], self.alphabet)[0], self.base):
+                for key in keys.tolist():
+                    own[key] += weight
+            found.append(own)
+        self.keys = np.array(sorted(set().union(*found)), dtype=np.int64)
+        column = {k: c for c, k in enumerate(self.keys.tolist())}
+        self.rows = np.zeros((len(texts), len(column)))
+        for row, own in zip(self.rows, found):
+            for key, weight in own.items():
+                row[column[key]] = weight
+            row /= np.linalg.norm(row) or 1.0
+
+    def kernels(self, chunks: list[str], at: np.ndarray) -> np.ndarray:
+        """Kernels of the chunks' windows at these places with the landmarks."""
+        windows = [c[a : a + WIDTH + SPAN - 1] for c, a in zip(chunks, at)]
+        code, starts = codes_of(windows, self.alphabet)
+        ends = np.append(starts[1:], len(code))
+        owner = np.repeat(np.arange(len(starts)), ends - starts)
+        inside = np.arange(len(code)) - starts[owner] < WIDTH
+        column = np.full(self.base**4, -1, dtype=np.int32)
+        column[self.keys] = np.arange(len(self.keys))
+        out = np.zeros((len(windows), len(self.rows)))
+        for at, key, weight in terms(code, self.base):
+            own = inside[at] & (column[key] >= 0)
+            at, col = at[own], column[key[own]]
+            np.add.at(out, owner[at], self.rows[:, col].T * weight)
+        return out * scales(chunks)[:, None]
 
 
 def choose_landmarks(
@@ -156,8 +191,8 @@ def choose_landmarks(
 ) -> tuple[list[str], int]:
     """Strings that set toxic documents apart, greedily by the toxic documents they add.
 
-    Candidates are parts of chunks, 4 to 8 characters long, in at least three toxic documents
-    (one, if there are fewer than three) and seldom in clean ones. What is left of ``count``
+    Candidates are parts of chunks, 4 to 8 characters long, in at least a fiftieth of the toxic
+    documents and three of them (all, if there are fewer) and seldom in clean ones. What is left of ``count``
     goes to frequent parts of clean documents, so that the features span both kinds. Also
     returns how many are of the first kind; there is always one landmark, if need be of no use.
     """
@@ -172,7 +207,7 @@ def choose_landmarks(
     for k, chunks in enumerate(toxic):
         for p in parts(chunks):
             held.setdefault(p, []).append(k)
-    least = min(3, len(toxic))
+    least = min(max(3, len(toxic) // 50), len(toxic))
     held = {p: x for p, x in held.items() if len(x) >= least}
     for chunks in clean:
         seen.update(held.keys() & parts(chunks))
@@ -182,7 +217,7 @@ def choose_landmarks(
     ranked = sorted(pure, key=lambda p: (-len(pure[p]), -len(p), p))
     for p in ranked:
         new = sum(1 / (1 + covered[k]) for k in pure[p])
-        if new < max(0.2 * len(pure[p]), 1) or any(p in x or x in p for x in chosen):
+        if new < max(0.08 * len(pure[p]), 0.2) or any(p in x or x in p for x in chosen):
             continue
         chosen.append(p)
         covered.update(pure[p])
@@ -193,24 +228,36 @@ def choose_landmarks(
 
 
 class Machine:
-    """A trained score: a weight for each subsequence, a bias, and its map to probabilities."""
+    """A trained score: a weight for each subsequence of the landmarks, a bias, and its map to
+    probabilities."""
+
+    def __init__(self, space: Landmarks, weights: np.ndarray, bias: float):
+        self.alphabet, self.base, self.keys = space.alphabet, space.base, space.keys
+        self.weights, self.bias = weights @ space.rows, bias
+        self.slope, self.shift = 1.0, 0.0
 
-    def __init__(self, table: np.ndarray, bias: float, slope: float, shift: float):
-        self.table, self.bias, self.slope, self.shift = table, bias, slope, shift
+    def table(self) -> np.ndarray:
+        out = np.zeros(self.base**4)
+        out[self.keys] = self.weights
+        return out
 
     def name(self) -> str:
         """A digest that tells machines apart."""
-        return hashlib.sha256(self.table.tobytes() + repr(self.bias).encode()).hexdigest()
+        given = [self.alphabet, self.keys.tolist(), self.weights.tolist(), self.bias]
+        return hashlib.sha256(repr(given).encode()).hexdigest()
 
-    def chunk_scores(self, chunks: list[str]) -> np.ndarray:
-        return best_windows(*codes_of(chunks), self.table)[0] + self.bias
+    def windows(self, chunks: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and place of each chunk's best window; ``table`` is the machine's own."""
+        code, starts = codes_of(chunks, self.alphabet)
+        best, at = best_windows(code, starts, self.base, table)
+        return best * scales(chunks) + self.bias, at
 
     def probability(self, score: float) -> float:
         x = self.slope * score + self.shift
         return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
-def hinge_fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+def hinge_fit(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float) -> np.ndarray:
     """Weights and bias of a linear machine: squared hinge loss, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -218,8 +265,8 @@ def hinge_fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     penalty[-1, -1] *= 1e-3
     for _ in range(40):
         active = y * (x @ w) < 1
-        own = x[active]
-        new = np.linalg.solve(own.T @ own + penalty, own.T @ y[active])
+        own = x[active] * cost[active, None]
+        new = np.linalg.solve(own.T @ x[active] + penalty, own.T @ y[active])
         if np.allclose(new, w, atol=1e-6):
             break
         w = (w + new) / 2 if _ > 10 else new
@@ -248,48 +295,52 @@ def train(toxic: list[str], clean: list[str], settings: Training = Training()) -
     """
     if not toxic or not clean:
         share = min(max(len(toxic) / max(len(toxic) + len(clean), 1), 1e-3), 1 - 1e-3)
-        return Machine(np.zeros(LETTERS**3), 0.0, 0.0, math.log(share / (1 - share)))
+        machine = Machine(Landmarks([]), np.zeros(0), 0.0)
+        machine.slope, machine.shift = 0.0, math.log(share / (1 - share))
+        return machine
     bags = [[chunks_of(s) for s in SENTENCE.split(t)] for t in toxic]
     quiet = [[c for s in SENTENCE.split(t) for c in chunks_of(s)] for t in clean]
     landmarks, insults = choose_landmarks(
         [{c for s in b for c in s} for b in bags], [set(c) for c in quiet], settings.landmarks
     )
-    rows = landmark_table(landmarks)
-    values, vectors = np.linalg.eigh((rows @ rows.T).astype(np.float64))
+    insult = re.compile("|".join(map(re.escape, landmarks[:insults])))
+    space = Landmarks(landmarks)
+    values, vectors = np.linalg.eigh(space.rows @ space.rows.T)
     kept = values > 1e-6 * values.max(initial=1e-12)
     root = vectors[:, kept] / np.sqrt(values[kept])
     seen = set().union(*map(set, quiet))
     negative = sorted(seen)
-    positive = sorted({c for b in bags for s in b for c in s} - seen)
-    chunks = negative + positive
+    chunks = negative + sorted({c for b in bags for s in b for c in s} - seen)
     place = {c: k for k, c in enumerate(chunks)}
     owned = [sorted({place[c] for s in b for c in s}) for b in bags]
     owned = [np.array(o) for o in owned if o]
-    coded = codes_of(chunks)
+    # chunks that hold one of the strings which set toxic documents apart are positive throughout
+    sure = [k for k, c in enumerate(chunks) if k >= len(negative) and insult.search(c)]
     even = np.random.default_rng(7).permutation(len(negative))[: settings.negatives // 2]
-    table, bias = rows[:insults].sum(axis=0), 0.0
+    machine = Machine(space, 1.0 * (np.arange(len(landmarks)) < insults), 0.0)
     for _ in range(settings.rounds):
-        score, at = best_windows(*coded, table)
+        score, at = machine.windows(chunks, machine.table())
         best = np.array([o[np.argmax(score[o])] for o in owned], dtype=int)
-        best = best[best >= len(negative)] if (best >= len(negative)).any() else best
+        best = np.union1d(best[best >= len(negative)], sure).astype(int)
         hard = np.argsort(-score[: len(negative)], kind="stable")[: settings.negatives // 2]
         calm = np.union1d(hard, even)
-        chosen = np.concatenate([best, calm])
-        features = window_kernels([cut_window(chunks[k], at[k]) for k in chosen], rows) @ root
+        chosen = np.concatenate([best, calm]).astype(int)
+        features = space.kernels([chunks[k] for k in chosen], at[chosen]) @ root
         y = np.concatenate([np.ones(len(best)), -np.ones(len(calm))])
-        w = hinge_fit(features, y, settings.ridge)
-        table, bias = rows.T @ (root @ w[:-1]), float(w[-1])
-    machine = Machine(table, bias, 1.0, 0.0)
-    own = np.array([document_score(machine, t) for t in [*toxic, *clean]])
+        cost = np.where(y > 0, settings.positive_cost, 1.0)
+        w = hinge_fit(features, y, cost, settings.ridge)
+        machine = Machine(space, root @ w[:-1], float(w[-1]))
+    table = machine.table()
+    own = np.array([document_score(machine, table, t) for t in [*toxic, *clean]])
     labels = np.array([1] * len(toxic) + [0] * len(clean))
     machine.slope, machine.shift = logistic_fit(own, labels)
     return machine
 
 
-def document_score(machine: Machine, text: str) -> float:
+def document_score(machine: Machine, table: np.ndarray, text: str) -> float:
     """The score of the best sentence; that of no chunk at all for a blank text."""
     chunks = list({c for s in SENTENCE.split(text) for c in chunks_of(s)})
-    return float(machine.chunk_scores(chunks).max()) if chunks else machine.bias
+    return float(machine.windows(chunks, table)[0].max()) if chunks else machine.bias
 
 
 def labelled_sample(
@@ -324,6 +375,7 @@ def score(docs: DataFrame, text: Column, machine: Machine) -> DataFrame:
 
     @F.pandas_udf("double")
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = machine.table()
         memory = worker_memory(("toxicity", machine.name()), REMEMBERED)
         for batch in batches:
             out = []
@@ -331,7 +383,7 @@ def score(docs: DataFrame, text: Column, machine: Machine) -> DataFrame:
                 part = [x or "" for x in batch.iloc[lo : lo + 256]]
                 split = [chunks_of(x) for x in part]
                 if new := memory.lacking(split):
-                    memory.known.update(zip(new, machine.chunk_scores(new).tolist()))
+                    memory.known.update(zip(new, machine.windows(new, table)[0].tolist()))
                 for chunks in split:
                     best = max(map(memory.known.__getitem__, chunks), default=machine.bias)
                     out.append(machine.probability(best))
