@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,10 +64,21 @@ def _taken(before: str, pattern: str) -> Column:
     return F.regexp_replace(F.col(before), pattern, "")
 
 
+def _paired(hashes: Column, step: int) -> Column:
+    """Hashes of windows twice as long: of each window and the one ``step`` places on."""
+    count = F.greatest(F.size(hashes) - step, F.lit(0))
+    return F.zip_with(
+        F.slice(hashes, F.lit(1), count),
+        F.slice(hashes, F.lit(1 + step), count),
+        lambda a, b: F.xxhash64(a, b),
+    )
+
+
 def with_base(docs: DataFrame, text: Column) -> DataFrame:
-    """Add the base counts, and the arrays ``__words`` and class counts the method needs.
+    """Add the base counts, and for the method the hashes of the words and the class counts.
 
-    Equal windows of eight words are found by a 64-bit hash of the window.
+    Equal windows of eight words are found by a 64-bit hash, eight-word windows only where
+    two windows of four words are equal.
     """
     df = docs.withColumn("__text", F.coalesce(text, F.lit("")))
     df = df.withColumn("__words", F.array_remove(F.split("__text", SPACES), ""))
@@ -84,27 +95,23 @@ def with_base(docs: DataFrame, text: Column) -> DataFrame:
     df = df.withColumn(
         "n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")
     ).drop("__lines")
-    for step in (1, 2, 4):
-        count = F.greatest(F.size("__h") - step, F.lit(0))
-        df = df.withColumn(
-            "__h",
-            F.zip_with(
-                F.slice("__h", F.lit(1), count),
-                F.slice("__h", F.lit(1 + step), count),
-                lambda a, b: F.xxhash64(a, b),
-            ),
-        )
+    df = df.withColumn("__h2", _paired(F.col("__h"), 1))
+    df = df.withColumn("__h4", _paired(F.col("__h2"), 2)).drop("__h2")
+    df = df.withColumn(
+        "__h8",
+        F.when(F.size(F.array_distinct("__h4")) < F.size("__h4"), _paired(F.col("__h4"), 4)),
+    ).drop("__h4")
     df = df.withColumn(
         "__sorted",
         F.when(
-            F.size(F.array_distinct("__h")) < F.size("__h"),
+            F.size(F.array_distinct("__h8")) < F.size("__h8"),
             F.sort_array(
                 F.arrays_zip(
-                    F.col("__h").alias("h"), F.sequence(F.lit(1), F.size("__h")).alias("at")
+                    F.col("__h8").alias("h"), F.sequence(F.lit(1), F.size("__h8")).alias("at")
                 )
             ),
         ),
-    ).drop("__h")
+    ).drop("__h8")
     df = df.withColumn(
         "__places",
         F.sort_array(
@@ -135,13 +142,13 @@ def with_base(docs: DataFrame, text: Column) -> DataFrame:
         before = f"__rest_{name}"
     counts["symbol"] = F.length(before)
     df = df.withColumn("__classes", F.array(*[counts[c].cast("double") for c in CLASS_NAMES]))
-    return df.drop("__text", *[f"__rest_{name}" for name in CLASSES])
+    return df.drop("__text", "__words", *[f"__rest_{name}" for name in CLASSES])
 
 
 def references(docs: DataFrame, text: Column, lang: Column, rules: Rules) -> dict[str, dict]:
     """The histograms of each language, over all its documents; see the module.
 
-    ``{language: {"classes": [shares], "words": {word: share}}}``. Null languages count as
+    ``{language: {"classes": [shares], "words": {hash of word: share}}}``. Null languages count as
     one of their own. Without any word there is no reference, and nothing is rejected by
     divergence.
     """
@@ -149,8 +156,9 @@ def references(docs: DataFrame, text: Column, lang: Column, rules: Rules) -> dic
         F.coalesce(lang.cast("string"), F.lit("")).alias("lang"),
         F.coalesce(text, F.lit("")).alias("text"),
     )
-    words = given.select("lang", F.explode(F.split(F.lower("text"), SPACES)).alias("w"))
-    counts = words.filter("w != ''").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    words = given.select("lang", F.explode(F.split("text", SPACES)).alias("w")).filter("w != ''")
+    words = words.select("lang", F.xxhash64("w").alias("w"))
+    counts = words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
     top = counts.withColumn("r", F.row_number().over(by_count)).filter(
         F.col("r") <= rules.common_words
@@ -198,27 +206,55 @@ def class_distance(classes: Column, reference: dict) -> Column:
     return F.sqrt(F.greatest(reduce(lambda a, b: a + b, terms), F.lit(0.0)))
 
 
-def word_distance(runs: Column, n_words: Column, reference: dict) -> Column:
-    """The distance of word counts ``array<struct<w, n>>`` from a reference's common words."""
-    shares = F.create_map(*[F.lit(x) for pair in reference["words"].items() for x in pair])
-    start = F.struct(*[F.lit(0.0).alias(x) for x in ("js", "p", "q")])
+def word_distance(runs: Column, n_words: Column, references_: list[dict]) -> Column:
+    """The distance of word counts ``array<struct<w, n>>`` from the nearest language's words:
+    the one whose common words have the largest share of the document."""
+    shares: dict[int, list[float]] = {}
+    for k, x in enumerate(references_):
+        for w, q in x["words"].items():
+            shares.setdefault(w, [0.0] * len(references_))[k] = q
+    # the nearest language goes along as an array of one, so that it is worked out once
+    table = F.create_map(
+        *[x for w, q in shares.items() for x in (F.lit(w), F.array(*map(F.lit, q)))]
+    )
+    known = F.transform(
+        runs,
+        lambda r: F.struct((r["n"] / n_words).alias("p"), F.try_element_at(table, r["w"]).alias("q")),
+    )
+    common = F.array(*[F.lit(sum(x["words"].values())) for x in references_])
+
+    def with_language(bins: Column, k: Column) -> Column:
+        start = F.struct(*[F.lit(0.0).alias(x) for x in ("js", "p", "q")])
+
+        def add(acc: Column, x: Column) -> Column:
+            q = F.get(x["q"], k)
+            p = F.when(q > 0, x["p"]).otherwise(F.lit(0.0))
+            return F.struct(
+                (acc["js"] + F.when(q > 0, _term(p, q)).otherwise(F.lit(0.0))).alias("js"),
+                (acc["p"] + p).alias("p"),
+                (acc["q"] + q).alias("q"),
+            )
 
-    def add(acc: Column, run: Column) -> Column:
-        q = F.coalesce(F.try_element_at(shares, run["w"]), F.lit(0.0))
-        p = F.when(q > 0, run["n"] / n_words).otherwise(F.lit(0.0))
-        js = F.when(q > 0, _term(p, q)).otherwise(F.lit(0.0))
-        return F.struct(
-            (acc["js"] + js).alias("js"), (acc["p"] + p).alias("p"), (acc["q"] + q).alias("q")
-        )
+        def end(acc: Column) -> Column:
+            unseen = F.greatest(F.get(common, k) - acc["q"], F.lit(0.0)) / 2
+            rest = _term(F.greatest(1 - acc["p"], F.lit(0.0)), 1 - F.get(common, k))
+            return F.sqrt(F.greatest(acc["js"] + unseen + rest, F.lit(0.0)))
 
-    common = sum(reference["words"].values())
+        return F.aggregate(bins, start, add, end)
 
-    def end(acc: Column) -> Column:
-        unseen = F.greatest(F.lit(common) - acc["q"], F.lit(0.0)) / 2
-        rest = _term(F.greatest(1 - acc["p"], F.lit(0.0)), F.lit(max(1 - common, 0.0)))
-        return F.sqrt(F.greatest(acc["js"] + unseen + rest, F.lit(0.0)))
+    def mass(bins: Column, k: int) -> Column:
+        return F.aggregate(
+            bins,
+            F.lit(0.0),
+            lambda acc, x: acc + F.when(x["q"][k] > 0, x["p"]).otherwise(F.lit(0.0)),
+        )
 
-    return F.aggregate(runs, start, add, end)
+    def of(bins: Column) -> Column:
+        masses = F.array(*map(partial(mass, bins), range(len(references_))))
+        nearest = F.array(F.array_position(masses, F.array_max(masses)).cast("int") - 1)
+        return F.transform(nearest, lambda k: with_language(bins, k))[0]
+
+    return F.transform(F.array(known), of)[0]
 
 
 def without_common_words(reference: dict) -> float:
@@ -255,12 +291,7 @@ def judge(
     if references_:
         vocabulary = sorted({w for x in references_.values() for w in x["words"]})
         df = df.withColumn(
-            "__common",
-            F.sort_array(
-                F.filter(
-                    F.transform("__words", F.lower), lambda w: w.isin(vocabulary)
-                )
-            ),
+            "__common", F.sort_array(F.filter("__h", lambda h: h.isin(vocabulary)))
         )
         # runs of equal words in the sorted array: where they start, then word and length
         df = df.withColumn(
@@ -292,9 +323,7 @@ def judge(
             ),
             "word_distance": F.when(
                 F.col("n_words") >= rules.common_words_from,
-                _nearest(
-                    references_, lambda x: word_distance(F.col("__runs"), F.col("n_words"), x)
-                ),
+                word_distance(F.col("__runs"), F.col("n_words"), list(references_.values())),
             ),
         }
     df = df.withColumns({k: v.cast("double") for k, v in distances.items()})
@@ -304,5 +333,5 @@ def judge(
         ~F.col("base_failed")
         & F.coalesce(F.col("class_distance") <= rules.max_class_distance, F.lit(True))
         & F.coalesce(F.col("word_distance") <= rules.max_word_share * bare, F.lit(True)),
-    ).drop("__words", "__classes", "__common", "__starts", "__runs")
+    ).drop("__h", "__classes", "__common", "__starts", "__runs")
 
