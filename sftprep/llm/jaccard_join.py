@@ -8,11 +8,12 @@ group's union bounds its overlap with every member; only documents that this bou
 the threshold open the group, where bits give all exact overlaps at once.
 
 Signatures lose no pair. Sets that link differ in at most ``D`` tokens, where ``D`` follows
-from their sizes. Hashing tokens into ``D + 1 + SPARE`` parts leaves more than ``SPARE`` parts
-equal, and each part's content is a signature. Parts without tokens give one only in documents
-with more than ``SPARE`` of them, which is enough: if no common part has tokens, both
-documents have that many. Sizes fall into levels so that both documents use the same number
-of parts; a document near the lower end of a level also signs as the level below.
+from their sizes. Tokens are hashed into more than ``D`` parts, and the contents of a set's
+first ``D + 1`` parts with tokens are its signatures: at most ``D`` of them differ from the
+other set's, and the one that does not is among the other's as well. A set with fewer such
+parts also signs its parts without tokens; two such sets have an equal part in any case. Sizes
+fall into levels so that both documents use the same number of parts; a document near the
+lower end of a level also signs as the level below.
 
 Groups that share a signature first meet the signature's hub, one of them, which is linear in
 the size of even the largest family of copies. After that, groups meet pairwise unless all of
@@ -27,11 +28,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sftprep.llm.common import worker_memory
 from sftprep.storage import stored
 
-SPARE = 2
 #: Members of a group, about; words a worker remembers the hashes of.
 GROUP = 128
 REMEMBERED = 800_000
@@ -86,11 +87,12 @@ class Levels:
             self.starts.append(nxt)
         return int(np.searchsorted(self.starts, size, side="right")) - 1
 
-    def parts(self, level: int) -> int:
-        """Parts that sets of a level and the sets they reach above it are cut into."""
+    def parts(self, level: int) -> tuple[int, int]:
+        """``D`` for sets of a level and those they reach above it, and the number of parts."""
         largest = self.starts[level + 1] - 1
         both = largest + self.reach(largest)
-        return both - 2 * -(-self.percent * both // (100 + self.percent)) + 1 + SPARE
+        differ = both * (100 - self.percent) // (100 + self.percent)
+        return differ, differ + 3 + differ // 6
 
     def signing(self, size: int) -> list[int]:
         if size < self.least:
@@ -104,13 +106,15 @@ def signatures(tokens: np.ndarray, levels: Levels) -> np.ndarray:
     """The signatures of a set."""
     out = []
     for level in levels.signing(len(tokens)):
-        m = levels.parts(level)
+        differ, m = levels.parts(level)
         part = ((tokens >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         own, first = np.unique(part[order], return_index=True)
         mixed = (tokens ^ (tokens << np.uint64(13))) * _MIX[1]
         content = np.add.reduceat(mixed[order], first)
-        if m - len(own) > SPARE:
+        if len(own) > differ:
+            own, content = own[: differ + 1], content[: differ + 1]
+        else:
             empty = np.setdiff1d(np.arange(m), own)
             own = np.concatenate([own, empty])
             content = np.concatenate([content, np.zeros(len(empty), dtype=np.uint64)])
@@ -276,10 +280,12 @@ def _links(
     reps = signed.filter("size(sigs) > 0").join(
         classes, ["h1", "h2"]
     ).filter("id = rep").select("id", "sigs")
-    postings = reps.select("id", F.explode("sigs").alias("sig"))
-    shared = postings.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    shared = shared.filter("lo < hi").select("sig")
-    postings = stored(postings.join(shared, "sig"), "postings")
+    by_id = Window.partitionBy("sig").orderBy("id")
+    postings = reps.select("id", F.explode("sigs").alias("sig")).select(
+        "id", "sig", F.lag("id").over(by_id).alias("before"), F.lead("id").over(by_id).alias("after")
+    )
+    shared = F.col("before").isNotNull() | F.col("after").isNotNull()
+    postings = stored(postings.filter(shared).select("sig", "id"), "postings")
     family = postings.groupBy("id").agg(F.min("sig").alias("family"))
     sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("units"))
     unit = F.pmod(F.xxhash64("id"), F.col("units"))

@@ -3,13 +3,42 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sftprep.llm import bpe, jaccard_join, katz, multiprobe, packing, quality, token_counts, toxicity
+from sftprep.llm import (
+    bpe,
+    jaccard_join,
+    katz,
+    multiprobe,
+    packing,
+    pii,
+    quality,
+    secret_scan,
+    token_counts,
+    toxicity,
+)
 from sftprep.llm.common import table
 
 
+def outside_fold(doc_id: str, folds: int, fold: int) -> Column:
+    """Whether ``crc32`` of an id as text leaves another rest than ``fold``; true for null."""
+    rest = F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
+    return F.coalesce(rest != fold, F.lit(True))
+
+
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scanner = secret_scan.fit(docs, F.col("text"))
+    found = secret_scan.scan(docs, F.col("text"), scanner)
+    return found.select(
+        "doc_id",
+        "n_findings",
+        F.size("secrets").cast("long").alias("n_secrets"),
+        secret_scan.spell(F.col("secrets")).alias("spans"),
+    )
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     judged = quality.judge(docs, F.col("text"), F.col("lang"))
@@ -41,6 +70,11 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.find(docs, F.col("text")).drop("text")
+
+
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return jaccard_join.jaccard_join(docs, "doc_id", F.col("text"), percent=90, width=3)
@@ -49,11 +83,10 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels").select("doc_id", "toxic")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    seen = docs.join(labels, "doc_id").filter(~held_out)
+    seen = docs.join(labels, "doc_id").filter(outside_fold("doc_id", 5, 0))
     machine = toxicity.fit(seen, "doc_id", F.col("text"), F.col("toxic"))
     scored = toxicity.score(docs, F.col("text"), machine)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", (~outside_fold("doc_id", 5, 0)).alias("held_out"), "score", "predicted")
 
 
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,11 +99,13 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_multiprobe_search": op3_multiprobe_search,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_katz_backoff": op5_katz_backoff,
     "op6_token_counts": op6_token_counts,
+    "op7_pii": op7_pii,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
