@@ -5,7 +5,8 @@ Strict patterns with their checks give the base spans, which always stay. Loose
 labelers of three kinds: patterns, gazetteers of cue words and of domain endings, and context.
 A labeler may abstain. Expectation maximisation over the votes of all candidates estimates
 how often each labeler is right; the probabilities that come of it train a logistic
-classifier on votes and shape, which decides about the candidates that touch no base span.
+classifier on votes and shape, which decides about the candidates that touch no base span;
+a failed check (checksum, range, number of digits, domain ending) rules a candidate out.
 
 Votes are discrete, so all candidates of a corpus reduce to a table of patterns and counts
 of at most a few thousand rows; only that table reaches the driver. Everything else is
@@ -36,6 +37,7 @@ GUARD = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "ph
 LOOSE = (
     "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\\x20?(?:@|[(\\[]at[)\\]])\\x20?"
     "[A-Za-z0-9-]++(?:(?:\\.|\\x20?[(\\[]dot[)\\]]\\x20?)[A-Za-z0-9-]++)*+"
+    "|(?<![0-9A-Za-z])[0-9]{13,19}+(?![0-9A-Za-z])"
     "|(?<![0-9A-Za-z])\\+?\\(?[0-9](?:[().\\x20-]?[().\\x20-]?[0-9]){6,40}+(?![0-9A-Za-z])"
 )
 LOOSE_GUARD = "@|[(\\[]at[)\\]]|[0-9][().\\x20-]{0,2}[0-9]"
@@ -287,6 +289,7 @@ def find(docs: DataFrame, text: Column, threshold: float = 0.8) -> DataFrame:
         F.filter(
             "__loose",
             lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+            & (c["f"][LABELERS.index("check")] == 1)
             & classifier.accepts(c),
         ),
     )
