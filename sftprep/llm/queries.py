@@ -82,9 +82,8 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    labels = table(spark, folder, "labels").select("doc_id", "toxic")
-    seen = docs.join(labels, "doc_id").filter(outside_fold("doc_id", 5, 0))
-    machine = toxicity.fit(seen, "doc_id", F.col("text"), F.col("toxic"))
+    seen = table(spark, folder, "labels").filter(outside_fold("doc_id", 5, 0))
+    machine = toxicity.fit(docs, seen, "doc_id", F.col("text"), "toxic")
     scored = toxicity.score(docs, F.col("text"), machine)
     return scored.select("doc_id", (~outside_fold("doc_id", 5, 0)).alias("held_out"), "score", "predicted")
 

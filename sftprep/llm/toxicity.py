@@ -344,26 +344,42 @@ def document_score(machine: Machine, table: np.ndarray, text: str) -> float:
 
 
 def labelled_sample(
-    docs: DataFrame, doc_id: str, text: Column, label: Column, settings: Training
+    docs: DataFrame, labels: DataFrame, doc_id: str, text: Column, label: str, settings: Training
 ) -> tuple[list[str], list[str]]:
-    """Whole texts of at most ``settings.toxic`` and ``settings.clean`` labelled documents."""
-    given = docs.filter(text.isNotNull()).select(
-        text.alias("text"), label.alias("label"), F.xxhash64(doc_id).alias("h")
-    )
-    return tuple(
-        [
-            r["text"]
-            for r in given.filter(F.col("label") == k).orderBy("h", "text").limit(n).collect()
-        ]
+    """Distinct whole texts of at most ``settings.toxic`` and ``settings.clean`` documents.
+
+    Ids are chosen from ``labels`` first, at most that many, so only they are broadcast and
+    no text is shuffled. An id without a document, or with a null text, is left out.
+    """
+    chosen = [
+        labels.filter(F.col(label) == k)
+        .select(F.col(doc_id).alias("__id"), F.col(label).alias("__label"))
+        .distinct()
+        .orderBy(F.xxhash64("__id"), "__id")
+        .limit(n)
         for k, n in ((1, settings.toxic), (0, settings.clean))
+    ]
+    rows = (
+        docs.select(F.col(doc_id).alias("__id"), text.alias("__text"))
+        .filter(F.col("__text").isNotNull())
+        .join(F.broadcast(chosen[0].union(chosen[1])), "__id")
+        .dropDuplicates(["__id", "__label"])
+        .collect()
     )
+    found = sorted((r["__id"], r["__label"], r["__text"]) for r in rows)
+    return tuple(list(dict.fromkeys(t for _, own, t in found if own == k)) for k in (1, 0))
 
 
 def fit(
-    docs: DataFrame, doc_id: str, text: Column, label: Column, settings: Training = Training()
+    docs: DataFrame,
+    labels: DataFrame,
+    doc_id: str,
+    text: Column,
+    label: str,
+    settings: Training = Training(),
 ) -> Machine:
-    """A machine trained on a bounded sample of labelled documents."""
-    return train(*labelled_sample(docs, doc_id, text, label, settings), settings)
+    """A machine trained on a bounded sample of the documents that ``labels`` marks."""
+    return train(*labelled_sample(docs, labels, doc_id, text, label, settings), settings)
 
 
 def score(docs: DataFrame, text: Column, machine: Machine) -> DataFrame:
