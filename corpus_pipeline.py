@@ -30,9 +30,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic, by labels of four of the five folds of ids."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    seen = docs.select("doc_id", "text").join(labels, "doc_id").filter(outside_fold("doc_id", 5, 0))
-    machine = toxicity.fit(seen, "doc_id", F.col("text"), F.col("toxic"))
+    seen = table(spark, sf_dir, "labels").filter(outside_fold("doc_id", 5, 0))
+    machine = toxicity.fit(docs, seen, "doc_id", F.col("text"), "toxic")
     scored = toxicity.score(docs, F.col("text"), machine)
     return scored.filter("predicted = 0").select(docs.columns)
 
