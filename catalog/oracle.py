@@ -29,11 +29,12 @@ LENGTH = TOKENS.data_max_length + TOKENS.target_max_length
 PROMPT_LENGTH = TOKENS.data_max_length
 
 STRUCTURAL = """structural AS (
-  SELECT conv_id,
-    min_by(text, turn) FILTER (role = 'system') AS instruction,
-    min_by(text, turn) FILTER (role = 'user') AS input,
-    min_by(text, turn) FILTER (role = 'assistant') AS response
-  FROM conversations GROUP BY conv_id)"""
+  SELECT record_id, instruction, input, response FROM (
+    SELECT conv_id * 1000000 + turn AS record_id, role, text AS response,
+      first_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER so_far AS instruction,
+      last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER so_far AS input
+    FROM conversations WINDOW so_far AS (PARTITION BY conv_id ORDER BY turn))
+  WHERE role = 'assistant')"""
 
 
 def turn(role: str, content: str) -> str:
@@ -154,11 +155,15 @@ DROPPED = f"""dropped AS (
   FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) GROUP BY conv_id)"""
 
 PAIRS = f"""labelled AS (
-  SELECT *, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS pair
+  SELECT *, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS rank
   FROM documents JOIN labels USING (doc_id)),
+fewer AS (
+  SELECT least(count(*) FILTER (quality = 1), count(*) FILTER (quality = 0)) AS n FROM labelled),
 pairs AS (
-  SELECT c.pair, '{INSTRUCTION}' AS instruction, c.source AS input, c.text AS chosen, r.text AS rejected
-  FROM labelled c JOIN labelled r USING (pair) WHERE c.quality = 1 AND r.quality = 0)"""
+  SELECT greatest(c.rank, r.rank) AS pair, '{INSTRUCTION}' AS instruction, c.source AS input,
+    c.text AS chosen, r.text AS rejected
+  FROM labelled c, labelled r, fewer
+  WHERE c.quality = 1 AND r.quality = 0 AND c.rank % n = r.rank % n)"""
 
 
 def pair_prompt(column: str) -> str:
@@ -169,7 +174,7 @@ def pair_prompt(column: str) -> str:
 
 
 PREDICTIONS = f"""{STRUCTURAL},
-base AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS pos FROM structural),
+base AS (SELECT *, row_number() OVER (ORDER BY record_id) - 1 AS pos FROM structural),
 size AS (SELECT count(*) AS n FROM base),
 dealt AS (
   SELECT pos, input FROM base
@@ -219,7 +224,7 @@ SELECT turn_key, coalesce(string_agg(coalesce(id, {UNK}), ' ' ORDER BY p) FILTER
 FROM turns LEFT JOIN el ON k = turn_key LEFT JOIN vocab USING (token) GROUP BY turn_key"""
 
 LENGTHS = f"list_transform(regexp_extract_all(text, {RE}), lambda t: length(t)::INT)"
-FIRST_LENGTHS = f"list_slice({LENGTHS}, 1, 512)"
+LONGEST = 1024
 
 
 def joined(items: str) -> str:
@@ -227,7 +232,7 @@ def joined(items: str) -> str:
 
 
 def padded(items: str, value: str, left: bool) -> str:
-    fill = f"list_resize([]::INT[], (512 - len({items}))::BIGINT, {value})"
+    fill = f"list_resize([]::INT[], ({LONGEST} - len({items}))::BIGINT, {value})"
     return joined(f"list_concat({fill}, {items})" if left else f"list_concat({items}, {fill})")
 
 
@@ -236,20 +241,22 @@ def starts(pattern: list[int]) -> str:
     return joined(f"list_filter(range(greatest(len(ids) - {len(pattern) - 1}, 0)), lambda i: {test})")
 
 
-def masked(tokens: str, length: int | None) -> str:
+def masked(rel: str, key: str, tokens: str, length: int | None) -> str:
     """T7 over token lengths, start 2 1, end 9; padded with 9 to ``length``."""
     grid = (
         "SELECT k, p, token AS id FROM el"
         if length is None
         else f"""SELECT g.k, g.p, coalesce(el.token, 9) AS id
-  FROM (SELECT doc_id AS k, unnest(range({length})) AS p FROM documents) g
+  FROM (SELECT {key} AS k, unnest(range({length})) AS p FROM {rel}) g
   LEFT JOIN el ON g.k = el.k AND g.p = el.p"""
     )
-    return f"""WITH {elements('el', 'documents', 'doc_id', tokens)},
+    keys = key if length is None else "conv_id, turn"
+    return f"""WITH turns AS (SELECT *, conv_id * 1000000 + turn AS id FROM conversations),
+{elements('el', rel, key, tokens)},
 x AS ({grid}),
 {labels('found', 'x', [2, 1], [9])}
-SELECT doc_id, coalesce(string_agg(label, ' ' ORDER BY p), '') AS labels
-FROM documents LEFT JOIN found ON k = doc_id GROUP BY doc_id"""
+SELECT {keys}, coalesce(string_agg(label, ' ' ORDER BY p), '') AS labels
+FROM {rel} LEFT JOIN found ON k = {key} GROUP BY {keys}"""
 
 
 EXTENDED = f"""{vocab('other', "lang <> 'en'", ())},
@@ -285,12 +292,12 @@ SELECT {key}, pos, input_ids, attention_mask, labels FROM prompts JOIN enc ON k
 
 # The echo generator: the first 64 tokens of the prompt once more
 PREDICT_PROMPTS = f"""{STRUCTURAL}, {vocab()},
-base AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS pos, {OPEN_PROMPT} AS prompt FROM structural),
+base AS (SELECT *, row_number() OVER (ORDER BY record_id) - 1 AS pos, {OPEN_PROMPT} AS prompt FROM structural),
 {elements('el', 'base', 'pos', f'list_slice(regexp_extract_all(prompt, {RE}), 1, 64)')},
 echoed AS (SELECT k, p, coalesce(id, {UNK}) AS id, v.token FROM el LEFT JOIN vocab v USING (token))"""
 
 ORACLE = {
-    "read_parquet": "SELECT doc_id, lang, source, n_chars FROM documents",
+    "read_parquet": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "read_json": f"WITH {STRUCTURAL} SELECT * FROM structural",
     "read_jsonl": f"WITH {RENDERED} SELECT conv_id, prompt FROM rendered",
     "read_csv": "SELECT doc_id, lang, CASE WHEN source <> 'src3' THEN source END AS source, text FROM documents",
@@ -303,7 +310,7 @@ FROM shards GROUP BY ALL""",
     "read_prediction_shards": f"""WITH {PREDICTIONS}
 SELECT index, nullif(response, '') AS response, device_num, batch_idx FROM shards""",
     "write_submission": f"""WITH {PREDICTIONS}
-SELECT conv_id, instruction, base.input, shards.response
+SELECT record_id, instruction, base.input, shards.response
 FROM base JOIN shards ON pos = index""",
     "sharded_export": f"""SELECT doc_id, format('model-{{:05d}}-of-{SHARDS:05d}', 1 + CASE
     WHEN n // {SHARDS} = 0 THEN {SHARDS - 1} ELSE least(pos // (n // {SHARDS}), {SHARDS - 1}) END) AS file
@@ -311,7 +318,7 @@ FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OV
     "sharded_export_size": "SELECT sum(octet_length(encode(text)))::BIGINT AS total_size FROM documents",
     "select_fields": "SELECT doc_id, lang AS instruction, source AS input, text AS response FROM documents",
     "fill_missing": f"""WITH {STRUCTURAL}
-SELECT conv_id, coalesce(instruction, '_') AS instruction, coalesce(input, '_') AS input,
+SELECT record_id, coalesce(instruction, '_') AS instruction, coalesce(input, '_') AS input,
   coalesce(response, '_') AS response FROM structural""",
     "strip_text": f"""SELECT doc_id, trim({chars('　 ')} || ' ' || chr(9) || text || chr(10) || '  ', {WS}) AS text
 FROM documents""",
@@ -340,9 +347,9 @@ FROM documents, (VALUES ('train', 0), ('train', 1), ('val', 1)) m(mode, epoch)""
   (pos // {DEVICES}) // {BATCH} AS batch_idx
 FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)""",
     "to_messages": f"""WITH {STRUCTURAL}
-SELECT conv_id, 0 AS turn, 'system' AS role, coalesce(instruction, '_') AS content FROM structural
-UNION ALL SELECT conv_id, 1, 'user', coalesce(input, '_') FROM structural
-UNION ALL SELECT conv_id, 2, 'assistant', coalesce(response, '_') FROM structural""",
+SELECT record_id, 0 AS turn, 'system' AS role, coalesce(instruction, '_') AS content FROM structural
+UNION ALL SELECT record_id, 1, 'user', coalesce(input, '_') FROM structural
+UNION ALL SELECT record_id, 2, 'assistant', coalesce(response, '_') FROM structural""",
     "render_chat": f"""WITH {RENDERED}
 SELECT conv_id, prompt, prompt || '<|im_start|>assistant' || {NL} AS open_prompt FROM rendered""",
     "assemble_conversations": f"""SELECT conv_id, count(*)::INT AS turns,
@@ -360,19 +367,19 @@ FROM (SELECT doc_id, regexp_extract_all(text, {RE}) AS t FROM documents)""",
     "lookup_ids_by_join": TURN_IDS,
     "truncate": f"""SELECT doc_id, len(t)::INT AS size, array_to_string(t, '') AS text
 FROM (SELECT doc_id, list_slice(regexp_extract_all(text, {RE}), 1, 256) AS t FROM documents)""",
-    "pad_ids": f"""SELECT doc_id, {padded('ids', '0', False)} AS right_padded, {padded('ids', '0', True)} AS left_padded
-FROM (SELECT doc_id, {FIRST_LENGTHS} AS ids FROM documents)""",
-    "attention_mask": f"""SELECT doc_id, {padded('ones', '0', False)} AS right_padded,
+    "pad_ids": f"""SELECT conv_id, turn, {padded('ids', '0', False)} AS right_padded, {padded('ids', '0', True)} AS left_padded
+FROM (SELECT conv_id, turn, {LENGTHS} AS ids FROM conversations)""",
+    "attention_mask": f"""SELECT conv_id, turn, {padded('ones', '0', False)} AS right_padded,
   {padded('ones', '0', True)} AS left_padded
-FROM (SELECT doc_id, list_transform({FIRST_LENGTHS}, lambda i: 1) AS ones FROM documents)""",
+FROM (SELECT conv_id, turn, list_transform({LENGTHS}, lambda i: 1) AS ones FROM conversations)""",
     "find_pattern": f"""SELECT doc_id, {starts([1, 2])} AS pairs, {starts([1, 3, 1])} AS triples
 FROM (SELECT doc_id, {LENGTHS} AS ids FROM documents)""",
-    "mask_labels": masked(LENGTHS, None),
-    "mask_labels_padded": masked(FIRST_LENGTHS, 512),
+    "mask_labels": masked('documents', 'doc_id', LENGTHS, None),
+    "mask_labels_padded": masked('turns', 'id', LENGTHS, LONGEST),
     "full_labels": f"""WITH {vocab()}, {STRUCTURAL},
-prompts AS (SELECT conv_id, {STRUCTURAL_PROMPT} AS prompt FROM structural),
-{encoded('enc', 'prompts', 'conv_id', 'prompt', LENGTH)}
-SELECT k AS conv_id, input_ids AS labels FROM enc""",
+prompts AS (SELECT record_id, {STRUCTURAL_PROMPT} AS prompt FROM structural),
+{encoded('enc', 'prompts', 'record_id', 'prompt', LENGTH)}
+SELECT k AS record_id, input_ids AS labels FROM enc""",
     "strip_prompt": f"SELECT doc_id, {joined(f'({LENGTHS})[101:]')} AS ids FROM documents",
     "decode_ids": f"""SELECT doc_id, array_to_string(
   list_filter(regexp_extract_all(text, {RE}), lambda t: t <> ' '), '') AS text FROM documents""",
@@ -384,7 +391,7 @@ SELECT token, id, freq FROM vocab
 UNION ALL
 SELECT token, ((SELECT max(id) FROM vocab) + i)::INT, 0 FROM (VALUES ('<think>', 1), ('</think>', 2)) t(token, i)""",
     "merge_predictions": f"""WITH {PREDICTIONS}
-SELECT conv_id, instruction, base.input, pos, shards.response FROM base JOIN shards ON pos = index""",
+SELECT record_id, instruction, base.input, pos, shards.response FROM base JOIN shards ON pos = index""",
     "union_shards": f"WITH {PREDICTIONS} SELECT * FROM shards",
     "sort_by_index": f"WITH {PREDICTIONS} SELECT index, response FROM shards",
     "count_guard": f"""WITH {PREDICTIONS},
@@ -427,12 +434,12 @@ UNION ALL
 SELECT n + i, ids FROM made, size, range({DEVICES - 1}) r(i)
 WHERE k = n - 1 AND i < ({DEVICES} - n % {DEVICES}) % {DEVICES}""",
     "tokenizer_plugin": "SELECT doc_id, hex(encode(text)) AS bytes FROM documents",
-    "prepare_sft": sft_job("structural", "conv_id"),
+    "prepare_sft": sft_job("structural", "record_id"),
     "prepare_sft_documents": sft_job("documents_as_records", "doc_id"),
     "prepare_chat_sft": f"""WITH {vocab()}, {RENDERED},
 split AS ({ranked('rendered', 'conv_id')}),
 prompts AS (
-  SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS pos, prompt FROM split WHERE is_val),
+  SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS pos, prompt FROM split WHERE NOT is_val),
 {encoded('enc', 'prompts', 'conv_id', 'prompt', LENGTH)}
 SELECT conv_id, pos, input_ids, attention_mask, labels FROM prompts JOIN enc ON k = conv_id""",
     "prepare_preference": f"""WITH {vocab()}, {PAIRS},
@@ -471,7 +478,7 @@ FROM prompts JOIN enc ON k = pos""",
 made AS (
   SELECT k, translate(string_agg(token, '' ORDER BY p) FILTER (id > {IM_END}), {NL} || chr(13), '  ') AS text
   FROM echoed GROUP BY k)
-SELECT conv_id, instruction, input, pos, nullif(text, '') AS response FROM base JOIN made ON k = pos""",
+SELECT record_id, instruction, input, pos, nullif(text, '') AS response FROM base JOIN made ON k = pos""",
     "extend_vocabulary": f"""WITH {vocab('vocab', "lang = 'en'")}, {EXTENDED}
 SELECT token, id, freq FROM extended
 UNION ALL

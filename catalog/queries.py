@@ -23,6 +23,8 @@ from sftprep.storage import shared_path, stored
 SPLIT = SplitSpec(ratio=0.1, seed=2025)
 RECIPE = Recipe(splits=SPLIT, tokens=TOKENS, batches=BatchSpec(DEVICES, BATCH))
 SHARDS = 10
+#: Longer than any turn of a conversation in tokens.
+LONGEST = 1024
 LATIN_ACCENTS = "À-ÿ"
 BLANKS = "　 \t"
 
@@ -41,14 +43,15 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_parquet(spark, sf_dir):
     df = readers.load_dataset(spark, sf_dir, "documents", "parquet", "train")
-    return df.select("doc_id", "lang", "source", "n_chars")
+    return df.select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def read_json(spark, sf_dir):
-    """JSON files that hold one array each: sixteen neighbouring records to a file."""
+    """JSON files that hold one array each: about 4,096 records to a file."""
     path = shared_path(spark, "arrays")
     records = shapes.structural(spark, sf_dir)
-    arrays = records.groupBy(F.floor(F.col("conv_id") / 16).alias("part")).agg(
+    files = F.lit(records.count() // 4096 + 1)
+    arrays = records.groupBy(F.pmod(F.xxhash64("record_id"), files).alias("part")).agg(
         F.to_json(F.collect_list(F.struct(*records.columns))).alias("value")
     )
     arrays.write.partitionBy("part").text(path)
@@ -75,12 +78,13 @@ def _delimited(spark, sf_dir, sep):
 
 
 def read_csv(spark, sf_dir):
-    df = readers.read_csv(spark, _delimited(spark, sf_dir, ","), na_values=[*readers.NA_VALUES, "src3"])
+    path = _delimited(spark, sf_dir, ",")
+    df = readers.read_csv(spark, path, na_values=[*readers.NA_VALUES, "src3"], multi_line=True)
     return df.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def read_tsv(spark, sf_dir):
-    df = readers.read_csv(spark, _delimited(spark, sf_dir, "\t"), sep="\t")
+    df = readers.read_csv(spark, _delimited(spark, sf_dir, "\t"), sep="\t", multi_line=True)
     return df.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
@@ -99,10 +103,16 @@ def load_dataset(spark, sf_dir):
         )
     frames = [
         readers.load_dataset(
-            spark, folder, "records", fmt, "train", records.schema if fmt == "jsonl" else None
+            spark,
+            folder,
+            "records",
+            fmt,
+            "train",
+            records.schema if fmt == "jsonl" else None,
+            multi_line=True,
         ).select(
             F.lit(fmt).alias("format"),
-            F.col("conv_id").cast("bigint").alias("conv_id"),
+            F.col("record_id").cast("bigint").alias("record_id"),
             "instruction",
             "input",
             "response",
@@ -117,7 +127,7 @@ def write_prediction_shards(spark, sf_dir):
     path = shared_path(spark, "shards")
     writers.write_prediction_shards(shapes.predictions(spark, sf_dir)[1], path)
     written = spark.read.option("header", True).option("escape", '"').csv(path)
-    return written.groupBy("device_num", "batch_idx").agg(
+    return written.groupBy("device_num", F.col("batch_idx").cast("int").alias("batch_idx")).agg(
         F.count("*").alias("rows"), F.sum(F.col("index").cast("bigint")).alias("index_sum")
     )
 
@@ -132,8 +142,8 @@ def write_submission(spark, sf_dir):
     path = shared_path(spark, "submission")
     base, shards = shapes.predictions(spark, sf_dir)
     writers.write_submission(merge.merge_predictions(base, shards, "response"), path)
-    read = readers.read_csv(spark, path, sep=",")
-    return read.withColumn("conv_id", F.col("conv_id").cast("bigint"))
+    read = readers.read_csv(spark, path, sep=",", multi_line=True)
+    return read.withColumn("record_id", F.col("record_id").cast("bigint"))
 
 
 def sharded_export(spark, sf_dir):
@@ -261,8 +271,8 @@ def assign_batches(spark, sf_dir):
 def to_messages(spark, sf_dir):
     rows = text.fill_missing(shapes.structural(spark, sf_dir))
     full = chat.to_messages(F.col("instruction"), F.col("input"), F.col("response"))
-    return rows.select("conv_id", F.posexplode(full).alias("turn", "m")).select(
-        "conv_id", "turn", "m.role", "m.content"
+    return rows.select("record_id", F.posexplode(full).alias("turn", "m")).select(
+        "record_id", "turn", "m.role", "m.content"
     )
 
 
@@ -344,20 +354,22 @@ def _word_lengths() -> Column:
 
 
 def pad_ids(spark, sf_dir):
-    ids = tokens.truncate(_word_lengths(), 512)
-    return docs(spark, sf_dir).select(
-        "doc_id",
-        joined(tokens.pad_ids(ids, 512, 0)).alias("right_padded"),
-        joined(tokens.pad_ids(ids, 512, 0, left=True)).alias("left_padded"),
+    ids = _word_lengths()
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        joined(tokens.pad_ids(ids, LONGEST, 0)).alias("right_padded"),
+        joined(tokens.pad_ids(ids, LONGEST, 0, left=True)).alias("left_padded"),
     )
 
 
 def attention_mask(spark, sf_dir):
-    ids = tokens.truncate(_word_lengths(), 512)
-    return docs(spark, sf_dir).select(
-        "doc_id",
-        joined(tokens.attention_mask(ids, 512)).alias("right_padded"),
-        joined(tokens.attention_mask(ids, 512, left=True)).alias("left_padded"),
+    ids = _word_lengths()
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        joined(tokens.attention_mask(ids, LONGEST)).alias("right_padded"),
+        joined(tokens.attention_mask(ids, LONGEST, left=True)).alias("left_padded"),
     )
 
 
@@ -376,18 +388,19 @@ def mask_labels(spark, sf_dir):
 
 def mask_labels_padded(spark, sf_dir):
     """Searching only the real tokens, with the end pattern as padding."""
-    df = docs(spark, sf_dir).select("doc_id", tokens.truncate(_word_lengths(), 512).alias("ids"))
-    labels = tokens.mask_padded_labels(F.col("ids"), [2, 1], [9], 512, 9)
-    return df.select("doc_id", joined(labels).alias("labels"))
+    turns = table(spark, sf_dir, "conversations")
+    df = turns.select("conv_id", "turn", _word_lengths().alias("ids"))
+    labels = tokens.mask_padded_labels(F.col("ids"), [2, 1], [9], LONGEST, 9)
+    return df.select("conv_id", "turn", joined(labels).alias("labels"))
 
 
 def full_labels(spark, sf_dir):
     """Without a mask every id is a label, padding included."""
     recipe = replace(RECIPE, is_sft=False, split="test")
     frame = prepare.prepare_sft(
-        shapes.structural(spark, sf_dir), "conv_id", shapes.encoder(spark, sf_dir), recipe
+        shapes.structural(spark, sf_dir), "record_id", shapes.encoder(spark, sf_dir), recipe
     ).frame
-    return frame.select("conv_id", joined("encoded.labels").alias("labels"))
+    return frame.select("record_id", joined("encoded.labels").alias("labels"))
 
 
 def strip_prompt(spark, sf_dir):
@@ -544,7 +557,7 @@ ECHO = GenerationOptions(max_new_tokens=64, min_new_tokens=1, batch_size=BATCH)
 
 def generate_sequences(spark, sf_dir):
     frame = predict_plan.prepare_predict(
-        shapes.structural(spark, sf_dir), "conv_id", shapes.encoder(spark, sf_dir), RECIPE
+        shapes.structural(spark, sf_dir), "record_id", shapes.encoder(spark, sf_dir), RECIPE
     ).frame
     inputs = frame.select("pos", "encoded.input_ids", "encoded.attention_mask")
     made = generate(inputs, echo_generator, ECHO)
@@ -568,9 +581,9 @@ def _flat(df: DataFrame, keys, struct: str, prefix: str = "", labels: bool = Tru
 
 def prepare_sft(spark, sf_dir):
     frame = prepare.prepare_sft(
-        shapes.structural(spark, sf_dir), "conv_id", shapes.encoder(spark, sf_dir), RECIPE
+        shapes.structural(spark, sf_dir), "record_id", shapes.encoder(spark, sf_dir), RECIPE
     ).frame
-    return _flat(frame, ["conv_id", "pos"], "encoded")
+    return _flat(frame, ["record_id", "pos"], "encoded")
 
 
 def prepare_sft_documents(spark, sf_dir):
@@ -582,10 +595,10 @@ def prepare_sft_documents(spark, sf_dir):
 
 def prepare_chat_sft(spark, sf_dir):
     frame = prepare.prepare_chat_sft(
-        stored(shapes.conversations(spark, sf_dir, RECIPE.max_length), "conversations"),
+        stored(shapes.conversations(spark, sf_dir), "conversations"),
         "conv_id",
         shapes.encoder(spark, sf_dir),
-        replace(RECIPE, split="val"),
+        replace(RECIPE, split="train"),
     ).frame
     return _flat(frame, ["conv_id", "pos"], "encoded")
 
@@ -607,9 +620,8 @@ def prepare_preference(spark, sf_dir):
 
 
 def prepare_predict(spark, sf_dir):
-    # one turn more than the prompt has tokens, as the last one is dropped
     frame = predict_plan.prepare_predict(
-        stored(shapes.conversations(spark, sf_dir, TOKENS.data_max_length + 1), "conversations"),
+        stored(shapes.conversations(spark, sf_dir), "conversations"),
         "conv_id",
         shapes.encoder(spark, sf_dir),
         RECIPE,
@@ -641,7 +653,7 @@ def prepare_predict_preference(spark, sf_dir):
 def predict_and_merge(spark, sf_dir):
     return predict_plan.predict_and_merge(
         shapes.structural(spark, sf_dir),
-        "conv_id",
+        "record_id",
         shapes.encoder(spark, sf_dir),
         RECIPE,
         echo_generator,

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sftprep.config import TokenSpec
 from sftprep.functions.text import clean_generation
 from sftprep.operators.conversations import assemble_conversations
-from sftprep.operators.order import assign_batches, index_rows, pad_tail, row_index
+from sftprep.operators.order import assign_batches, index_rows, pad_tail
 from sftprep.operators.vocabulary import Vocabulary
 from sftprep.plans.encoding import TableEncoder
 from sftprep.plans.vocabulary import corpus_vocabulary
 
-TOKENS = TokenSpec(data_max_length=256, target_max_length=256)
+TOKENS = TokenSpec()
 DEVICES = 7
 BATCH = 4
 BETA = 0.1
+#: More than the turns of any conversation.
+TURNS = 1_000_000
 INSTRUCTION = "Continue the text."
 
 
@@ -25,19 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def structural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First system, user and assistant text of each conversation."""
+    """One record for each assistant turn: the conversation's first system text, the last user
+    text before the turn, and the turn. ``record_id`` spells conversation and turn."""
+    before = Window.partitionBy("conv_id").orderBy("turn")
 
-    def first(role: str):
-        return F.min_by("text", F.when(F.col("role") == role, F.col("turn")))
+    def so_far(role: str, pick):
+        return pick(F.when(F.col("role") == role, F.col("text")), True).over(before)
 
     return (
         table(spark, sf_dir, "conversations")
-        .groupBy("conv_id")
-        .agg(
-            first("system").alias("instruction"),
-            first("user").alias("input"),
-            first("assistant").alias("response"),
+        .select(
+            (F.col("conv_id") * TURNS + F.col("turn")).alias("record_id"),
+            "role",
+            so_far("system", F.first).alias("instruction"),
+            so_far("user", F.last).alias("input"),
+            F.col("text").alias("response"),
         )
+        .filter("role = 'assistant'")
+        .drop("role")
     )
 
 
@@ -51,24 +59,31 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def conversations(spark: SparkSession, sf_dir: str, max_turns: int | None = None) -> DataFrame:
-    """Message lists; ``max_turns`` where the prompt is truncated to that many tokens."""
-    return assemble_conversations(table(spark, sf_dir, "conversations"), max_turns=max_turns)
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Message lists."""
+    return assemble_conversations(table(spark, sf_dir, "conversations"))
 
 
 def preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Good and bad documents, paired by their rank in each class."""
+    """Good and bad documents, paired by rank; ranks of the smaller class start over."""
     labelled = table(spark, sf_dir, "documents").join(
         table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"
     )
-    chosen = row_index(labelled.filter("quality = 1"), ["doc_id"], "pair")
-    rejected = row_index(labelled.filter("quality = 0"), ["doc_id"], "pair")
-    return chosen.select(
-        "pair",
+    chosen, good = index_rows(labelled.filter("quality = 1"), ["doc_id"], "rank")
+    rejected, bad = index_rows(labelled.filter("quality = 0"), ["doc_id"], "rank")
+    fewer = F.lit(max(min(good, bad), 1))
+    left = chosen.select(
+        F.col("rank").alias("good"), F.col("source").alias("input"), F.col("text").alias("chosen")
+    )
+    right = rejected.select(F.col("rank").alias("bad"), F.col("text").alias("rejected"))
+    same = F.pmod("good", fewer) == F.pmod("bad", fewer)
+    return left.join(right, same).select(
+        F.greatest("good", "bad").alias("pair"),
         F.lit(INSTRUCTION).alias("instruction"),
-        F.col("source").alias("input"),
-        F.col("text").alias("chosen"),
-    ).join(rejected.select("pair", F.col("text").alias("rejected")), "pair")
+        "input",
+        "chosen",
+        "rejected",
+    )
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +154,7 @@ def encoder(spark: SparkSession, sf_dir: str) -> TableEncoder:
 
 def predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Base rows with ``pos``, and a stand-in prediction for each position and padding row."""
-    base, rows = index_rows(structural(spark, sf_dir), ["conv_id"])
+    base, rows = index_rows(structural(spark, sf_dir), ["record_id"])
     dealt = assign_batches(pad_tail(base, rows, DEVICES), DEVICES, BATCH)
     shards = dealt.select(
         F.col("pos").alias("index"),

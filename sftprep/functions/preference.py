@@ -38,10 +38,6 @@ def relative_logprob(policy: Column, reference: Column) -> Column:
     return F.zip_with(policy, reference, lambda p, r: p - r)
 
 
-def negative_log_sigmoid(u: Column) -> Column:
-    return F.greatest(-u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(u)))
-
-
 SUMS_TYPE = "struct<elements:bigint,loss:double,chosen:double,rejected:double,accurate:double>"
 SUM_NAMES = ("loss", "chosen", "rejected", "accurate")
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,60 +93,75 @@ def find_pattern(ids: Column, pattern: Sequence[int]) -> Column:
     return _let(ids, search)
 
 
-def _label_spans(
-    ids: Column, starts: Column, ends: Column, start_length: int, ignore_index: int
-) -> Column:
-    """Copy the response spans of ``ids``, given where the two patterns start in it.
-
-    The starts are taken in order. Each takes the first end behind it that no earlier
-    start has taken, and opens the span from behind the start pattern up to that end;
-    with no end left, the span runs to the end of the array. The fold carries the next
-    free end and the first position not yet written, and collects alternating masked
-    and copied pieces, so the work is linear in the array.
-    """
+def _starts_of(items: np.ndarray, pattern: np.ndarray) -> np.ndarray:
+    """0-based starts of ``pattern`` in ``items``, overlaps included."""
+    places = len(items) - len(pattern) + 1
+    if places <= 0:
+        return np.zeros(0, dtype=np.int64)
+    hit = np.ones(places, dtype=bool)
+    for offset, token in enumerate(pattern):
+        hit &= items[offset : offset + places] == token
+    return np.flatnonzero(hit)
 
-    def fold(row: Column) -> Column:
-        n = F.size(row.ids)
-
-        def step(state: Column, s: Column) -> Column:
-            free = F.greatest(state.free, F.size(F.filter(row.ends, lambda e: e <= s)))
-            stop = F.coalesce(F.get(row.ends, free), n)
-            begin = F.greatest(s + F.lit(start_length), state.done)
-            copied = F.greatest(stop - begin, F.lit(0))
-            masked = F.when(copied > 0, begin - state.done).otherwise(F.lit(0))
-            return F.struct(
-                F.least(free + F.lit(1), F.size(row.ends)).alias("free"),
-                (state.done + masked + copied).alias("done"),
-                F.concat(
-                    state.pieces,
-                    F.array(
-                        F.array_repeat(F.lit(ignore_index), masked),
-                        F.slice(row.ids, begin + F.lit(1), copied),
-                    ),
-                ).alias("pieces"),
-            )
-
-        def finish(state: Column) -> Column:
-            rest = F.array_repeat(F.lit(ignore_index), n - state.done)
-            return F.flatten(F.concat(state.pieces, F.array(rest)))
 
-        zero = F.struct(
-            F.lit(0).alias("free"),
-            F.lit(0).alias("done"),
-            F.array().cast("array<array<int>>").alias("pieces"),
-        )
-        return F.aggregate(row.starts, zero, step, finish)
+def span_labels(
+    ids: np.ndarray, start: np.ndarray, end: np.ndarray, ignore_index: int
+) -> np.ndarray:
+    """Copy the response spans of one array, ``ignore_index`` elsewhere.
 
-    return _let(F.struct(ids.alias("ids"), starts.alias("starts"), ends.alias("ends")), fold)
+    The starts are taken in order. Each takes the first end behind it that no earlier start
+    has taken, and opens the span from behind the start pattern up to that end; with no end
+    left, the span runs to the end of the array. So start ``i`` takes end number
+    ``max(ends before start i, number of the previous start + 1)``, which is ``i`` plus a
+    running maximum. The work is linear in the array.
+    """
+    starts, ends = _starts_of(ids, start), _starts_of(ids, end)
+    order = np.arange(len(starts))
+    behind = np.searchsorted(ends, starts, side="right")
+    taken = order + np.maximum.accumulate(behind - order) if len(starts) else order
+    stops = np.append(ends, len(ids))[np.minimum(taken, len(ends))]
+    opened = starts + len(start)
+    real = opened < stops
+    depth = np.zeros(len(ids) + 1, dtype=np.int64)
+    np.add.at(depth, opened[real], 1)
+    np.add.at(depth, stops[real], -1)
+    return np.where(np.cumsum(depth[:-1]) > 0, ids, ignore_index)
+
+
+def _masker(start, end, ignore_index, length=None, pad=0, left=False):
+    """An Arrow function ids -> labels, of the array padded to ``length`` if that is given."""
+    if not start or not end:
+        raise ValueError("the pattern to find is empty")
+    first, last = np.array(start), np.array(end)
+
+    @F.arrow_udf(EMPTY_INTS)
+    def labels(ids: pa.Array) -> pa.Array:
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        rows, at = [], 0
+        for size in sizes:
+            row = flat[at : at + size]
+            at += size
+            if length is not None and size < length:
+                fill = np.full(length - size, pad, dtype=row.dtype)
+                row = np.concatenate([fill, row] if left else [row, fill])
+            rows.append(span_labels(row, first, last, ignore_index))
+        offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+        values = np.concatenate([*rows, np.zeros(0)]).astype(np.int32)
+        missing = ids.is_null()
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=missing)
+
+    return labels
 
 
 def mask_labels(
     ids: Column, start: Sequence[int], end: Sequence[int], ignore_index: int = -100
 ) -> Column:
-    """Ids inside assistant responses, ``ignore_index`` elsewhere (see ``_label_spans``)."""
-    return _label_spans(
-        ids, find_pattern(ids, start), find_pattern(ids, end), len(start), ignore_index
-    )
+    """Ids inside assistant responses, ``ignore_index`` elsewhere (see ``span_labels``).
+
+    Runs on Arrow batches. A null array gives null.
+    """
+    return _masker(start, end, ignore_index)(ids)
 
 
 def mask_padded_labels(
@@ -156,31 +173,12 @@ def mask_padded_labels(
     left: bool = False,
     ignore_index: int = -100,
 ) -> Column:
-    """``mask_labels`` of the padded array, searching only the real tokens.
+    """``mask_labels`` of the array padded to ``length``.
 
-    Padding can take part in a match only if a pattern contains the padding id. The one
-    such case that occurs is an end pattern that is the padding id itself (pad = eos):
-    then every padding position behind the text is one more end.
+    Padding takes part in a match if a pattern contains the padding id: with an end
+    pattern that is the padding id (pad = eos) every padding position is one more end.
     """
-    padded = pad_ids(ids, length, pad, left)
-    if pad in start or (pad in end and list(end) != [pad]):
-        return mask_labels(padded, start, end, ignore_index)
-
-    def spans(row: Column) -> Column:
-        starts = find_pattern(row.ids, start)
-        ends = find_pattern(row.ids, end)
-        size = F.size(row.ids)
-        if left:
-            # ends inside left padding lie before every start, so none can be taken
-            shift = F.greatest(F.lit(length) - size, F.lit(0))
-            starts = F.transform(starts, lambda i: i + shift)
-            ends = F.transform(ends, lambda i: i + shift)
-        elif list(end) == [pad]:
-            padding = F.when(size < length, F.sequence(size, F.lit(length - 1)))
-            ends = F.concat(ends, F.coalesce(padding, F.array().cast(EMPTY_INTS)))
-        return _label_spans(row.padded, starts, ends, len(start), ignore_index)
-
-    return _let(F.struct(ids.alias("ids"), padded.alias("padded")), spans)
+    return _masker(start, end, ignore_index, length, pad, left)(ids)
 
 
 def full_labels(ids: Column) -> Column:

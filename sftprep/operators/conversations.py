@@ -4,35 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sftprep.config import ColumnNames
 
 TURNS_PER_BLOCK = 512
 
 
-def _keep_first(turns: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return turns.withColumn("__rank", rank).filter(F.col("__rank") <= limit).drop("__rank")
-
-
-def first_turns(turns: DataFrame, key: str, order: str, limit: int) -> DataFrame:
-    """The first ``limit`` turns of every conversation.
-
-    Exact where a prompt is truncated to ``limit`` tokens, since a turn renders to at
-    least one. Up to a threshold Spark applies a rank limit before the shuffle, so one
-    endless conversation costs a task no more than ``limit`` rows from each mapper. Beyond
-    it the limit first works within salted parts, spread over all shuffle partitions, and
-    then on what they leave.
-    """
-    conf = turns.sparkSession.conf
-    if limit > int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
-        salts = int(conf.get("spark.sql.shuffle.partitions"))
-        salted = turns.withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(salts)))
-        turns = _keep_first(salted, [key, "__salt"], order, limit).drop("__salt")
-    return _keep_first(turns, [key], order, limit)
-
-
 def assemble_conversations(
     turns: DataFrame,
     key: str = "conv_id",
@@ -40,16 +17,14 @@ def assemble_conversations(
     role: str = "role",
     content: str = "text",
     names: ColumnNames = ColumnNames(),
-    max_turns: int | None = None,
 ) -> DataFrame:
     """One row ``(key, messages)`` per conversation, its turns in ``order``.
 
     Blocks of turn numbers are gathered and sorted first, so the turns of a long
     conversation are spread over tasks until its one output row is put together.
-    ``max_turns`` bounds that row for callers that truncate the prompt anyway.
+    That row is the operator's output, so a conversation must fit one: Spark's limit for a
+    row is 2 GB.
     """
-    if max_turns is not None:
-        turns = first_turns(turns, key, order, max_turns)
     turn = F.struct(
         F.col(order).alias("at"), F.col(role).alias(names.role), F.col(content).alias(names.content)
     )

@@ -27,6 +27,8 @@ def merge_predictions(
 ) -> DataFrame:
     """Overwrite ``target`` of ``base`` with the prediction whose index is the row's position.
 
+    The column keeps its place; a ``target`` that ``base`` lacks comes last.
+
     A position without a prediction, or with two, is an error when the row is read.
     Predictions beyond the base (the padding rows) match nothing and fall away. A null
     prediction stays null. The pre-aggregation and the join share one exchange.
@@ -44,8 +46,9 @@ def merge_predictions(
         .when(F.col("__copies") > 1, fail("several predictions for position "))
         .otherwise(F.col("__prediction"))
     )
-    columns = [c for c in base.columns if c != target]
-    return joined.select(*columns, checked.alias(target))
+    checked = checked.alias(target)
+    columns = [checked if c == target else F.col(c) for c in base.columns]
+    return joined.select(*columns, *([] if target in base.columns else [checked]))
 
 
 def coverage(

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 32_768
 SAMPLES_PER_BUCKET = 24
+BOUND_CHARS = 64
 
 
 class Indexed(NamedTuple):
@@ -72,21 +73,29 @@ def index_rows(
 
     A row's bucket is a pure function of its key (explicit bounds in the plan), so the
     pass that counts buckets and the pass that numbers rows agree whatever is retried or
-    recomputed. Cost: passes over the keys alone for count, bounds and bucket sizes, and
+    recomputed. Strings count with their first 64 characters there. Cost: passes over the keys alone for count, bounds and bucket sizes, and
     one shuffle of the rows; no task ever holds more than some buckets. Nulls in a key
     sort first. A key that occurs twice is an error, as its rows have no order.
     """
     columns = [F.col(k) if isinstance(k, str) else k for k in keys]
     names = [f"__key{i}" for i in range(len(columns))]
     ranked = df.select("*", *[c.alias(n) for c, n in zip(columns, names)])
-    only_keys = ranked.select(*names)
+    # buckets go by a prefix of the key, so that bounds stay short however long a string is
+    cut_names = []
+    for n in names:
+        cut_names.append(f"__cut{n}")
+        text = isinstance(ranked.schema[n].dataType, T.StringType)
+        ranked = ranked.withColumn(cut_names[-1], F.left(n, F.lit(BOUND_CHARS)) if text else F.col(n))
+        if text:
+            break
+    only_keys = ranked.select(*cut_names)
     if rows is None:
         rows = only_keys.count()
     buckets = _bucket_count(df, rows)
-    bounds = _bounds(only_keys, names, rows, buckets) if buckets > 1 else []
-    key_type = T.StructType([T.StructField(n, ranked.schema[n].dataType) for n in names])
+    bounds = _bounds(only_keys, cut_names, rows, buckets) if buckets > 1 else []
+    key_type = T.StructType([T.StructField(n, ranked.schema[n].dataType) for n in cut_names])
     key = F.struct(*names)
-    bucket = _bucket_of(names, bounds, key_type)
+    bucket = _bucket_of(cut_names, bounds, key_type)
 
     sizes = dict(only_keys.groupBy(bucket.alias("bucket")).count().collect()) if bounds else {}
     first, offsets = 0, []

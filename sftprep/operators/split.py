@@ -53,15 +53,15 @@ def split_cut(df: DataFrame, key: str, spec: SplitSpec) -> SplitCut:
     while True:
         digits = len(prefix) + PREFIX_STEP
         inside = hashed.filter(F.col("digest").startswith(prefix)) if prefix else hashed
-        counts = sorted(
-            inside.groupBy(F.substring("digest", 1, digits).alias("prefix")).count().collect()
-        )
+        counts = inside.groupBy(F.substring("digest", 1, digits).alias("prefix")).count().collect()
         if rows is None:
+            if any(found is None for found, _ in counts):
+                raise ValueError(f"cannot split: column {key!r} has nulls")
             rows = sum(count for _, count in counts)
             wanted = math.ceil(spec.ratio * rows)
             if not 0 < wanted < rows:
                 raise ValueError(f"cannot split {rows} rows with ratio {spec.ratio}: a part is empty")
-        for prefix, count in counts:
+        for prefix, count in sorted(counts):
             if skipped + count >= wanted:
                 break
             skipped += count
@@ -74,7 +74,7 @@ def split_cut(df: DataFrame, key: str, spec: SplitSpec) -> SplitCut:
         .groupBy("digest", "key")
         .count()
         .orderBy("digest", "key")
-        .limit(SMALL_BUCKET)
+        .limit(count)
         .collect()
     )
     for row in tail:

@@ -86,12 +86,12 @@ def read_csv(
     path: str,
     sep: str | None = None,
     na_values: Sequence[str] = NA_VALUES,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV with a header and doubled quotes, every column a string, missing markers null.
 
     Without ``sep`` the delimiter is guessed. ``multi_line`` accepts line breaks in quoted
-    cells but makes each file one task; turn it off to split large files without such cells.
+    cells, but makes each file one task: turn it on only for tables that have such cells.
     """
     raw = (
         spark.read.option("header", True)
@@ -116,7 +116,7 @@ def load_dataset(
     dataset_format: str,
     split: str,
     schema: T.StructType | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read ``<data_path>/<dataset_name>.<dataset_format>`` with the reader of its format.
 
@@ -140,7 +140,7 @@ def read_prediction_shards(
     target: str = "response",
     na_values: Sequence[str] = NA_VALUES,
 ) -> DataFrame:
-    """All shards below ``path``: index, target, and device and batch from the file path.
+    """All shards below ``path``: index, target, device from the path, batch from there or a column.
 
     Takes partition directories (``device_num=0/batch_idx=3/``) as well as flat names
     (``device_num=0-batch_idx=3.csv``). Generations hold no line breaks, so files split.
@@ -152,7 +152,11 @@ def read_prediction_shards(
         return F.when(digits != "", digits.cast("bigint")).alias(name)
 
     schema = T.StructType(
-        [T.StructField("index", T.LongType()), T.StructField(target, T.StringType())]
+        [
+            T.StructField("index", T.LongType()),
+            T.StructField(target, T.StringType()),
+            T.StructField("batch_idx", T.LongType()),
+        ]
     )
     return (
         spark.read.schema(schema)
@@ -166,6 +170,6 @@ def read_prediction_shards(
             "index",
             missing_to_null(F.col(target), na_values).alias(target),
             from_path("device_num").cast("int").alias("device_num"),
-            from_path("batch_idx"),
+            F.coalesce(from_path("batch_idx"), F.col("batch_idx")).alias("batch_idx"),
         )
     )

@@ -1,4 +1,4 @@
-"""Prediction shards, submissions, sharded exports, parameter files."""
+"""Prediction shards, submissions, sharded exports."""
 
 from __future__ import annotations
 
@@ -20,15 +20,15 @@ def csv_writer(df: DataFrame):
 
 
 def write_prediction_shards(
-    df: DataFrame, path: str, target: str = "response", per_batch: bool = True
+    df: DataFrame, path: str, target: str = "response", per_batch: bool = False
 ) -> None:
     """Write ``index, target`` as CSV by device and batch; an existing ``path`` is an error.
 
-    ``per_batch=False`` keeps only the device level. Large outputs want that: a
-    directory for every batch of 16 rows means billions of files at 100 TB.
+    Directories go by device, and the batch is a column of the files. ``per_batch=True``
+    makes a directory for every batch as well, which is only for small outputs.
     """
     levels = ["device_num", "batch_idx"] if per_batch else ["device_num"]
-    shards = df.select("index", target, *levels)
+    shards = df.select("index", target, "batch_idx", "device_num")
     if per_batch:
         shards = shards.repartition(*levels)
     csv_writer(shards).partitionBy(*levels).csv(path)
@@ -43,10 +43,6 @@ def write_submission(df: DataFrame, path: str, pos: str = "pos") -> None:
     csv_writer(df.orderBy(pos).select(*columns)).csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").json(path)
-
-
 def shard_number(pos: Column, rows: int, shards: int) -> Column:
     """Contiguous runs of ``rows // shards`` items; the last shard takes the rest.
 
@@ -96,7 +92,11 @@ def write_sharded_export(
 ) -> None:
     """Write the items as Parquet, one directory ``file=<name>`` for every shard.
 
-    A shard may take many part files, so its size is not that of a task.
+    Rows are range partitioned and sorted by position, so a part file holds a run of one
+    shard in order, and there are at most as many part files as shards and partitions. A
+    shard may take many of them, so its size is not that of a task.
     """
     name = shard_name(shard_number(F.col(pos), rows, shards), shards, stem)
-    df.withColumn("file", name).write.mode("errorifexists").partitionBy("file").parquet(path)
+    runs = df.withColumn("file", name).repartitionByRange("file", pos)
+    runs = runs.sortWithinPartitions("file", pos)
+    runs.write.mode("errorifexists").partitionBy("file").parquet(path)

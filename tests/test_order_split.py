@@ -127,3 +127,16 @@ def test_export_shards(spark, n, shards):
     expected = [min(i // size, shards - 1) if size else shards - 1 for i in range(n)]
     assert files == [f"part-{s + 1:05d}-of-{shards:05d}" for s in expected]
     assert export.total_size.first().total_size == 3 * n
+
+
+def test_split_rejects_null_keys(spark):
+    df = spark.createDataFrame([("a",), (None,), ("b",), ("c",)], "key string")
+    with pytest.raises(ValueError, match="nulls"):
+        split.with_split(df, "key", SplitSpec(ratio=0.5, seed=1))
+
+
+def test_row_index_of_long_strings(spark):
+    keys = [("x" * 100 + str(i),) for i in range(600)] + [("y" * 200_000,), ("a",)]
+    df = spark.createDataFrame(keys, "key string")
+    got = [r.key for r in order.row_index(df, ["key"]).orderBy("pos").collect()]
+    assert got == sorted(k for k, in keys)

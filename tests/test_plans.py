@@ -158,7 +158,6 @@ def test_row_local_functions_need_neither_shuffle_nor_python(spark):
     out = df.select(
         prompt,
         tokens.truncate(tokens.tokenize(F.col("t")), 2),
-        tokens.mask_padded_labels(F.col("ids"), [1], [2], 4, 0),
         tokens.attention_mask(F.col("ids"), 4),
         text.clean_generation(F.col("t")),
     )

@@ -18,7 +18,7 @@ def test_csv_cells(spark, tmp_path):
         'instruction,input,response\n"a, ""b"" \\","x\ny",\nNA,null,None\n s ,#N/A,"NA"\n"",1,nan\n',
         encoding="utf-8",
     )
-    df = readers.load_dataset(spark, str(tmp_path), "d", "csv", "train")
+    df = readers.load_dataset(spark, str(tmp_path), "d", "csv", "train", multi_line=True)
     rows = [tuple(r) for r in df.collect()]
     assert rows == [
         ('a, "b" \\', "x\ny", None),
@@ -31,21 +31,21 @@ def test_csv_cells(spark, tmp_path):
 @pytest.mark.parametrize("sep", [",", ";", "\t"])
 def test_the_delimiter_is_guessed(spark, tmp_path, sep):
     (tmp_path / "d.csv").write_text(sep.join(["instruction", "input", "response"]) + f"\na{sep}b{sep}c\n")
-    df = readers.load_dataset(spark, str(tmp_path), "d", "csv", "val")
+    df = readers.load_dataset(spark, str(tmp_path), "d", "csv", "val", multi_line=True)
     assert df.columns == ["instruction", "input", "response"]
     assert [tuple(r) for r in df.collect()] == [("a", "b", "c")]
 
 
 def test_tsv(spark, tmp_path):
     (tmp_path / "d.tsv").write_text("a\tb\n1,2\tx\n")
-    assert [tuple(r) for r in readers.load_dataset(spark, str(tmp_path), "d", "tsv", "test").collect()] == [
+    assert [tuple(r) for r in readers.load_dataset(spark, str(tmp_path), "d", "tsv", "test", multi_line=True).collect()] == [
         ("1,2", "x")
     ]
 
 
 def test_columns_go_by_name(spark, tmp_path):
     (tmp_path / "d.csv").write_text("response,extra,input\nr,e,d\n")
-    row = readers.load_dataset(spark, str(tmp_path), "d", "csv", "test").select("input", "response").first()
+    row = readers.load_dataset(spark, str(tmp_path), "d", "csv", "test", multi_line=True).select("input", "response").first()
     assert tuple(row) == ("d", "r")
 
 
@@ -55,7 +55,7 @@ def test_json_array_and_lines(spark, tmp_path):
     (tmp_path / "d.jsonl").write_text("\n".join(map(json.dumps, records)))
     schema = readers.record_schema("conversational")
     for fmt in ("json", "jsonl"):
-        rows = readers.load_dataset(spark, str(tmp_path), "d", fmt, "train", schema).collect()
+        rows = readers.load_dataset(spark, str(tmp_path), "d", fmt, "train", schema, multi_line=True).collect()
         assert [r.messages and [tuple(t) for t in r.messages] for r in rows] == [[("user", "a\nb")], [], None]
 
 
@@ -86,7 +86,7 @@ def test_shards_round_trip(spark, tmp_path, per_batch):
     df = spark.createDataFrame(rows, "index bigint, response string, device_num int, batch_idx bigint")
     writers.write_prediction_shards(df, path, per_batch=per_batch)
     got = sorted(tuple(r) for r in readers.read_prediction_shards(spark, path).collect())
-    batch = [0, 0, 1, 1] if per_batch else [None] * 4
+    batch = [0, 0, 1, 1]
     assert got == [
         (0, ' a, "q" ', 0, batch[0]),
         (1, None, 1, batch[1]),
@@ -120,5 +120,5 @@ def test_submission_keeps_row_order(spark, tmp_path):
 def test_structural_csv_round_trip(spark, tmp_path):
     path = str(tmp_path / "d.csv")
     writers.csv_writer(structural(spark)).csv(path)
-    rows = [tuple(r) for r in readers.read_csv(spark, path, ",").collect()]
+    rows = [tuple(r) for r in readers.read_csv(spark, path, ",", multi_line=True).collect()]
     assert set(rows) == {("i", 'a, "b" \\', "x\ny"), (None, None, None), (" s ", None, "한")}

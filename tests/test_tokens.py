@@ -123,3 +123,34 @@ def test_plugin_tokenizer_keeps_nulls(spark):
 def test_token_types_are_dropped_if_present(spark):
     assert tokens.drop_token_types(spark.range(1).withColumn("token_type_ids", F.lit(0))).columns == ["id"]
     assert tokens.drop_token_types(spark.range(1)).columns == ["id"]
+
+
+def plain_labels(ids, start, end, ignore=-100):
+    """Start by start, each with the first end behind it that is not taken yet."""
+    starts = [i for i in range(len(ids) - len(start) + 1) if ids[i : i + len(start)] == start]
+    ends = [i for i in range(len(ids) - len(end) + 1) if ids[i : i + len(end)] == end]
+    labels, free = [ignore] * len(ids), 0
+    for s in starts:
+        while free < len(ends) and ends[free] <= s:
+            free += 1
+        stop = ends[free] if free < len(ends) else len(ids)
+        free += free < len(ends)
+        for k in range(s + len(start), stop):
+            labels[k] = ids[k]
+    return labels
+
+
+def test_span_labels_equal_the_plain_rule():
+    import random
+
+    import numpy as np
+
+    from sftprep.functions.tokens import span_labels
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        ids = [rng.randrange(3) for _ in range(rng.randrange(25))]
+        start = [rng.randrange(3) for _ in range(rng.randrange(1, 3))]
+        end = [rng.randrange(3) for _ in range(rng.randrange(1, 3))]
+        got = span_labels(np.array(ids, dtype=int), np.array(start), np.array(end), -100)
+        assert got.tolist() == plain_labels(ids, start, end)
