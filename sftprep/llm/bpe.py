@@ -193,13 +193,9 @@ def encode_batches(ranks_path: str, pattern: str):
     memory = worker_memory(("bpe", ranks_path), REMEMBERED)
 
     def run(texts: list[str]) -> list[tuple[int, str, bytes]]:
-        split = [pre_token.findall(x) for x in texts]
-        if new := memory.lacking(split):
-            memory.known.update(encoder.encode(new))
-        known = memory.known
         out = []
-        for words in split:
-            coded = [known[w] for w in words]
+        split = [pre_token.findall(x) for x in texts]
+        for coded in memory.look_up(split, encoder.encode):
             ids = " ".join([c[0] for c in coded])
             n = ids.count(" ") + 1 if ids else 0
             out.append((n, ids, b"".join([c[1] for c in coded])))

@@ -36,19 +36,25 @@ class WorkerMemory:
     def __init__(self, limit: int):
         self.half, self.known, self.old = limit // 2, {}, {}
 
-    def lacking(self, lists: list[list]) -> list:
-        """The distinct words of ``lists`` that are not known; the others are in ``known``."""
+    def look_up(self, lists: list[list], work_out) -> list[list]:
+        """For each list of words the list of what is known about them.
+
+        ``work_out`` gets the distinct words not known yet, in a list, and returns a mapping
+        of them; None is no value.
+        """
         if len(self.known) > self.half:
             self.known, self.old = {}, self.known
-        known, old, new = self.known, self.old, set()
-        for words in lists:
-            for w in words:
-                if w not in known:
-                    if w in old:
-                        known[w] = old[w]
-                    else:
-                        new.add(w)
-        return list(new)
+        known, old = self.known, self.old
+        found = [list(map(known.get, words)) for words in lists]
+        open_ = [k for k, values in enumerate(found) if None in values]
+        new = {w for k in open_ for w, v in zip(lists[k], found[k]) if v is None}
+        for w in new & old.keys():
+            known[w] = old[w]
+        if rest := list(new - known.keys()):
+            known.update(work_out(rest))
+        for k in open_:
+            found[k] = [known[w] if v is None else v for w, v in zip(lists[k], found[k])]
+        return found
 
 
 def worker_memory(purpose: tuple, limit: int) -> WorkerMemory:

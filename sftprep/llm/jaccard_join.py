@@ -48,6 +48,9 @@ class Shingler:
         self.width, self.hash = width, xxhash.xxh3_64_intdigest
         self.memory = worker_memory(("shingles",), REMEMBERED)
 
+    def _work_out(self, words: list[bytes]) -> dict[bytes, int]:
+        return dict(zip(words, map(self.hash, words)))
+
     def tokens(self, text: str) -> np.ndarray:
         """Hashes of the distinct shingles; a shorter sequence of words is one by itself."""
         words = text.encode("utf-8").lower().split()
@@ -55,10 +58,7 @@ class Shingler:
             return np.zeros(0, dtype=np.uint64)
         if len(words) < self.width:
             return np.array([self.hash(b" ".join(words), seed=1)], dtype=np.uint64)
-        new = self.memory.lacking([words])
-        known = self.memory.known
-        known.update(zip(new, map(self.hash, new)))
-        h = np.array([known[w] for w in words], dtype=np.uint64)
+        h = np.array(self.memory.look_up([words], self._work_out)[0], dtype=np.uint64)
         n = len(h) - self.width + 1
         s = np.zeros(n, dtype=np.uint64)
         for k in range(self.width):

@@ -15,13 +15,16 @@ packs what remains, for all pieces of a length at once.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,7 +33,7 @@ from sftprep.llm.common import worker_memory
 from sftprep.storage import stored
 
 #: Words a worker remembers the ids of.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_200_000
 #: Pieces that one rank counter numbers.
 PIECES_PER_COUNTER = 2_000
 
@@ -190,19 +193,76 @@ def pack(pieces: DataFrame, length: str, order: list[str], limit: int) -> DataFr
     )
 
 
-#: A full stop or comma that ends a word.
-ENDING = re.compile("(?<=[A-Za-z])([.,])(?=[ \n]|$)")
+class WordEncoder:
+    """Ids of the parts of a text between spaces and line feeds, as bytes.
 
-
-def words_between_spaces(text: str) -> list[str]:
-    """Parts of a text whose ids, joined, are the text's.
-
-    Spaces and line feeds part tokens, and so does a letter followed by a stop. Plain ASCII
-    texts without markers go to lower case, as the tokenizer would bring them there.
+    Those never stand inside a token of the tokenizer, nor does the boundary between a letter
+    and a stop at the end, so a word is encoded once however it is followed or, in ASCII,
+    capitalised. Words of lower-case letters alone are what normalising and cutting leave as
+    they are, and skip both.
     """
-    if text.isascii() and "<|" not in text:
-        text = text.lower()
-    return ENDING.sub(r" \1", text).replace("\n", " ").split(" ")
+
+    def __init__(self, tokenizer: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.bare = Tokenizer.from_file(tokenizer), Tokenizer.from_file(tokenizer)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        for encoder in (self.whole, self.bare):
+            encoder.no_truncation()
+            encoder.no_padding()
+        self.memory = worker_memory(("ids", tokenizer), REMEMBERED)
+
+    def _encode(self, words: set[str]) -> dict[str, bytes]:
+        plain = {w for w in words if w.isalpha() and w == w.lower() and is_normalized("NFC", w)}
+        out = {}
+        for encoder, own in ((self.bare, list(plain)), (self.whole, list(words - plain))):
+            coded = encoder.encode_batch_fast(own, add_special_tokens=False)
+            out.update((w, array("I", c.ids).tobytes()) for w, c in zip(own, coded))
+        return out
+
+    def _work_out(self, words: list[str]) -> dict[str, bytes]:
+        parts = {}
+        for x in words:
+            y = x.lower() if x.isascii() and "<|" not in x else x
+            stop = y[-1] if y[-1:] in (".", ",") and y[-2:-1].isalpha() else ""
+            parts[x] = (y[:-1] if stop else y, stop)
+        known = self.memory.known
+        out = {y: known[y] for y, _ in parts.values() if y in known}
+        out.update(self._encode({".", ",", *(y for y, _ in parts.values())} - out.keys()))
+        return out | {x: out[y] + out[stop] if stop else out[y] for x, (y, stop) in parts.items()}
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin and end."""
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        found = self.memory.look_up([coded.dictionary.to_pylist()], self._work_out)[0]
+        each = np.frombuffer(b"".join(found), dtype=np.uint32)
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        starts = np.cumsum(lengths) - lengths
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        counts = lengths[word]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        places = np.repeat(starts[word] - ends[:-1], counts) + np.arange(ends[-1])
+        edges = words.offsets.to_numpy() - words.offsets[0].as_py()
+        return each[places], ends[edges]
+
+
+#: Rows, and bytes of text, that a task encodes at once.
+STEP_ROWS, STEP_BYTES = 4000, 16_000_000
+
+
+def steps(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of bounded rows and, but for single long texts, bytes of text."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = int(np.searchsorted(ends, before + STEP_BYTES, side="right"))
+        hi = min(max(hi, lo + 1), lo + STEP_ROWS)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def cut_documents(
@@ -217,37 +277,27 @@ def cut_documents(
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_file(tokenizer)
-        memory = worker_memory(("ids", tokenizer), REMEMBERED)
-        encoder.no_truncation()
-        encoder.no_padding()
-        end = np.array([end_id], dtype="<u4").tobytes()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder(tokenizer)
+        end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
-            rows = []
-            for lo in range(0, len(batch), 256):
-                part = batch.iloc[lo : lo + 256]
-                split = [words_between_spaces(x) for x in part["text"]]
-                if new := memory.lacking(split):
-                    coded = encoder.encode_batch_fast(new, add_special_tokens=False)
-                    for x, c in zip(new, coded):
-                        memory.known[x] = np.array(c.ids, dtype="<u4").tobytes()
-                known = memory.known
-                for key, words in zip(part[doc_id], split):
-                    ids = b"".join([known[x] for x in words]) + end
-                    for piece, at in enumerate(range(0, len(ids), 4 * limit)):
-                        own = ids[at : at + 4 * limit]
-                        rows.append((key, piece, at // 4, len(own) // 4, zlib.crc32(own)))
-            yield pd.DataFrame(
-                rows, columns=[doc_id, "piece", "start", "length", "ids_crc32"]
-            ).astype({doc_id: batch[doc_id].dtype})
+            for part in steps(batch, "text"):
+                ids, edges = encoder.ids(part.column("text"))
+                rows = []
+                for k in range(part.num_rows):
+                    own = np.concatenate([ids[edges[k] : edges[k + 1]], end])
+                    for piece, at in enumerate(range(0, len(own), limit)):
+                        cut_ids = own[at : at + limit]
+                        rows.append((k, piece, at, len(cut_ids), zlib.crc32(cut_ids)))
+                columns = [pa.array(x) for x in np.array(rows, dtype=np.int64).reshape(-1, 5).T]
+                columns[0] = part.column(0).take(columns[0])
+                columns[1] = columns[1].cast(pa.int32())
+                names = [doc_id, "piece", "start", "length", "ids_crc32"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     given = docs.select(doc_id, F.coalesce(text, F.lit("")).alias("text"))
     schema = f"`{doc_id}` {kind}, piece int, start long, length long, ids_crc32 long"
-    return given.mapInPandas(cut, schema)
+    return given.mapInArrow(cut, schema)
 
 
 def pack_documents(

@@ -109,14 +109,16 @@ def token_counter(model: str):
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         merger, memory = PieceMerger(model), worker_memory(("pieces", model), REMEMBERED)
+
+        def work_out(new: list[str]) -> dict[str, int]:
+            counts = merger.count([SPACE + x.replace(" ", SPACE) for x in new])
+            return dict(zip(new, counts.tolist()))
+
         for batch in batches:
             out = []
             for lo in range(0, len(batch), 256):
                 split = [chunks_of(x or "") for x in batch.iloc[lo : lo + 256]]
-                if new := memory.lacking(split):
-                    counts = merger.count([SPACE + x.replace(" ", SPACE) for x in new])
-                    memory.known.update(zip(new, counts.tolist()))
-                out += [sum(map(memory.known.__getitem__, x)) for x in split]
+                out += map(sum, memory.look_up(split, work_out))
             yield pd.Series(out, dtype="int64")
 
     return count

@@ -393,16 +393,17 @@ def score(docs: DataFrame, text: Column, machine: Machine) -> DataFrame:
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = machine.table()
         memory = worker_memory(("toxicity", machine.name()), REMEMBERED)
+
+        def work_out(new: list[str]) -> dict[str, float]:
+            return dict(zip(new, machine.windows(new, table)[0].tolist()))
+
         for batch in batches:
             out = []
             for lo in range(0, len(batch), 256):
                 part = [x or "" for x in batch.iloc[lo : lo + 256]]
                 split = [chunks_of(x) for x in part]
-                if new := memory.lacking(split):
-                    memory.known.update(zip(new, machine.windows(new, table)[0].tolist()))
-                for chunks in split:
-                    best = max(map(memory.known.__getitem__, chunks), default=machine.bias)
-                    out.append(machine.probability(best))
+                for scores in memory.look_up(split, work_out):
+                    out.append(machine.probability(max(scores, default=machine.bias)))
             yield pd.Series(out, dtype="float64")
 
     scored = docs.withColumn("score", probability(F.coalesce(text, F.lit(""))))
