@@ -316,7 +316,7 @@ def _links(
         )
 
     matrix = stored(
-        given.join(placed, "id")
+        given.join(placed.hint("merge"), "id")  # the same plan at every size
         .select("id", "grp", "text")
         .mapInPandas(tokens_of, "grp long, id long, tokens array<long>")
         .groupBy("grp")
