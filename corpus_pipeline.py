@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     joined = jaccard_join.jaccard_join(docs, "doc_id", F.col("text"), percent=80, width=5)
     first = joined.filter("doc_id = component_id").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.join(first, "doc_id").withColumn("__copy", F.row_number().over(one))
+    kept = docs.join(first.hint("merge"), "doc_id").withColumn("__copy", F.row_number().over(one))
     kept = kept.filter("__copy = 1").select(docs.columns)
     return kept.unionByName(docs.filter("doc_id is null"))
 
