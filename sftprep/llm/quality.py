@@ -227,7 +227,7 @@ def word_distance(runs: Column, n_words: Column, references_: list[dict]) -> Col
         start = F.struct(*[F.lit(0.0).alias(x) for x in ("js", "p", "q")])
 
         def add(acc: Column, x: Column) -> Column:
-            q = F.get(x["q"], k)
+            q = F.coalesce(F.get(x["q"], k), F.lit(0.0))
             p = F.when(q > 0, x["p"]).otherwise(F.lit(0.0))
             return F.struct(
                 (acc["js"] + F.when(q > 0, _term(p, q)).otherwise(F.lit(0.0))).alias("js"),

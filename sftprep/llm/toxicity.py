@@ -78,12 +78,12 @@ def chunks_of(sentence: str) -> list[str]:
 
 
 def codes_of(chunks: list[str], alphabet: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``alphabet`` of all chunks' characters, -1 for others and after each chunk,
+    """Places in ``alphabet`` of all chunks' characters, -2 for others and -1 after each chunk,
     and where each chunk starts."""
     flat = np.frombuffer("\n".join([*chunks, ""]).encode("utf-32-le"), np.uint32)
-    places = np.full(max(map(ord, alphabet), default=0) + 2, -1, dtype=np.int64)
+    places = np.full(max(map(ord, alphabet), default=0) + 2, -2, dtype=np.int64)
     places[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
-    code = places[np.minimum(flat, len(places) - 1)]
+    code = np.where(flat == 10, -1, places[np.minimum(flat, len(places) - 1)])
     lengths = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)) + 1
     return code, np.cumsum(lengths) - lengths
 
@@ -98,14 +98,18 @@ SHAPES = [
 
 
 def terms(code: np.ndarray, base: int) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """Places of the subsequences that lie within chunks and the alphabet, their keys, and
-    their weight, by shape."""
-    outside = np.concatenate([[0], np.cumsum(code < 0)])
+    """Places of the subsequences within chunks whose characters are in the alphabet (those in
+    the gaps need not be), their keys, and their weight, by shape."""
+    ended = np.concatenate([[0], np.cumsum(code == -1)])
+    known = code >= 0
     for i, j, k in SHAPES:
         reach = i + j + k
         n = len(code) - reach
         if n > 0:
-            at = np.flatnonzero(outside[reach + 1 : reach + 1 + n] == outside[:n])
+            fits = ended[reach + 1 : reach + 1 + n] == ended[:n]
+            for step in (0, i, i + j, reach):
+                fits &= known[step : step + n]
+            at = np.flatnonzero(fits)
             key = (code[at] * base + code[at + i]) * base + code[at + i + j]
             yield at, key * base + code[at + reach], DECAY ** (reach + 1)
 
