@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +65,16 @@ def worker_memory(purpose: tuple, limit: int) -> WorkerMemory:
     """The memory for a purpose, which outlives the task in a worker that is used again."""
     place = sys.modules.setdefault("_sftprep_worker", types.ModuleType("_sftprep_worker"))
     return place.__dict__.setdefault(purpose, WorkerMemory(limit))
+
+
+def steps(batch: pa.RecordBatch, column: str, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ``rows`` rows and, but for single long texts, about
+    ``size`` bytes of text."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = int(np.searchsorted(ends, before + size, side="right"))
+        hi = min(max(hi, lo + 1), lo + rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi

@@ -1,7 +1,7 @@
 """A Katz backoff bigram model: counted, discounted, normalised and applied at scale.
 
-Texts are tokenized once into blocks of a few million tokens: a row with the block's own
-vocabulary, its tokens as places in it, and its documents. Blocks are what meets the corpus's
+Texts are tokenized once into blocks of about a million tokens: a row with the block's own
+vocabulary as 64-bit hashes, its tokens as places in it, and its documents. Blocks are what meets the corpus's
 counts, so that a word or pair costs a row for each block it is in, not for each occurrence.
 
 1. Words of all blocks are counted, and every block gets the ids and counts of its words.
@@ -26,19 +26,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sftprep.llm.common import steps
 from sftprep.storage import shared_path, stored
 
-#: Tokens of a block, about; documents are never cut.
-BLOCK = 2_000_000
+#: Bytes of text of a block, about; documents are never cut.
+BLOCK = 6_000_000
 #: Training occurrences of a first word that one part holds, and pairs of a part, about.
 SPLIT = 200_000
 PART = 1_000_000
 #: Counts up to this one are discounted.
 LARGEST = 5
-END = ""
+END = 0
 BEGIN = -1
 
 
@@ -119,60 +122,71 @@ def _bucketed(df: DataFrame, label: str, buckets: int) -> DataFrame:
 
 BLOCKS = (
     "block long, docs array<long>, lens array<int>, held array<boolean>, "
-    "tokens array<int>, words array<string>, train array<long>"
+    "tokens array<int>, words array<long>, train array<long>"
+)
+
+
+BLOCK_SCHEMA = pa.schema(
+    [
+        ("block", pa.int64()),
+        ("docs", pa.list_(pa.int64())),
+        ("lens", pa.list_(pa.int32())),
+        ("held", pa.list_(pa.bool_())),
+        ("tokens", pa.list_(pa.int32())),
+        ("words", pa.list_(pa.int64())),
+        ("train", pa.list_(pa.int64())),
+    ]
 )
 
 
 def tokenize_blocks(docs: DataFrame, doc_id: str, text: Column, folds: int, fold: int) -> DataFrame:
     """Blocks of ``docs``; a document is held out if ``crc32`` of its id leaves ``fold``."""
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, lens, held, tokens, place, train = [], [], [], [], {END.encode(): 0}, [0]
-
-        def row() -> pd.DataFrame:
-            return pd.DataFrame(
-                {
-                    "block": [uuid.uuid4().int >> 65],
-                    "docs": [ids],
-                    "lens": [lens],
-                    "held": [held],
-                    "tokens": [np.concatenate(tokens)],
-                    "words": [[w.decode("utf-8") for w in place]],
-                    "train": [train],
-                }
-            )
-
-        size = 0
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            for key, body in zip(batch["id"].tolist(), batch["text"]):
-                key = None if key is None or key != key else int(key)
-                words = body.encode("utf-8").lower().split()
-                for w in words:
-                    if w not in place:
-                        place[w] = len(place)
-                        train.append(0)
-                own = np.array([*map(place.__getitem__, words), 0], dtype=np.int32)
-                out = key is not None and zlib.crc32(str(key).encode()) % folds == fold
-                if not out:
-                    kinds, n = np.unique(own, return_counts=True)
-                    for k, c in zip(kinds.tolist(), n.tolist()):
-                        train[k] += c
-                ids.append(key)
-                lens.append(len(own))
-                held.append(out)
-                tokens.append(own)
-                size += len(own)
-                if size >= BLOCK:
-                    yield row()
-                    ids, lens, held, tokens, place, train = [], [], [], [], {END.encode(): 0}, [0]
-                    size = 0
-        if ids:
-            yield row()
+            for part in steps(batch, "text", batch.num_rows, BLOCK):
+                ids = part.column("id").to_pylist()
+                split = pc.ascii_split_whitespace(pc.ascii_lower(part.column("text")))
+                flat = split.flatten()
+                real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+                edges = np.concatenate([[0], np.cumsum(real)])[
+                    split.offsets.to_numpy() - split.offsets[0].as_py()
+                ]
+                coded = flat.filter(pa.array(real)).dictionary_encode()
+                lens = np.diff(edges) + 1
+                tokens = np.full(lens.sum(), END, dtype=np.int32)
+                inside = np.ones(len(tokens), dtype=bool)
+                inside[np.cumsum(lens) - 1] = False
+                tokens[inside] = coded.indices.to_numpy(zero_copy_only=False) + 1
+                held = [
+                    x is not None and zlib.crc32(str(x).encode()) % folds == fold for x in ids
+                ]
+                train = np.bincount(
+                    tokens,
+                    weights=np.repeat(~np.array(held, dtype=bool), lens),
+                    minlength=len(coded.dictionary) + 1,
+                )
+                words = [xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()]
+                words = np.array([END, *words], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "block": [uuid.uuid4().int >> 65],
+                        "docs": [ids],
+                        "lens": [lens.astype(np.int32)],
+                        "held": [held],
+                        "tokens": [tokens],
+                        "words": [words],
+                        "train": [train.astype(np.int64)],
+                    },
+                    schema=BLOCK_SCHEMA,
+                )
 
     given = docs.select(
         F.col(doc_id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")
     )
-    return given.mapInPandas(blocks, BLOCKS)
+    return given.mapInArrow(blocks, BLOCKS)
 
 
 class Block:
@@ -213,7 +227,7 @@ class Block:
         salt = np.concatenate([w2[: len(splits)] % splits, salts])
         known = np.concatenate([known, np.ones(len(extra), dtype=bool)])
         part = np.where(known, mixed(w1, salt) % parts, -1)
-        order = np.lexsort((w2, w1, part))
+        order = np.argsort(part, kind="stable")
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         self.pair = place[inverse]  # of each token
@@ -306,7 +320,7 @@ def _evaluate(unigrams: Unigrams, discount: np.ndarray, parts: int):
         words, stats, seen = [], [], []
         for part, own in block.asked():
             count[own] = answers[part].c
-            words.append(block.w1[own][_runs(block.w1[own])])
+            words.append(np.unique(block.w1[own]))
             stats.append(np.asarray(answers[part].stats).reshape(-1, LARGEST))
             seen.append(answers[part].seen)
         first_count = block.first_counts[block.left]

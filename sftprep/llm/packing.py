@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sftprep.llm.common import worker_memory
+from sftprep.llm.common import steps, worker_memory
 from sftprep.storage import stored
 
 #: Words a worker remembers the ids of.
@@ -253,18 +253,6 @@ class WordEncoder:
 STEP_ROWS, STEP_BYTES = 4000, 16_000_000
 
 
-def steps(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of bounded rows and, but for single long texts, bytes of text."""
-    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
-    lo = 0
-    while lo < batch.num_rows:
-        before = ends[lo - 1] if lo else 0
-        hi = int(np.searchsorted(ends, before + STEP_BYTES, side="right"))
-        hi = min(max(hi, lo + 1), lo + STEP_ROWS)
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 def cut_documents(
     docs: DataFrame, doc_id: str, text: Column, tokenizer: str, limit: int, end_id: int = 1
 ) -> DataFrame:
@@ -281,7 +269,7 @@ def cut_documents(
         encoder = WordEncoder(tokenizer)
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP_ROWS, STEP_BYTES):
                 ids, edges = encoder.ids(part.column("text"))
                 rows = []
                 for k in range(part.num_rows):
