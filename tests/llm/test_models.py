@@ -179,7 +179,7 @@ def test_katz_equals_the_plain_model(spark, monkeypatch, split):
     texts[80] = None
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     rows = katz.score(df, "doc_id", F.col("text")).collect()
-    tokens = {k: [*(t or "").lower().split(), ""] for k, t in texts.items()}
+    tokens = {k: [*(t or "").lower().split(), "</s>"] for k, t in texts.items()}
     held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in texts}
     two, ones = plain_katz(tokens, held)
     everything = [*ones, "never seen"]
