@@ -335,3 +335,13 @@ def judge(
         & F.coalesce(F.col("word_distance") <= rules.max_word_share * bare, F.lit(True)),
     ).drop("__h", "__classes", "__common", "__starts", "__runs")
 
+
+
+def keep(judged: DataFrame) -> DataFrame:
+    """The rows that ``judge`` keeps.
+
+    The row number holds the filter above the rules: pushed below them, it would repeat their
+    expressions within each other until the plan is too large to optimize.
+    """
+    numbered = judged.withColumn("__row", F.monotonically_increasing_id())
+    return numbered.filter("kept and __row >= 0").drop("__row")

@@ -44,7 +44,8 @@ def test_divergence_rejects_what_is_unlike_its_language(spark):
     rows = [(k, prose * 3 + f"so {k} " + prose * 2) for k in range(40)] + [(98, table), (99, shout)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
     rules = quality.Rules(max_repeated=100, common_words=20)
-    kept = {r.doc_id for r in quality.judge(df, F.col("text"), F.col("lang"), rules).filter("kept").collect()}
+    judged = quality.judge(df, F.col("text"), F.col("lang"), rules).select("doc_id", "kept")
+    kept = {r.doc_id for r in quality.keep(judged).collect()}
     assert kept == set(range(40))
 
 
