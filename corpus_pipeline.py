@@ -25,7 +25,7 @@ from sftprep.storage import stored
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = quality.judge(docs, F.col("text"), F.col("lang"))
-    return judged.filter("kept").select(docs.columns)
+    return quality.keep(judged).select(docs.columns)
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
