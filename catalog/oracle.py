@@ -274,6 +274,7 @@ MODES = f"""WITH {SPLIT_DOCS}, modes AS (
   SELECT doc_id, 'train' AS mode FROM split WHERE NOT is_val
   UNION ALL SELECT doc_id, 'train_all' FROM split
   UNION ALL SELECT doc_id, 'val' FROM split WHERE is_val
+  UNION ALL SELECT doc_id, 'test' FROM split
   UNION ALL SELECT doc_id, 'predict' FROM split)"""
 
 
@@ -303,7 +304,7 @@ ORACLE = {
     "read_csv": "SELECT doc_id, lang, CASE WHEN source <> 'src3' THEN source END AS source, text FROM documents",
     "read_tsv": "SELECT doc_id, lang, source, text FROM documents",
     "load_dataset": f"""WITH {STRUCTURAL}
-SELECT format, structural.* FROM structural, unnest(['parquet', 'jsonl', 'csv', 'tsv']) f(format)""",
+SELECT format, structural.* FROM structural, unnest(['parquet', 'json', 'jsonl', 'csv', 'tsv']) f(format)""",
     "write_prediction_shards": f"""WITH {PREDICTIONS}
 SELECT device_num, batch_idx::INT AS batch_idx, count(*) AS rows, sum(index)::BIGINT AS index_sum
 FROM shards GROUP BY ALL""",

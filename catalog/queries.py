@@ -46,15 +46,19 @@ def read_parquet(spark, sf_dir):
     return df.select("doc_id", "text", "lang", "source", "n_chars")
 
 
-def read_json(spark, sf_dir):
-    """JSON files that hold one array each: about 4,096 records to a file."""
-    path = shared_path(spark, "arrays")
-    records = shapes.structural(spark, sf_dir)
+def _json_arrays(records, key, path):
+    """JSON files that hold one array each, of about 4,096 records."""
     files = F.lit(records.count() // 4096 + 1)
-    arrays = records.groupBy(F.pmod(F.xxhash64("record_id"), files).alias("part")).agg(
+    arrays = records.groupBy(F.pmod(F.xxhash64(key), files).alias("part")).agg(
         F.to_json(F.collect_list(F.struct(*records.columns))).alias("value")
     )
     arrays.write.partitionBy("part").text(path)
+
+
+def read_json(spark, sf_dir):
+    path = shared_path(spark, "arrays")
+    records = shapes.structural(spark, sf_dir)
+    _json_arrays(records, "record_id", path)
     schema = records.schema
     return readers.read_json(spark, path, lines=False, schema=schema).select(*records.columns)
 
@@ -94,6 +98,7 @@ def load_dataset(spark, sf_dir):
     records = shapes.structural(spark, sf_dir)
     records.write.parquet(f"{folder}/records.parquet")
     records.write.json(f"{folder}/records.jsonl")
+    _json_arrays(records, "record_id", f"{folder}/records.json")
     for fmt, sep in (("csv", ","), ("tsv", "\t")):
         (
             records.write.option("header", True)
@@ -108,7 +113,7 @@ def load_dataset(spark, sf_dir):
             "records",
             fmt,
             "train",
-            records.schema if fmt == "jsonl" else None,
+            records.schema if fmt in ("json", "jsonl") else None,
             multi_line=True,
         ).select(
             F.lit(fmt).alias("format"),
@@ -117,7 +122,7 @@ def load_dataset(spark, sf_dir):
             "input",
             "response",
         )
-        for fmt in ("parquet", "jsonl", "csv", "tsv")
+        for fmt in ("parquet", "json", "jsonl", "csv", "tsv")
     ]
     return merge.union_shards(*frames)
 
@@ -233,6 +238,7 @@ def split_mode(spark, sf_dir):
         ("train", split.split_rows(ids, "train", "doc_id", SPLIT)),
         ("train_all", split.split_rows(ids, "train", "doc_id", replace(SPLIT, strict=False))),
         ("val", split.split_rows(ids, "val", "doc_id", SPLIT)),
+        ("test", split.split_rows(ids, "test", "doc_id", SPLIT)),
         ("predict", split.split_rows(ids, "predict", "doc_id", SPLIT)),
     ]
     return merge.union_shards(*[df.withColumn("mode", F.lit(mode)) for mode, df in seen])
@@ -659,6 +665,7 @@ def predict_and_merge(spark, sf_dir):
         echo_generator,
         ECHO,
         shared_path(spark, "shards"),
+        submission_path=shared_path(spark, "submission"),
     )
 
 

@@ -50,6 +50,22 @@ def tokenizer_udf(factory: Callable[[], Callable[[list[str]], Sequence[Sequence[
     return encode
 
 
+def detokenizer_udf(factory: Callable[[], Callable[[list[list[int]]], Sequence[str]]]):
+    """Wrap any decoder as an ids -> text column function; null ids give null."""
+
+    @F.pandas_udf("string")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        decoder = factory()
+        for ids in batches:
+            present = ids.notna()
+            texts = pd.Series([None] * len(ids), index=ids.index, dtype=object)
+            lists = [[int(i) for i in row] for row in ids[present]]
+            texts[present] = list(decoder(lists))
+            yield texts
+
+    return decode
+
+
 def truncate(items: Column, length: int) -> Column:
     return F.slice(items, 1, length)
 

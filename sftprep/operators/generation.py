@@ -28,12 +28,15 @@ def generate(
     options: GenerationOptions,
     keep: Sequence[str] = ("pos",),
     out: str = "sequences",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Run the generator over every row of ``df``; ``factory`` runs once per partition.
 
-    Only ``keep`` and the model inputs cross to Python. Prompts have a fixed length, so
-    the memory of a task depends on the batch size alone. Rows come back in any order
-    and carry ``keep`` as their identity, so a retried task changes nothing.
+    Only ``keep`` and the model inputs cross to Python. A task holds one Arrow batch of
+    prompts and the sequences of one batch of ``batch_size``. ``partitions`` deals the rows
+    to that many tasks, which a costly generator wants, as input files may make few. Rows
+    come back in any order and carry ``keep`` as their identity, so a retried task changes
+    nothing.
     """
     inputs = ["input_ids", "attention_mask"]
     schema = T.StructType(
@@ -52,4 +55,7 @@ def generate(
                 result[out] = pd.Series([list(s) for s in sequences], index=batch.index, dtype=object)
                 yield result
 
-    return df.select(*keep, *inputs).mapInPandas(run, schema)
+    rows = df.select(*keep, *inputs)
+    if partitions is not None:
+        rows = rows.repartition(partitions, *keep)
+    return rows.mapInPandas(run, schema)

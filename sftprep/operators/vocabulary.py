@@ -18,7 +18,6 @@ GROUP = 128
 VOCAB_SCHEMA = "token string, id int, freq bigint"
 MAX_SHIPPED_TOKENS = 1 << 20
 MAX_SHIPPED_BYTES = 64 << 20
-SALTS = 32
 
 
 def count_tokens(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -202,10 +201,12 @@ class Vocabulary:
         if complete:
             return df
 
+        # a hot token outside the head is spread over as many tasks as there are
+        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rest = self.table.filter(F.col("id") >= limit).select(
             F.col(source).alias("__item"),
             F.col(target).alias("__found"),
-            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"),
+            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"),
         )
         open_items = F.filter(
             F.transform(items, lambda x, i: F.struct(i.alias("at"), x.alias("item"))),
@@ -215,7 +216,7 @@ class Vocabulary:
             "__key",
             F.col("e.at").alias("__at"),
             F.col("e.item").alias("__item"),
-            F.pmod(F.xxhash64("__key", "e.at"), F.lit(SALTS)).cast("int").alias("__salt"),
+            F.pmod(F.xxhash64("__key", "e.at"), F.lit(salts)).cast("int").alias("__salt"),
         )
         patches = (
             elements.join(rest, ["__item", "__salt"])

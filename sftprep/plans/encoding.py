@@ -13,6 +13,7 @@ from sftprep.config import Recipe
 from sftprep.functions.tokens import (
     TOKEN_PATTERN,
     attention_mask,
+    detokenizer_udf,
     full_labels,
     mask_padded_labels,
     pad_ids,
@@ -28,10 +29,23 @@ class Encoder(Protocol):
     def encode(self, df: DataFrame, key: str, text: str, out: str, length: int) -> DataFrame:
         """Add the ids ``out`` of the column ``text``, cut to ``length``."""
 
+    def decode(
+        self, df: DataFrame, key: str, ids: str, out: str, skip: Sequence[int]
+    ) -> DataFrame:
+        """Add the text ``out`` of the ids, without those in ``skip``."""
+
     def literal_ids(self, text: str) -> list[int]:
         """Ids of a short constant."""
 
 
+def single_id(encoder: Encoder, token: str) -> int:
+    """The id of a token that must be one for this encoder, such as the padding."""
+    ids = encoder.literal_ids(token)
+    if len(ids) != 1:
+        raise ValueError(f"the tokenizer splits {token!r} into {len(ids)} tokens")
+    return ids[0]
+
+
 class TableEncoder:
     """The regex tokenizer with the ids of a vocabulary table.
 
@@ -48,21 +62,47 @@ class TableEncoder:
         cut = df.withColumn("__tokens", tokens)
         return self.vocabulary.encode(cut, key, "__tokens", out).drop("__tokens")
 
+    def decode(
+        self, df: DataFrame, key: str, ids: str, out: str, skip: Sequence[int]
+    ) -> DataFrame:
+        return self.vocabulary.decode(df, key, ids, out, skip)
+
     def _literal_ids(self, text: str) -> list[int]:
         return self.vocabulary.ids(tokenize_literal(text, self.pattern))
 
 
 class PluginEncoder:
-    """Any tokenizer: ``factory()`` returns a function from texts to id lists."""
+    """Any tokenizer: ``factory()`` returns a function from texts to id lists.
+
+    ``decoder()``, needed for predictions only, returns one from id lists to texts.
+    """
 
-    def __init__(self, factory: Callable[[], Callable[[list[str]], Sequence[Sequence[int]]]]) -> None:
+    def __init__(
+        self,
+        factory: Callable[[], Callable[[list[str]], Sequence[Sequence[int]]]],
+        decoder: Callable[[], Callable[[list[list[int]]], Sequence[str]]] | None = None,
+    ) -> None:
         self.factory = factory
+        self.decoder = decoder
+        self.literal_ids = functools.cache(self._literal_ids)
 
     def encode(self, df: DataFrame, key: str, text: str, out: str, length: int) -> DataFrame:
         return df.withColumn(out, truncate(tokenizer_udf(self.factory)(F.col(text)), length))
 
-    def literal_ids(self, text: str) -> list[int]:
-        return list(self.factory()([text])[0])
+    def decode(
+        self, df: DataFrame, key: str, ids: str, out: str, skip: Sequence[int]
+    ) -> DataFrame:
+        if self.decoder is None:
+            raise ValueError("this encoder has no decoder")
+        kept = F.filter(ids, lambda i: ~i.isin(list(skip))) if skip else F.col(ids)
+        return df.withColumn(out, detokenizer_udf(self.decoder)(kept))
+
+    @functools.cached_property
+    def _tokenizer(self) -> Callable[[list[str]], Sequence[Sequence[int]]]:
+        return self.factory()
+
+    def _literal_ids(self, text: str) -> list[int]:
+        return list(self._tokenizer([text])[0])
 
 
 def _label_column(ids: Column, padded: Column, encoder: Encoder, recipe: Recipe) -> Column:
@@ -74,7 +114,7 @@ def _label_column(ids: Column, padded: Column, encoder: Encoder, recipe: Recipe)
         start=encoder.literal_ids(recipe.markers.response_start),
         end=encoder.literal_ids(spec.eos_token),
         length=recipe.max_length,
-        pad=encoder.literal_ids(spec.pad)[0],
+        pad=single_id(encoder, spec.pad),
         left=spec.left_padding,
         ignore_index=spec.ignore_index,
     )
@@ -85,7 +125,7 @@ def encode_prompt(
 ) -> DataFrame:
     """Replace ``prompt`` by the struct ``input_ids, attention_mask[, labels]``."""
     spec, length = recipe.tokens, recipe.max_length
-    pad = encoder.literal_ids(spec.pad)[0]
+    pad = single_id(encoder, spec.pad)
     ids = F.col("__ids")
     padded = pad_ids(ids, length, pad, spec.left_padding)
     fields = [

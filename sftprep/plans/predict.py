@@ -14,10 +14,10 @@ from sftprep.functions.tokens import strip_prompt
 from sftprep.operators.generation import GenerationOptions, Generator, generate
 from sftprep.operators.merge import merge_predictions
 from sftprep.operators.order import index_rows
-from sftprep.plans.encoding import Encoder, TableEncoder
+from sftprep.plans.encoding import Encoder, single_id
 from sftprep.plans.prepare import Prepared, prepare_chat_sft, prepare_preference, prepare_sft
 from sftprep.sources.readers import read_prediction_shards
-from sftprep.sources.writers import write_prediction_shards
+from sftprep.sources.writers import write_prediction_shards, write_submission
 
 
 def prepare_predict(
@@ -45,7 +45,7 @@ def _target(recipe: Recipe, preference: bool) -> str:
 
 def predict(
     prepared: DataFrame,
-    encoder: TableEncoder,
+    encoder: Encoder,
     recipe: Recipe,
     factory: Callable[[], Generator],
     options: GenerationOptions,
@@ -56,14 +56,14 @@ def predict(
     Of preference records the chosen side is continued, and its column is the target.
     """
     encoded = "encoded_choice" if preference else "encoded"
-    special = [encoder.literal_ids(token)[0] for token in recipe.tokens.special]
+    special = [single_id(encoder, token) for token in recipe.tokens.special]
     place = ["pos", "device_num", "batch_idx"]
     prompts = prepared.select(*place, f"{encoded}.input_ids", f"{encoded}.attention_mask")
     length = F.lit(recipe.tokens.data_max_length)
     new_ids = generate(prompts, factory, options, keep=place).select(
         *place, strip_prompt(F.col("sequences"), length).alias("new_ids")
     )
-    decoded = encoder.vocabulary.decode(new_ids, "pos", "new_ids", "text", special)
+    decoded = encoder.decode(new_ids, "pos", "new_ids", "text", special)
     return decoded.select(
         F.col("pos").alias("index"),
         clean_generation(F.col("text")).alias(_target(recipe, preference)),
@@ -75,7 +75,7 @@ def predict(
 def predict_and_merge(
     df: DataFrame,
     key: str,
-    encoder: TableEncoder,
+    encoder: Encoder,
     recipe: Recipe,
     factory: Callable[[], Generator],
     options: GenerationOptions,
@@ -83,11 +83,13 @@ def predict_and_merge(
     data_type: str = "structural",
     preference: bool = False,
     per_batch: bool = False,
+    submission_path: str | None = None,
 ) -> DataFrame:
     """Generate for every row of ``df``, keep the shards, and put them back onto ``df``.
 
     The table with its target column overwritten, and ``pos`` for the order. The shards
     are written first and read again: they are the durable output of the costly step.
+    With ``submission_path`` the merged table is written there as CSV as well.
     """
     recipe = replace(recipe, split="predict")
     prepared = prepare_predict(df, key, encoder, recipe, data_type, preference)
@@ -96,4 +98,7 @@ def predict_and_merge(
     write_prediction_shards(predictions, shard_path, target, per_batch)
     shards = read_prediction_shards(df.sparkSession, shard_path, target)
     base = index_rows(df, [key], "pos", prepared.rows).frame
-    return merge_predictions(base, shards, target)
+    merged = merge_predictions(base, shards, target)
+    if submission_path is not None:
+        write_submission(merged, submission_path)
+    return merged

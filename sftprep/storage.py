@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +29,32 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root()
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end of the block, every table that was stored within it.
+
+    Results that read such tables must have been written by then.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scopes.pop():
+            place = hadoop(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder; nothing is ever written twice to it."""
-    return f"{shared_root(spark)}/sftprep/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/sftprep/{label}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -119,7 +119,9 @@ def test_preference_records(spark, encoder):
 
 
 def test_plugin_encoder(spark, records):
-    plugin = PluginEncoder(lambda: lambda batch: [[ord(c) for c in t] for t in batch])
+    plugin = PluginEncoder(
+        lambda: lambda batch: [[0] if t == SPEC.pad else [ord(c) for c in t] for t in batch]
+    )
     row = prepare.prepare_sft(records, "key", plugin, RECIPE).frame.filter("pos = 0").first()
     assert row.encoded.input_ids == [ord(c) for c in "<|im_start|>system\nhi<|im_end|>"][:24]
 
@@ -136,6 +138,31 @@ def test_predict_and_merge(encoder, records, tmp_path):
     assert [(r.key, r.pos, r.response) for r in rows] == [(i, i, "yes yes") for i in range(5)]
 
 
+def test_predict_with_a_plugin_encoder(spark, records, tmp_path):
+    special = {token: i for i, token in enumerate(SPEC.special, 1)}
+
+    def tokenizer():
+        return lambda texts: [[special[t]] if t in special else [ord(c) for c in t] for t in texts]
+
+    def decoder():
+        return lambda rows: ["".join(map(chr, row)) for row in rows]
+
+    recipe = replace(RECIPE, tokens=replace(SPEC, pad_token=None))
+    merged = predict.predict_and_merge(
+        records,
+        "key",
+        PluginEncoder(tokenizer, decoder),
+        recipe,
+        lambda: lambda batch, options: [[*ids, ord("o"), ord("k")] for ids in batch.input_ids],
+        GenerationOptions(),
+        str(tmp_path / "g"),
+        submission_path=str(tmp_path / "s"),
+    )
+    assert [r.response for r in merged.collect()] == ["ok"] * 5
+    header = spark.read.option("header", True).csv(str(tmp_path / "s")).columns
+    assert header == records.columns
+
+
 def test_preference_rows_continue_the_chosen_side(encoder, records, tmp_path):
     pairs = records.selectExpr("key", "instruction", "input", "response as chosen", "'hi' as rejected")
     yes = WORDS.index("yes")

@@ -28,3 +28,15 @@ def test_stored_tables_are_new_each_time(spark):
     first, second = storage.stored(df, "t"), storage.stored(df, "t")
     assert first.inputFiles() != second.inputFiles()
     assert sorted(r.id for r in second.collect()) == [0, 1, 2]
+
+
+def test_temporary_tables_are_removed(spark):
+    import os
+
+    from sftprep import storage
+
+    with storage.temporary_tables(spark):
+        path = storage.shared_path(spark, "gone")
+        spark.range(3).write.parquet(path)
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
