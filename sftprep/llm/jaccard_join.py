@@ -10,10 +10,14 @@ the threshold open the group, where bits give all exact overlaps at once.
 Signatures lose no pair. Sets that link differ in at most ``D`` tokens, where ``D`` follows
 from their sizes. Tokens are hashed into more than ``D`` parts, and the contents of a set's
 first ``D + 1`` parts with tokens are its signatures: at most ``D`` of them differ from the
-other set's, and the one that does not is among the other's as well. A set with fewer such
-parts also signs its parts without tokens; two such sets have an equal part in any case. Sizes
-fall into levels so that both documents use the same number of parts; a document near the
-lower end of a level also signs as the level below.
+other set's, and the one that does not is among the other's as well. This is done with the
+rare tokens alone, so that passages and phrases of many documents bring nobody together. A
+set with too few parts of rare tokens signs all it has, and signs all its tokens as well: its
+first ``D + 1`` parts, or all of them, those without tokens included. Two sets of that sort
+have an equal part in any case. Sizes fall into levels so that both documents use the same
+number of parts; a document near the lower end of a level also signs as the level below.
+Which tokens are rare is taken from a bounded sample: it is only a matter of speed, as
+signatures lose no pair whatever tokens are called rare.
 
 Groups that share a signature first meet the signature's hub, one of them, which is linear in
 the size of even the largest family of copies. After that, groups meet pairwise unless all of
@@ -33,6 +37,8 @@ from pyspark.sql.window import Window
 from sftprep.llm.common import worker_memory
 from sftprep.storage import stored
 
+#: Documents of the sample that tells frequent tokens, and in how many of them those are.
+SAMPLE, OFTEN = 5000, 4
 #: Members of a group, about; words a worker remembers the hashes of.
 GROUP = 128
 REMEMBERED = 800_000
@@ -102,28 +108,65 @@ class Levels:
         return [level, level - 1] if below else [level]
 
 
-def signatures(tokens: np.ndarray, levels: Levels) -> np.ndarray:
-    """The signatures of a set."""
+def _parts(tokens: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that hold tokens, and a hash of each one's content."""
+    if not len(tokens):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    part = ((tokens >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    own, first = np.unique(part[order], return_index=True)
+    mixed = (tokens ^ (tokens << np.uint64(13))) * _MIX[1]
+    return own, np.add.reduceat(mixed[order], first)
+
+
+def signatures(tokens: np.ndarray, levels: Levels, frequent: np.ndarray) -> np.ndarray:
+    """The signatures of a set, given the sorted tokens that are not rare."""
     out = []
+    rare = tokens
+    if len(frequent) and len(tokens):
+        place = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+        rare = tokens[frequent[place] != tokens]
     for level in levels.signing(len(tokens)):
         differ, m = levels.parts(level)
-        part = ((tokens >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        own, first = np.unique(part[order], return_index=True)
-        mixed = (tokens ^ (tokens << np.uint64(13))) * _MIX[1]
-        content = np.add.reduceat(mixed[order], first)
-        if len(own) > differ:
-            own, content = own[: differ + 1], content[: differ + 1]
-        else:
-            empty = np.setdiff1d(np.arange(m), own)
-            own = np.concatenate([own, empty])
-            content = np.concatenate([content, np.zeros(len(empty), dtype=np.uint64)])
-        place = own.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(level + 1)
-        s = (content ^ (content >> np.uint64(31))) * _MIX[0] + place * _MIX[2]
-        out.append((s ^ (s >> np.uint64(30))) * _MIX[1])
+        own, content = _parts(rare, m)
+        found = [(0, own[: differ + 1], content[: differ + 1])]
+        if len(own) <= differ:
+            own, content = _parts(tokens, m)
+            if len(own) > differ:
+                own, content = own[: differ + 1], content[: differ + 1]
+            else:
+                empty = np.setdiff1d(np.arange(m), own)
+                own = np.concatenate([own, empty])
+                content = np.concatenate([content, np.zeros(len(empty), dtype=np.uint64)])
+            found.append((1, own, content))
+        for kind, own, content in found:
+            place = own.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(2 * level + 2 + kind)
+            s = (content ^ (content >> np.uint64(31))) * _MIX[0] + place * _MIX[2]
+            out.append((s ^ (s >> np.uint64(30))) * _MIX[1])
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
+def frequent_tokens(given: DataFrame, width: int) -> np.ndarray:
+    """Tokens in at least ``OFTEN`` of about ``SAMPLE`` documents, those of the smallest hash.
+
+    At most a few million numbers, whatever the size of the table.
+    """
+    share = min(1.0, SAMPLE / max(given.count(), 1))
+    sample = given.filter(
+        F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    ).select("text")
+
+    def tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(width)
+        for batch in batches:
+            for t in batch["text"]:
+                yield pd.DataFrame({"token": shingler.tokens(t).view(np.int64)})
+
+    counts = sample.mapInPandas(tokens_of, "token long").groupBy("token").count()
+    rows = counts.filter(F.col("count") >= OFTEN).select("token").toPandas()
+    return np.sort(rows["token"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
 def linked(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Whether ``100 * intersection >= percent * union``."""
     return 100 * overlap >= percent * (a + b - overlap)
@@ -241,6 +284,8 @@ def jaccard_join(
         F.col(doc_id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")
     )
 
+    frequent = frequent_tokens(given, width)
+
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -250,7 +295,7 @@ def jaccard_join(
             for t in batch["text"]:
                 tokens = shingler.tokens(t)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), dtype=np.int64)
-                rows.append((len(tokens), digest[0], digest[1], signatures(tokens, levels)))
+                rows.append((len(tokens), digest[0], digest[1], signatures(tokens, levels, frequent)))
             yield pd.DataFrame(rows, columns=["n", "h1", "h2", "sigs"]).assign(id=batch["id"].values)
 
     signed = stored(

@@ -113,10 +113,13 @@ def test_signatures_share_one_whenever_sets_link():
             b = np.unique(np.append(b, rng.integers(0, 2**63, rng.integers(0, 1 + n // 12)).astype(np.uint64)))
             both = len(np.intersect1d(a, b))
             if 100 * both >= percent * (len(a) + len(b) - both) and len(b) >= levels.least:
-                shared = np.intersect1d(
-                    jaccard_join.signatures(a, levels), jaccard_join.signatures(b, levels)
-                )
-                assert len(shared) or np.array_equal(a, b)
+                both_have = np.intersect1d(a, b)
+                for frequent in (a[:0], both_have, both_have[::2], both_have[: len(a) // 4]):
+                    shared = np.intersect1d(
+                        jaccard_join.signatures(a, levels, frequent),
+                        jaccard_join.signatures(b, levels, frequent),
+                    )
+                    assert len(shared) or np.array_equal(a, b)
 
 
 def test_join_of_odd_rows(docs, none):
