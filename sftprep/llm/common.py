@@ -52,9 +52,13 @@ class WorkerMemory:
         found = [list(map(known.get, words)) for words in lists]
         open_ = [k for k, values in enumerate(found) if None in values]
         new = {w for k in open_ for w, v in zip(lists[k], found[k]) if v is None}
-        for w in new & old.keys():
-            known[w] = old[w]
-        if rest := list(new - known.keys()):
+        rest = []
+        for w in new:
+            if w in old:
+                known[w] = old[w]
+            else:
+                rest.append(w)
+        if rest:
             known.update(work_out(rest))
         for k in open_:
             found[k] = [known[w] if v is None else v for w, v in zip(lists[k], found[k])]
