@@ -98,18 +98,16 @@ def pair_shares(
 
 def backoff(
     stats: np.ndarray, total: np.ndarray, seen: np.ndarray, discount: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Scale of the shares, and backoff weight, of first words.
+) -> np.ndarray:
+    """Backoff weights of first words.
 
     ``stats``: columns of numbers of pairs with count 1 to ``LARGEST``; ``total``: training
     count as first word; ``seen``: probability of the words seen after it. Where no pair is
-    discounted, one count is set aside for backoff. A word never seen first backs off whole.
+    discounted, one count is set aside for backoff: shares are then of ``total + 1``.
     """
     r = np.arange(1, LARGEST + 1)
     freed = (stats * ((1 - discount[1:]) * r)).sum(axis=1) / np.maximum(total, 1)
-    scale = np.where(freed > 0, 1.0, total / (total + 1.0))
-    weight = np.where(freed > 0, freed, 1.0 / (total + 1.0)) / np.maximum(1 - seen, 1e-300)
-    return np.where(total > 0, scale, 1.0), np.where(total > 0, weight, 1.0)
+    return np.where(freed > 0, freed, 1.0 / (total + 1.0)) / np.maximum(1 - seen, 1e-300)
 
 
 def _bucketed(df: DataFrame, label: str, buckets: int) -> DataFrame:
@@ -252,6 +250,22 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(17)).astype(np.int64)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers or doubles, compressed byte by byte of their places."""
+    import zstandard
+
+    planes = np.ascontiguousarray(values.astype("<i8" if values.dtype.kind in "iub" else "<f8"))
+    planes = planes.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(planes)
+
+
+def unpacked(data: bytes, dtype: str = "<i8") -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(dtype).ravel()
+
+
 def _asks(parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -261,10 +275,10 @@ def _asks(parts: int):
                     (
                         part,
                         row.block,
-                        block.w1[own],
-                        block.w2[own],
-                        block.train[own].astype(np.int32),
-                        block.counts[block.right[own]],
+                        packed(block.w1[own]),
+                        packed(block.w2[own]),
+                        packed(block.train[own]),
+                        packed(block.counts[block.right[own]]),
                     )
                     for part, own in block.asked()
                 ]
@@ -282,8 +296,10 @@ def _answers(unigrams: Unigrams):
     """Counts pairs of one part and answers every block that asked."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        edges = np.cumsum([0, *map(len, group["w1"])])
-        w1, w2, n, c2 = (np.concatenate(group[c].to_numpy()) for c in ("w1", "w2", "n", "c2"))
+        firsts_of = [unpacked(x) for x in group["w1"]]
+        edges = np.cumsum([0, *map(len, firsts_of)])
+        w1 = np.concatenate(firsts_of)
+        w2, n, c2 = (np.concatenate([unpacked(x) for x in group[c]]) for c in ("w2", "n", "c2"))
         order = np.lexsort((w2, w1))
         a, b = w1[order], w2[order]
         starts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
@@ -297,12 +313,25 @@ def _answers(unigrams: Unigrams):
         np.add.at(stats, (first_of[low], count[low] - 1), 1)
         p = np.where(count > 0, unigrams.probabilities(c2[order][starts]), 0.0)
         seen = np.bincount(first_of, weights=p, minlength=len(firsts))
-        rows = [(-1, 0, np.bincount(count, minlength=LARGEST + 2)[: LARGEST + 2], [], [])]
+        histogram = np.bincount(count, minlength=LARGEST + 2)[: LARGEST + 2]
+        nothing = packed(np.zeros(0))
+        rows = [(-1, 0, packed(histogram), nothing, nothing, nothing)]
+        rigid = stats.sum(axis=1) == 0
         for k, (block, part) in enumerate(zip(group["block"], group["part"])):
             own = pair_of[edges[k] : edges[k + 1]]
-            first = np.unique(first_of[own])
-            rows.append((block, part, count[own], stats[first].ravel(), seen[first]))
-        return pd.DataFrame(rows, columns=["block", "part", "c", "stats", "seen"])
+            first, unseen = first_of[own], count[own] == 0
+            need = np.unique(first[unseen])
+            rows.append(
+                (
+                    block,
+                    part,
+                    packed(count[own]),
+                    packed(rigid[np.unique(first)]),
+                    packed(stats[need].ravel()),
+                    packed(seen[need]),
+                )
+            )
+        return pd.DataFrame(rows, columns=["block", "part", "c", "rigid", "stats", "seen"])
 
     return run
 
@@ -317,26 +346,32 @@ def _evaluate(unigrams: Unigrams, discount: np.ndarray, parts: int):
         block = Block(row, parts)
         answers = {a.part: a for a in right.itertuples(index=False)}
         count = np.zeros(len(block.left), dtype=np.int64)
-        words, stats, seen = [], [], []
+        words, rigid, needed, stats, seen = [], [], [], [], []
         for part, own in block.asked():
-            count[own] = answers[part].c
+            answer = answers[part]
+            count[own] = unpacked(answer.c)
             words.append(np.unique(block.w1[own]))
-            stats.append(np.asarray(answers[part].stats).reshape(-1, LARGEST))
-            seen.append(answers[part].seen)
+            rigid.append(unpacked(answer.rigid))
+            needed.append(np.unique(block.w1[own][count[own] == 0]))
+            stats.append(unpacked(answer.stats).reshape(-1, LARGEST))
+            seen.append(unpacked(answer.seen, "<f8"))
         first_count = block.first_counts[block.left]
         second = unigrams.probabilities(block.counts[block.right])
         scale, weight = np.ones(len(count)), np.ones(len(count))
         if words:
             kinds, where = np.unique(np.concatenate(words), return_inverse=True)
-            s = np.zeros((len(kinds), LARGEST))
-            np.add.at(s, where, np.concatenate(stats))
-            q = np.bincount(where, weights=np.concatenate(seen), minlength=len(kinds))
             asked = block.part >= 0
             kind = np.searchsorted(kinds, block.w1[asked])
             total = np.zeros(len(kinds))
             total[kind] = first_count[asked]
-            found = backoff(s, total, q, discount)
-            scale[asked], weight[asked] = found[0][kind], found[1][kind]
+            # a word is rigid if none of its parts has a discounted pair
+            soft = np.bincount(where, weights=1 - np.concatenate(rigid), minlength=len(kinds))
+            scale[asked] = np.where(soft > 0, 1.0, total / (total + 1.0))[kind]
+            some = np.searchsorted(kinds, np.concatenate(needed))
+            s = np.zeros((len(kinds), LARGEST))
+            np.add.at(s, some, np.concatenate(stats))
+            q = np.bincount(some, weights=np.concatenate(seen), minlength=len(kinds))
+            weight[asked] = backoff(s, total, q, discount)[kind]
         share = pair_shares(count, first_count, discount) * scale
         log = np.log10(np.where(count > 0, share, weight * second))
         starts = np.cumsum(block.lens) - block.lens
@@ -377,7 +412,8 @@ def score(
         "block", F.posexplode(F.arrays_zip("words", "train")).alias("place", "word")
     ).select("block", "place", F.col("word.words").alias("word"), F.col("word.train").alias("n"))
     counted = stored(
-        words.groupBy("word")
+        words.repartition("word")  # rows are smaller than partial lists of them
+        .groupBy("word")
         .agg(F.sum("n").alias("c"), F.collect_list(F.struct("block", "place")).alias("at"))
         .filter("c > 0")
         .select(F.monotonically_increasing_id().alias("id"), "c", "at"),
@@ -418,18 +454,25 @@ def score(
     parts = max(1, unigrams.tokens // PART)
     asked = known.mapInPandas(
         _asks(parts),
-        "part long, block long, w1 array<long>, w2 array<long>, n array<int>, c2 array<long>",
+        "part long, block long, w1 binary, w2 binary, n binary, c2 binary",
     )
     answers = stored(
         asked.groupBy("part").applyInPandas(
             _answers(unigrams),
-            "block long, part long, c array<long>, stats array<int>, seen array<double>",
+            "block long, part long, c binary, rigid binary, stats binary, seen binary",
         ),
         "answers",
     )
+    # the histograms of the parts, of a few numbers each, add up to the counts of counts
+    def adding(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["c"]:
+                yield pd.DataFrame({"r": np.arange(LARGEST + 2), "n": unpacked(data)})
+
     histogram = (
         answers.filter("block = -1")
-        .select(F.posexplode("c").alias("r", "n"))
+        .select("c")
+        .mapInPandas(adding, "r long, n long")
         .groupBy("r")
         .agg(F.sum("n").alias("n"))
         .collect()
