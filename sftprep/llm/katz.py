@@ -1,6 +1,6 @@
 """A Katz backoff bigram model: counted, discounted, normalised and applied at scale.
 
-Texts are tokenized once into blocks of about a million tokens: a row with the block's own
+Texts are tokenized once into blocks of one to two million tokens: a row with the block's own
 vocabulary as 64-bit hashes, its tokens as places in it, and its documents. Blocks are what meets the corpus's
 counts, so that a word or pair costs a row for each block it is in, not for each occurrence.
 
@@ -35,7 +35,7 @@ from sftprep.llm.common import steps
 from sftprep.storage import shared_path, stored
 
 #: Bytes of text of a block, about; documents are never cut.
-BLOCK = 6_000_000
+BLOCK = 9_000_000
 #: Training occurrences of a first word that one part holds, and pairs of a part, about.
 SPLIT = 200_000
 PART = 1_000_000
@@ -143,6 +143,7 @@ def tokenize_blocks(docs: DataFrame, doc_id: str, text: Column, folds: int, fold
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between stages
         for batch in batches:
             for part in steps(batch, "text", batch.num_rows, BLOCK):
                 ids = part.column("id").to_pylist()
@@ -268,6 +269,7 @@ def unpacked(data: bytes, dtype: str = "<i8") -> np.ndarray:
 
 def _asks(parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pa.set_memory_pool(pa.system_memory_pool())
         for batch in batches:
             for row in batch.itertuples(index=False):
                 block = Block(row, parts)
