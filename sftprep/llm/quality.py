@@ -3,7 +3,9 @@
 A language reference holds two histograms over all documents of that language: of character
 classes, and of its most frequent words, everything else being one more bin. A document is
 held against every reference and keeps the smallest Jensen-Shannon distance of each kind, so a
-wrong or missing language tag does no harm. Base rules (too few words, too much repeated text)
+wrong or missing language tag does no harm. The words have to be nearer to the language they
+were matched to, or to that of the tag, than a document without common words is to the same
+language; the tag also tells where common words are too rare to judge by. Base rules (too few words, too much repeated text)
 come first; documents shorter than a guard are not judged by divergence, as their histograms
 are mostly chance.
 
@@ -45,8 +47,10 @@ class Rules:
     min_words, max_repeated: base rules, in words and percent of words.
     class_words, common_words_from: fewest words to be judged by either divergence.
     max_class_distance: largest distance of kept documents, from 0 to 1.
-    max_word_share: the same for words, as a share of the smallest distance that a document
-        without any common word has.
+    max_word_share: the same for words, as a share of the distance that a document without any
+        common word has from the same language.
+    expected_common: common words that a document of its length has to expect in a language to
+        be judged by that language's words; 80 words in the given tables' languages have 21.
     common_words: words a reference holds. languages: the most frequent ones get a reference.
     """
 
@@ -56,6 +60,7 @@ class Rules:
     common_words_from: int = 80
     max_class_distance: float = 0.25
     max_word_share: float = 0.965
+    expected_common: float = 20.0
     common_words: int = 40
     languages: int = 64
 
@@ -145,17 +150,17 @@ def with_base(docs: DataFrame, text: Column) -> DataFrame:
     return df.drop("__text", "__words", *[f"__rest_{name}" for name in CLASSES])
 
 
-def references(docs: DataFrame, text: Column, lang: Column, rules: Rules) -> dict[str, dict]:
-    """The histograms of each language, over all its documents; see the module.
+def _given(docs: DataFrame, text: Column, lang: Column) -> DataFrame:
+    return docs.select(_tag(lang).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
 
-    ``{language: {"classes": [shares], "words": {hash of word: share}}}``. Null languages count as
-    one of their own. Without any word there is no reference, and nothing is rejected by
-    divergence.
-    """
-    given = docs.select(
-        F.coalesce(lang.cast("string"), F.lit("")).alias("lang"),
-        F.coalesce(text, F.lit("")).alias("text"),
-    )
+
+def _tag(lang: Column) -> Column:
+    """Null languages count as one of their own."""
+    return F.coalesce(lang.cast("string"), F.lit(""))
+
+
+def _common_words(given: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """The most frequent words of each language, and how many words it has in all."""
     words = given.select("lang", F.explode(F.split("text", SPACES)).alias("w")).filter("w != ''")
     words = words.select("lang", F.xxhash64("w").alias("w"))
     counts = words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
@@ -163,12 +168,10 @@ def references(docs: DataFrame, text: Column, lang: Column, rules: Rules) -> dic
     top = counts.withColumn("r", F.row_number().over(by_count)).filter(
         F.col("r") <= rules.common_words
     )
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    largest = totals.orderBy(F.desc("total"), "lang").limit(rules.languages)
-    found: dict[str, dict] = {}
-    for r in top.join(F.broadcast(largest), "lang").collect():
-        own = found.setdefault(r["lang"], {"words": {}})
-        own["words"][r["w"]] = r["n"] / r["total"]
+    return top, counts.groupBy("lang").agg(F.sum("n").alias("total"))
+
+
+def _class_sums(given: DataFrame) -> DataFrame:
     df, before = given.withColumn("r0", F.col("text")), "r0"
     sums = []
     for k, pattern in enumerate(CLASSES.values(), 1):
@@ -176,7 +179,24 @@ def references(docs: DataFrame, text: Column, lang: Column, rules: Rules) -> dic
         sums.append(F.sum(F.length(before) - F.length(f"r{k}")))
         before = f"r{k}"
     sums.append(F.sum(F.length(before)))
-    for r in df.groupBy("lang").agg(F.array(*sums).alias("c")).collect() if found else []:
+    return df.groupBy("lang").agg(F.array(*sums).alias("c"))
+
+
+def references(docs: DataFrame, text: Column, lang: Column, rules: Rules) -> dict[str, dict]:
+    """The histograms of each language, over all its documents; see the module.
+
+    ``{language: {"classes": [shares], "words": {hash of word: share}}}``. Null languages count as
+    one of their own. Without any word there is no reference, and nothing is rejected by
+    divergence.
+    """
+    given = _given(docs, text, lang)
+    top, totals = _common_words(given, rules)
+    largest = totals.orderBy(F.desc("total"), "lang").limit(rules.languages)
+    found: dict[str, dict] = {}
+    for r in top.join(F.broadcast(largest), "lang").collect():
+        own = found.setdefault(r["lang"], {"words": {}})
+        own["words"][r["w"]] = r["n"] / r["total"]
+    for r in _class_sums(given).collect() if found else []:
         if r["lang"] in found:
             whole = sum(r["c"]) or 1
             found[r["lang"]]["classes"] = [x / whole for x in r["c"]]
@@ -206,14 +226,17 @@ def class_distance(classes: Column, reference: dict) -> Column:
     return F.sqrt(F.greatest(reduce(lambda a, b: a + b, terms), F.lit(0.0)))
 
 
-def word_distance(runs: Column, n_words: Column, references_: list[dict]) -> Column:
-    """The distance of word counts ``array<struct<w, n>>`` from the nearest language's words:
-    the one whose common words have the largest share of the document."""
+def word_distances(
+    runs: Column, n_words: Column, references_: list[dict], own: Column | None = None
+) -> Column:
+    """The distances of word counts ``array<struct<w, n>>`` from two languages' words, as an array
+    of structs of the language's place ``k`` and the distance ``js``: first the nearest, whose
+    common words have the largest share of the document, then the one at place ``own``, if it is
+    another. ``own`` counts as nearest where no word is common."""
     shares: dict[int, list[float]] = {}
     for k, x in enumerate(references_):
         for w, q in x["words"].items():
             shares.setdefault(w, [0.0] * len(references_))[k] = q
-    # the nearest language goes along as an array of one, so that it is worked out once
     table = F.create_map(
         *[x for w, q in shares.items() for x in (F.lit(w), F.array(*map(F.lit, q)))]
     )
@@ -222,6 +245,7 @@ def word_distance(runs: Column, n_words: Column, references_: list[dict]) -> Col
         lambda r: F.struct((r["n"] / n_words).alias("p"), F.try_element_at(table, r["w"]).alias("q")),
     )
     common = F.array(*[F.lit(sum(x["words"].values())) for x in references_])
+    own = F.lit(None).cast("int") if own is None else own
 
     def with_language(bins: Column, k: Column) -> Column:
         start = F.struct(*[F.lit(0.0).alias(x) for x in ("js", "p", "q")])
@@ -240,7 +264,7 @@ def word_distance(runs: Column, n_words: Column, references_: list[dict]) -> Col
             rest = _term(F.greatest(1 - acc["p"], F.lit(0.0)), 1 - F.get(common, k))
             return F.sqrt(F.greatest(acc["js"] + unseen + rest, F.lit(0.0)))
 
-        return F.aggregate(bins, start, add, end)
+        return F.struct(k.alias("k"), F.aggregate(bins, start, add, end).alias("js"))
 
     def mass(bins: Column, k: int) -> Column:
         return F.aggregate(
@@ -249,14 +273,45 @@ def word_distance(runs: Column, n_words: Column, references_: list[dict]) -> Col
             lambda acc, x: acc + F.when(x["q"][k] > 0, x["p"]).otherwise(F.lit(0.0)),
         )
 
+    def nearest(masses: Column) -> Column:
+        at = F.array_position(masses, F.array_max(masses)).cast("int") - 1
+        return F.when(F.array_max(masses) > 0, at).otherwise(F.coalesce(own, at))
+
     def of(bins: Column) -> Column:
-        masses = F.array(*map(partial(mass, bins), range(len(references_))))
-        nearest = F.array(F.array_position(masses, F.array_max(masses)).cast("int") - 1)
-        return F.transform(nearest, lambda k: with_language(bins, k))[0]
+        # the languages go along as an array, so that they are worked out once
+        masses = F.array(F.array(*map(partial(mass, bins), range(len(references_)))))
+        places = F.transform(masses, nearest)
+        places = F.array_distinct(F.concat(places, F.filter(F.array(own), lambda k: k.isNotNull())))
+        return F.transform(places, lambda k: with_language(bins, k))
 
     return F.transform(F.array(known), of)[0]
 
 
+def word_distance(runs: Column, n_words: Column, references_: list[dict]) -> Column:
+    """The distance of word counts ``array<struct<w, n>>`` from the nearest language's words."""
+    return word_distances(runs, n_words, references_)[0]["js"]
+
+
+def words_alike(distances: Column, n_words: Column, references_: list[dict], rules: Rules) -> Column:
+    """Whether ``word_distances`` are within the limit of the nearest language or of the document's
+    own, each held against its own language's limit.
+
+    Where so few common words are to be expected that chance decides, the nearest language does
+    not count, and the own one has no limit."""
+    common = F.array(*[F.lit(sum(x["words"].values())) for x in references_])
+    limits = F.array(*[F.lit(rules.max_word_share * without_common_words(x)) for x in references_])
+
+    def expected(x: Column) -> Column:
+        return F.get(common, x["k"]) * n_words >= rules.expected_common
+
+    def within(x: Column) -> Column:
+        return x["js"] <= F.get(limits, x["k"])
+
+    # one element if the own language is the nearest, or unknown
+    near, own = F.get(distances, F.lit(0)), F.get(distances, F.size(distances) - 1)
+    return (expected(near) & within(near)) | ~expected(own) | within(own)
+
+
 def without_common_words(reference: dict) -> float:
     """The distance from a reference of a document that has none of its common words."""
     common = sum(reference["words"].values())
@@ -281,13 +336,14 @@ def judge(
     """
     if references_ is None:
         references_ = references(docs, text, lang, rules)
-    df = with_base(docs, text)
+    df = with_base(docs.withColumn("__tag", _tag(lang)), text)
     df = df.withColumn(
         "base_failed",
         (F.col("n_words") < rules.min_words)
         | (100 * F.col("n_repeat_words") > rules.max_repeated * F.col("n_words")),
     )
     distances = {"class_distance": F.lit(None), "word_distance": F.lit(None)}
+    alike = F.lit(None).cast("boolean")
     if references_:
         vocabulary = sorted({w for x in references_.values() for w in x["words"]})
         df = df.withColumn(
@@ -316,24 +372,39 @@ def judge(
                 ),
             ),
         )
+        places = F.create_map(*[F.lit(x) for k, name in enumerate(references_) for x in (name, k)])
+        # both in one step, whose code is made in parts because of the functions over arrays
+        df = df.withColumns(
+            {
+                "class_distance": F.when(
+                    F.col("n_words") >= rules.class_words,
+                    _nearest(references_, lambda x: class_distance(F.col("__classes"), x)),
+                ),
+                "__distances": F.when(
+                    F.col("n_words") >= rules.common_words_from,
+                    word_distances(
+                        F.col("__runs"),
+                        F.col("n_words"),
+                        list(references_.values()),
+                        F.try_element_at(places, F.col("__tag")),
+                    ),
+                ),
+            }
+        )
+        alike = words_alike(
+            F.col("__distances"), F.col("n_words"), list(references_.values()), rules
+        )
         distances = {
-            "class_distance": F.when(
-                F.col("n_words") >= rules.class_words,
-                _nearest(references_, lambda x: class_distance(F.col("__classes"), x)),
-            ),
-            "word_distance": F.when(
-                F.col("n_words") >= rules.common_words_from,
-                word_distance(F.col("__runs"), F.col("n_words"), list(references_.values())),
-            ),
+            "class_distance": F.col("class_distance"),
+            "word_distance": F.get("__distances", F.lit(0))["js"],
         }
     df = df.withColumns({k: v.cast("double") for k, v in distances.items()})
-    bare = min((without_common_words(x) for x in references_.values()), default=1.0)
     return df.withColumn(
         "kept",
         ~F.col("base_failed")
         & F.coalesce(F.col("class_distance") <= rules.max_class_distance, F.lit(True))
-        & F.coalesce(F.col("word_distance") <= rules.max_word_share * bare, F.lit(True)),
-    ).drop("__h", "__classes", "__common", "__starts", "__runs")
+        & F.coalesce(alike, F.lit(True)),
+    ).drop("__h", "__classes", "__common", "__starts", "__runs", "__distances", "__tag")
 
 
 

@@ -49,6 +49,36 @@ def test_divergence_rejects_what_is_unlike_its_language(spark):
     assert kept == set(range(40))
 
 
+def natural(rng, language, n, share=0.27):
+    """``n`` words, a share of them of 40 common ones, the others from a wide vocabulary."""
+    common = [f"{language}{chr(97 + k % 26)}{'x' * (k // 26)}" for k in range(40)]
+    weights = [1 / (k + 3) for k in range(40)]
+    rest = lambda: language + "".join(rng.choice("abcdefghij") for _ in range(7))
+    return " ".join(
+        rng.choices(common, weights)[0] if rng.random() < share else rest() for _ in range(n)
+    )
+
+
+def kept_documents(spark, rows, rules=quality.Rules()):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    judged = quality.judge(df, F.col("text"), F.col("lang"), rules).select("doc_id", "kept")
+    return {r.doc_id for r in judged.filter("kept").collect()}
+
+
+def test_words_are_held_against_the_limit_of_their_own_language(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, natural(rng, "en", 80 + 3 * k), "en") for k in range(60)]
+    rows += [(100 + k, natural(rng, "zh", 100 + 8 * k, 0.02), "zh") for k in range(40)]
+    rows += [(200, natural(rng, "code", 600, 0.0), "code")]
+    junk = [(300 + k, natural(rng, "none", 200, 0.0), "en") for k in range(3)]
+    kept = kept_documents(spark, rows + junk)
+    assert {k for k in kept if k < 100} == set(range(60))
+    assert {k for k in kept if 100 <= k < 200} == set(range(100, 140))
+    assert not {k for k in kept if k >= 300}
+
+
 def test_jensen_shannon_distance(spark):
     import math
 
