@@ -9,8 +9,9 @@ language; the tag also tells where common words are too rare to judge by. Base r
 come first; documents shorter than a guard are not judged by divergence, as their histograms
 are mostly chance.
 
-Everything is DataFrame expressions; references are the only thing that reaches the driver,
-``languages * (common_words + 8)`` rows at most.
+Everything is DataFrame expressions; references of the largest languages are the only thing that
+reaches the driver, ``languages * (common_words + 8)`` rows at most. Those of the other languages
+are a table, joined by tag.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ CLASSES = {
 CLASS_NAMES = [*CLASSES, "symbol"]
 SYMBOLS = "[#*$%&|<>]+"
 WINDOW = 8
+#: The type of a joined reference.
+OWN = "struct<words: map<bigint, double>, classes: array<double>, common: double, limit: double>"
+#: Most languages beyond the largest whose references are broadcast, of about 1 KB each.
+BROADCAST = 10_000
 
 
 @dataclass(frozen=True)
@@ -51,7 +56,8 @@ class Rules:
         common word has from the same language.
     expected_common: common words that a document of its length has to expect in a language to
         be judged by that language's words; 80 words in the given tables' languages have 21.
-    common_words: words a reference holds. languages: the most frequent ones get a reference.
+    common_words: words a reference holds. languages: the most frequent ones, whose references
+        all documents are held against; other ones' are joined to the documents so tagged.
     """
 
     min_words: int = 20
@@ -203,6 +209,40 @@ def references(docs: DataFrame, text: Column, lang: Column, rules: Rules) -> dic
     return found
 
 
+def rare_references(docs: DataFrame, text: Column, lang: Column, rules: Rules, large: list[str]) -> DataFrame:
+    """The references of all languages but ``large``, as rows ``(__tag, __own)``: a struct of the
+    words' shares by hash, the classes' shares, the common words' share, and the words' limit."""
+    given = _given(docs, text, lang).filter(~F.col("lang").isin(large))
+    top, totals = _common_words(given, rules)
+    words = top.join(totals, "lang").groupBy("lang").agg(
+        F.map_from_entries(F.collect_list(F.struct("w", F.col("n") / F.col("total")))).alias("words"),
+        (F.sum("n") / F.first("total")).alias("common"),
+    )
+    whole = F.greatest(F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
+    classes = _class_sums(given).select("lang", F.transform("c", lambda x: x / whole).alias("classes"))
+    rest = F.greatest(1 - F.col("common"), F.lit(0.0))
+    bare = F.sqrt(F.col("common") / 2 + _term(F.lit(1.0), rest))
+    own = F.struct("words", "classes", "common", (rules.max_word_share * bare).alias("limit"))
+    return words.join(classes, "lang").select(F.col("lang").alias("__tag"), own.alias("__own"))
+
+
+def with_rare(docs: DataFrame, text: Column, lang: Column, rules: Rules, large: list[str]) -> DataFrame:
+    """Add ``__own``, the reference of the language ``__tag`` where it is not one of ``large``.
+
+    Up to ``BROADCAST`` languages are broadcast. More are shuffled, documents of the large
+    languages without a common key.
+    """
+    rare = rare_references(docs, text, lang, rules, large)
+    tags = docs.filter(~F.col("__tag").isin(large)).select("__tag").distinct()
+    if tags.limit(BROADCAST + 1).count() <= BROADCAST:
+        return docs.join(F.broadcast(rare), "__tag", "left")
+    own = F.concat(F.lit("="), F.col("__tag"))
+    apart = F.monotonically_increasing_id().cast("string")
+    placed = docs.withColumn("__place", F.when(F.col("__tag").isin(large), apart).otherwise(own))
+    rare = rare.select(own.alias("__place"), "__own")
+    return placed.join(rare, "__place", "left").drop("__place")
+
+
 def _term(p: Column, q: Column) -> Column:
     """What one bin adds to the Jensen-Shannon divergence, in bits; ``p`` or ``q`` may be 0."""
 
@@ -212,6 +252,10 @@ def _term(p: Column, q: Column) -> Column:
     return (half(p) + half(q)) / 2
 
 
+def _own_classes(own: Column) -> dict:
+    return {"classes": [F.get(own["classes"], F.lit(k)) for k in range(len(CLASS_NAMES))]}
+
+
 def _nearest(references_: dict, distance: Callable[[dict], Column]) -> Column:
     found = [distance(x) for x in references_.values()]
     return found[0] if len(found) == 1 else F.least(*found)
@@ -226,11 +270,46 @@ def class_distance(classes: Column, reference: dict) -> Column:
     return F.sqrt(F.greatest(reduce(lambda a, b: a + b, terms), F.lit(0.0)))
 
 
+def _held_against(bins: Column, share: Callable[[Column], Column], common: Column) -> Column:
+    """The distance ``js`` of bins with a document's shares ``p`` from a language's words, of which
+    ``share`` says the share of a bin, and the part ``p`` of the document that they are."""
+    start = F.struct(*[F.lit(0.0).alias(x) for x in ("js", "p", "q")])
+
+    def add(acc: Column, x: Column) -> Column:
+        q = share(x)
+        p = F.when(q > 0, x["p"]).otherwise(F.lit(0.0))
+        return F.struct(
+            (acc["js"] + F.when(q > 0, _term(p, q)).otherwise(F.lit(0.0))).alias("js"),
+            (acc["p"] + p).alias("p"),
+            (acc["q"] + q).alias("q"),
+        )
+
+    def end(acc: Column) -> Column:
+        unseen = F.greatest(common - acc["q"], F.lit(0.0)) / 2
+        rest = _term(F.greatest(1 - acc["p"], F.lit(0.0)), 1 - common)
+        js = F.sqrt(F.greatest(acc["js"] + unseen + rest, F.lit(0.0)))
+        return F.struct(js.alias("js"), acc["p"].alias("p"))
+
+    return F.aggregate(bins, start, add, end)
+
+
+def own_distance(runs: Column, n_words: Column, own: Column) -> Column:
+    """The same for word counts and a joined reference; null without one."""
+    bins = F.transform(
+        runs,
+        lambda r: F.struct(
+            (r["n"] / n_words).alias("p"),
+            F.coalesce(F.try_element_at(own["words"], r["w"]), F.lit(0.0)).alias("q"),
+        ),
+    )
+    return F.when(own.isNotNull(), _held_against(bins, lambda x: x["q"], own["common"]))
+
+
 def word_distances(
     runs: Column, n_words: Column, references_: list[dict], own: Column | None = None
 ) -> Column:
     """The distances of word counts ``array<struct<w, n>>`` from two languages' words, as an array
-    of structs of the language's place ``k`` and the distance ``js``: first the nearest, whose
+    of structs of the language's place ``k`` and what ``_held_against`` says, ``d``: first the nearest, whose
     common words have the largest share of the document, then the one at place ``own``, if it is
     another. ``own`` counts as nearest where no word is common."""
     shares: dict[int, list[float]] = {}
@@ -248,23 +327,8 @@ def word_distances(
     own = F.lit(None).cast("int") if own is None else own
 
     def with_language(bins: Column, k: Column) -> Column:
-        start = F.struct(*[F.lit(0.0).alias(x) for x in ("js", "p", "q")])
-
-        def add(acc: Column, x: Column) -> Column:
-            q = F.coalesce(F.get(x["q"], k), F.lit(0.0))
-            p = F.when(q > 0, x["p"]).otherwise(F.lit(0.0))
-            return F.struct(
-                (acc["js"] + F.when(q > 0, _term(p, q)).otherwise(F.lit(0.0))).alias("js"),
-                (acc["p"] + p).alias("p"),
-                (acc["q"] + q).alias("q"),
-            )
-
-        def end(acc: Column) -> Column:
-            unseen = F.greatest(F.get(common, k) - acc["q"], F.lit(0.0)) / 2
-            rest = _term(F.greatest(1 - acc["p"], F.lit(0.0)), 1 - F.get(common, k))
-            return F.sqrt(F.greatest(acc["js"] + unseen + rest, F.lit(0.0)))
-
-        return F.struct(k.alias("k"), F.aggregate(bins, start, add, end).alias("js"))
+        share = lambda x: F.coalesce(F.get(x["q"], k), F.lit(0.0))
+        return F.struct(k.alias("k"), _held_against(bins, share, F.get(common, k)).alias("d"))
 
     def mass(bins: Column, k: int) -> Column:
         return F.aggregate(
@@ -289,12 +353,15 @@ def word_distances(
 
 def word_distance(runs: Column, n_words: Column, references_: list[dict]) -> Column:
     """The distance of word counts ``array<struct<w, n>>`` from the nearest language's words."""
-    return word_distances(runs, n_words, references_)[0]["js"]
+    return word_distances(runs, n_words, references_)[0]["d"]["js"]
 
 
-def words_alike(distances: Column, n_words: Column, references_: list[dict], rules: Rules) -> Column:
+def words_alike(
+    distances: Column, n_words: Column, references_: list[dict], rules: Rules, rare: Column, own: Column
+) -> Column:
     """Whether ``word_distances`` are within the limit of the nearest language or of the document's
-    own, each held against its own language's limit.
+    own, each held against its own language's limit; ``rare`` is ``own_distance`` from the joined
+    reference ``own``, if there is one.
 
     Where so few common words are to be expected that chance decides, the nearest language does
     not count, and the own one has no limit."""
@@ -305,11 +372,14 @@ def words_alike(distances: Column, n_words: Column, references_: list[dict], rul
         return F.get(common, x["k"]) * n_words >= rules.expected_common
 
     def within(x: Column) -> Column:
-        return x["js"] <= F.get(limits, x["k"])
+        return x["d"]["js"] <= F.get(limits, x["k"])
 
     # one element if the own language is the nearest, or unknown
-    near, own = F.get(distances, F.lit(0)), F.get(distances, F.size(distances) - 1)
-    return (expected(near) & within(near)) | ~expected(own) | within(own)
+    near, last = F.get(distances, F.lit(0)), F.get(distances, F.size(distances) - 1)
+    return (expected(near) & within(near)) | F.when(
+        rare.isNotNull(),
+        (own["common"] * n_words < rules.expected_common) | (rare["js"] <= own["limit"]),
+    ).otherwise(~expected(last) | within(last))
 
 
 def without_common_words(reference: dict) -> float:
@@ -334,9 +404,16 @@ def judge(
     are neither merged nor dropped; repeated rows get equal verdicts. References come from
     ``docs`` itself unless given. Columns of the added names are replaced.
     """
+    given = docs.withColumn("__tag", _tag(lang))
+    joined = False
     if references_ is None:
         references_ = references(docs, text, lang, rules)
-    df = with_base(docs.withColumn("__tag", _tag(lang)), text)
+        large = list(references_)
+        if len(large) >= rules.languages:
+            joined = bool(given.filter(~F.col("__tag").isin(large)).head(1))
+    if joined:
+        given = with_rare(given, text, lang, rules, large)
+    df = with_base(given, text)
     df = df.withColumn(
         "base_failed",
         (F.col("n_words") < rules.min_words)
@@ -346,9 +423,16 @@ def judge(
     alike = F.lit(None).cast("boolean")
     if references_:
         vocabulary = sorted({w for x in references_.values() for w in x["words"]})
-        df = df.withColumn(
-            "__common", F.sort_array(F.filter("__h", lambda h: h.isin(vocabulary)))
-        )
+        own = F.col("__own") if joined else F.lit(None).cast(OWN)
+
+        def is_common(h: Column) -> Column:
+            if not joined:
+                return h.isin(vocabulary)
+            return h.isin(vocabulary) | F.coalesce(
+                F.map_contains_key(own["words"], h), F.lit(False)
+            )
+
+        df = df.withColumn("__common", F.sort_array(F.filter("__h", is_common)))
         # runs of equal words in the sorted array: where they start, then word and length
         df = df.withColumn(
             "__starts",
@@ -378,7 +462,12 @@ def judge(
             {
                 "class_distance": F.when(
                     F.col("n_words") >= rules.class_words,
-                    _nearest(references_, lambda x: class_distance(F.col("__classes"), x)),
+                    F.least(
+                        _nearest(references_, lambda x: class_distance(F.col("__classes"), x)),
+                        F.when(
+                            own.isNotNull(), class_distance(F.col("__classes"), _own_classes(own))
+                        ),
+                    ),
                 ),
                 "__distances": F.when(
                     F.col("n_words") >= rules.common_words_from,
@@ -389,14 +478,19 @@ def judge(
                         F.try_element_at(places, F.col("__tag")),
                     ),
                 ),
+                "__rare": F.when(
+                    F.col("n_words") >= rules.common_words_from,
+                    own_distance(F.col("__runs"), F.col("n_words"), own),
+                ),
             }
         )
+        near, rare = F.get("__distances", F.lit(0))["d"], F.col("__rare")
         alike = words_alike(
-            F.col("__distances"), F.col("n_words"), list(references_.values()), rules
+            F.col("__distances"), F.col("n_words"), list(references_.values()), rules, rare, own
         )
         distances = {
             "class_distance": F.col("class_distance"),
-            "word_distance": F.get("__distances", F.lit(0))["js"],
+            "word_distance": F.when(rare["p"] >= near["p"], rare["js"]).otherwise(near["js"]),
         }
     df = df.withColumns({k: v.cast("double") for k, v in distances.items()})
     return df.withColumn(
@@ -404,7 +498,7 @@ def judge(
         ~F.col("base_failed")
         & F.coalesce(F.col("class_distance") <= rules.max_class_distance, F.lit(True))
         & F.coalesce(alike, F.lit(True)),
-    ).drop("__h", "__classes", "__common", "__starts", "__runs", "__distances", "__tag")
+    ).drop("__h", "__classes", "__common", "__starts", "__runs", "__distances", "__rare", "__tag", "__own")
 
 
 

@@ -79,6 +79,22 @@ def test_words_are_held_against_the_limit_of_their_own_language(spark):
     assert not {k for k in kept if k >= 300}
 
 
+@pytest.mark.parametrize("broadcast", [10_000, 0])
+def test_languages_beyond_the_largest_have_references_too(spark, monkeypatch, broadcast):
+    import random
+
+    monkeypatch.setattr(quality, "BROADCAST", broadcast)
+    rng = random.Random(5)
+    rows = [(k, natural(rng, "en", 150), "en") for k in range(40)]
+    rows += [(100 + k, natural(rng, "qu", 120), "qu") for k in range(20)]
+    upper = [(200 + k, natural(rng, "日本", 120).replace("e", "語"), "ja") for k in range(10)]
+    junk = [(300, natural(rng, "none", 200, 0.0), "en"), (301, "@=~^ " * 200 + "x", "qu")]
+    kept = kept_documents(
+        spark, rows + upper + junk, quality.Rules(languages=1, max_repeated=100)
+    )
+    assert kept == {r[0] for r in rows + upper}
+
+
 def test_jensen_shannon_distance(spark):
     import math
 
