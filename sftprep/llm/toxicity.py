@@ -35,13 +35,13 @@ from sftprep.llm.common import worker_memory
 #: Weight a character of span, longest span of a subsequence, places of a window that
 #: subsequences may begin at, and the length from which strings count as long.
 DECAY = 0.75
-SPAN = 6
+SPAN = 10
 WIDTH = 8
 FULL = 7
 #: Chunks a worker remembers the scores of.
 REMEMBERED = 800_000
-#: Single characters that stand apart: "s t u p i d", "s.t.u.p.i.d".
-APART = re.compile(r"(?<!\w)\w(?:[\s._*-]+\w(?!\w)){2,}")
+#: Single characters that stand apart: "s t u p i d", "s.t.u.p.i.d", "s_t/u+p|i~d".
+APART = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]+[^\W_](?![^\W_])){2,}")
 START = "^"
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -66,14 +66,19 @@ class Training:
 
 
 def chunks_of(sentence: str) -> list[str]:
-    """Lower-case chunks of a sentence, and those that letters standing apart spell.
+    """Lower-case chunks of a sentence, and those that letters standing apart spell, or every
+    second letter where few different ones are in between ("sxtxuxpxixd").
 
     A mark before each chunk lets the kernel tell its beginning from its middle.
     """
     lower = sentence.lower()
     found = [START + x for x in lower.split()]
     for m in APART.finditer(lower):
-        found.append(START + re.sub(r"[\s._*-]+", "", m.group()))
+        found.append(START + re.sub(r"[\W_]+", "", m.group()))
+    for x in lower.split():
+        between = x[1::2]
+        if len(between) > 2 and 2 * len(set(between)) <= max(len(between), 2):
+            found.append(START + x[::2])
     return found
 
 
@@ -90,28 +95,34 @@ def codes_of(chunks: list[str], alphabet: str) -> tuple[np.ndarray, np.ndarray]:
 
 #: Gaps between the four characters of a subsequence.
 SHAPES = [
-    (i, j, k)
-    for i in range(1, SPAN - 2)
-    for j in range(1, SPAN - 1 - i)
-    for k in range(1, SPAN - i - j)
+    (i, j, reach - i - j)
+    for reach in range(3, SPAN)
+    for i in range(1, reach - 1)
+    for j in range(1, reach - i)
 ]
 
 
 def terms(code: np.ndarray, base: int) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """Places of the subsequences within chunks whose characters are in the alphabet (those in
-    the gaps need not be), their keys, and their weight, by shape."""
+    the gaps need not be), their keys, and their weight, by shape.
+
+    Places whose first and last character fit are found once for all shapes of a length."""
     ended = np.concatenate([[0], np.cumsum(code == -1)])
     known = code >= 0
-    for i, j, k in SHAPES:
-        reach = i + j + k
+    for reach in range(3, SPAN):
         n = len(code) - reach
-        if n > 0:
-            fits = ended[reach + 1 : reach + 1 + n] == ended[:n]
-            for step in (0, i, i + j, reach):
-                fits &= known[step : step + n]
-            at = np.flatnonzero(fits)
-            key = (code[at] * base + code[at + i]) * base + code[at + i + j]
-            yield at, key * base + code[at + reach], DECAY ** (reach + 1)
+        if n <= 0:
+            break
+        both = known[:n] & known[reach:] & (ended[reach + 1 : reach + 1 + n] == ended[:n])
+        outer = np.flatnonzero(both)
+        for i in range(1, reach - 1):
+            second = outer[known[outer + i]]
+            pair = code[second] * base + code[second + i]
+            for j in range(1, reach - i):
+                fits = known[second + i + j]
+                at = second[fits]
+                key = pair[fits] * base + code[at + i + j]
+                yield at, key * base + code[at + reach], DECAY ** (reach + 1)
 
 
 def scales(chunks: list[str]) -> np.ndarray:

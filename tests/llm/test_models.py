@@ -236,6 +236,25 @@ def test_toxicity_finds_insults_it_has_and_has_not_seen(spark):
     assert not any(found[k].predicted for k, _ in odd)
 
 
+@pytest.mark.parametrize("between", list("_+/|~.x*") + [", ", "q7"])
+def test_toxicity_sees_through_characters_put_in(between):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(3, 9)))
+    vocabulary = [word() for _ in range(400)]
+    text = lambda: " ".join(rng.choices(vocabulary, k=25))
+    clean = [text() for _ in range(150)]
+    toxic = [f"{text()} zwackel {text()}" for _ in range(60)]
+    machine = toxicity.train(toxic, clean)
+    table = machine.table()
+    chance = lambda x: machine.probability(toxicity.document_score(machine, table, x))
+    spelled = between.join("zwackel") if len(between) < 2 or " " in between else None
+    spelled = spelled or "".join(c + between[k % 2] for k, c in enumerate("zwackel"))[:-1]
+    assert chance(f"{vocabulary[0]} {spelled} {vocabulary[1]}") > 0.5
+    assert sum(chance(text()) > 0.5 for _ in range(100)) <= 2
+
+
 def test_toxicity_without_labels(docs, none):
     labels = docs.select("doc_id", F.lit(0).alias("toxic"))
     machine = toxicity.fit(docs, labels, "doc_id", F.col("text"), "toxic")
