@@ -43,6 +43,9 @@ REMEMBERED = 800_000
 #: Single characters that stand apart: "s t u p i d", "s.t.u.p.i.d", "s_t/u+p|i~d".
 APART = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]+[^\W_](?![^\W_])){2,}")
 START = "^"
+#: Chunks whose kernels are worked out at a time, and the largest table of all keys.
+PART = 1000
+DENSE = 1 << 24
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -51,7 +54,7 @@ class Training:
     """Bounds of the training sample, in documents of each label, and settings of the machine.
 
     The documents with the smallest hash of their id are taken, whole. ``landmarks``: how many
-    strings stand for the kernel's space. ``rounds``: how often positives are chosen anew.
+    strings stand for the kernel's space, if they cover the toxic documents. ``rounds``: how often positives are chosen anew.
     ``negatives``: chunks of clean documents per fit, a hard half and an even half.
     ``positive_cost``: how much more a positive sentence counts than a negative one.
     """
@@ -186,17 +189,20 @@ class Landmarks:
 
     def kernels(self, chunks: list[str], at: np.ndarray) -> np.ndarray:
         """Kernels of the chunks' windows at these places with the landmarks."""
+        if len(chunks) > PART:
+            parts = [slice(lo, lo + PART) for lo in range(0, len(chunks), PART)]
+            return np.vstack([self.kernels(chunks[x], at[x]) for x in parts])
         windows = [c[a : a + WIDTH + SPAN - 1] for c, a in zip(chunks, at)]
         code, starts = codes_of(windows, self.alphabet)
         ends = np.append(starts[1:], len(code))
         owner = np.repeat(np.arange(len(starts)), ends - starts)
         inside = np.arange(len(code)) - starts[owner] < WIDTH
-        column = np.full(self.base**4, -1, dtype=np.int32)
-        column[self.keys] = np.arange(len(self.keys))
         out = np.zeros((len(windows), len(self.rows)))
         for at, key, weight in terms(code, self.base):
-            own = inside[at] & (column[key] >= 0)
-            at, col = at[own], column[key[own]]
+            at, key = at[inside[at]], key[inside[at]]
+            col = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+            own = self.keys[col] == key if len(self.keys) else np.zeros(len(key), dtype=bool)
+            at, col = at[own], col[own]
             np.add.at(out, owner[at], self.rows[:, col].T * weight)
         return out * scales(chunks)[:, None]
 
@@ -206,9 +212,11 @@ def choose_landmarks(
 ) -> tuple[list[str], int]:
     """Strings that set toxic documents apart, greedily by the toxic documents they add.
 
-    Candidates are parts of chunks, 4 to 8 characters long, in at least a fiftieth of the toxic
-    documents and three of them (all, if there are fewer) and seldom in clean ones. What is left of ``count``
-    goes to frequent parts of clean documents, so that the features span both kinds. Also
+    Candidates are parts of chunks, 4 to 8 characters long, in at least three toxic documents
+    (all, if there are fewer) and seldom in clean ones. Three quarters of ``count`` may be parts
+    in a fiftieth of the toxic documents; beyond that, a part is taken for three documents that no
+    other one covers, until no such part is left. What is left of ``count``, but a quarter of it
+    at least, goes to frequent parts of clean documents, so that the features span both kinds. Also
     returns how many are of the first kind; there is always one landmark, if need be of no use.
     """
 
@@ -222,7 +230,8 @@ def choose_landmarks(
     for k, chunks in enumerate(toxic):
         for p in parts(chunks):
             held.setdefault(p, []).append(k)
-    least = min(max(3, len(toxic) // 50), len(toxic))
+    least = min(3, len(toxic))
+    often = max(least, min(len(toxic) // 50, len(toxic)))
     held = {p: x for p, x in held.items() if len(x) >= least}
     for chunks in clean:
         seen.update(held.keys() & parts(chunks))
@@ -232,14 +241,27 @@ def choose_landmarks(
     ranked = sorted(pure, key=lambda p: (-len(pure[p]), -len(p), p))
     for p in ranked:
         new = sum(1 / (1 + covered[k]) for k in pure[p])
-        if new < max(0.08 * len(pure[p]), 0.2) or any(p in x or x in p for x in chosen):
+        useful = len(pure[p]) >= often and new >= max(0.08 * len(pure[p]), 0.2)
+        fresh = sum(covered[k] == 0 for k in pure[p]) >= least
+        if not (fresh or (useful and len(chosen) < count * 3 // 4)):
+            continue
+        if any(p in x or x in p for x in chosen):
             continue
         chosen.append(p)
         covered.update(pure[p])
-        if len(chosen) >= count * 3 // 4:
-            break
     usual = sorted((p for p in seen if p not in pure), key=lambda p: (-seen[p], p))
-    return (chosen + usual[: count - len(chosen)]) or ["   "], max(len(chosen), 1)
+    return (chosen + usual[: max(count - len(chosen), count // 4)]) or ["   "], max(len(chosen), 1)
+
+
+class Sparse:
+    """Weights by key, for alphabets too large for an array of all keys."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray):
+        self.keys, self.weights = keys, weights
+
+    def __getitem__(self, key: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.weights[at], 0.0)
 
 
 class Machine:
@@ -251,7 +273,9 @@ class Machine:
         self.weights, self.bias = weights @ space.rows, bias
         self.slope, self.shift = 1.0, 0.0
 
-    def table(self) -> np.ndarray:
+    def table(self) -> np.ndarray | Sparse:
+        if self.base**4 > DENSE:
+            return Sparse(self.keys, self.weights)
         out = np.zeros(self.base**4)
         out[self.keys] = self.weights
         return out

@@ -255,6 +255,23 @@ def test_toxicity_sees_through_characters_put_in(between):
     assert sum(chance(text()) > 0.5 for _ in range(100)) <= 2
 
 
+def test_landmarks_cover_rare_insults():
+    import random
+
+    rng = random.Random(6)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(7))
+    plain = [word("abcdefgh") for _ in range(200)]
+    insults = [word("mnopqrstuvwxyz") for _ in range(80)]
+    text = lambda *more: " ".join([*rng.choices(plain, k=20), *more])
+    toxic = [text(x) for x in insults for _ in range(5)]
+    clean = [text() for _ in range(300)]
+    machine = toxicity.train(toxic, clean)
+    for table in (machine.table(), toxicity.Sparse(machine.keys, machine.weights)):
+        chance = lambda x: machine.probability(toxicity.document_score(machine, table, x))
+        assert sum(chance(text(x)) > 0.5 for x in insults) >= 76
+        assert sum(chance(text()) > 0.5 for _ in range(100)) <= 2
+
+
 def test_toxicity_without_labels(docs, none):
     labels = docs.select("doc_id", F.lit(0).alias("toxic"))
     machine = toxicity.fit(docs, labels, "doc_id", F.col("text"), "toxic")
