@@ -41,7 +41,8 @@ PLACEHOLDER = "(?i)example|sample|changeme|placeholder|your[_-]|xxxx|dummy|test|
 
 @dataclass(frozen=True)
 class Settings:
-    """findings: most labelled findings to train on (those of the smallest hash). dictionary:
+    """findings: most labelled findings of each label to train on (those of the smallest hash,
+    repeats counting as one). dictionary:
     frequent words that count as known. trees, depth: of the forest. threshold: of a secret."""
 
     findings: int = 20_000
@@ -139,13 +140,21 @@ class Forest:
 
     @classmethod
     def fit(cls, labelled: DataFrame, settings: Settings) -> Forest:
-        """From rows ``(f, label)``: feature arrays, and 1 for secrets, 0 for others.
+        """From rows ``(f, label)``: feature arrays, and 1 for secrets, 0 for others; a column
+        ``value`` tells apart findings of equal features.
 
         Other labels are left out. With fewer than five of either kind there is no forest.
         """
         given = labelled.filter("f is not null and label in (0, 1)")
-        given = stored(given.orderBy(F.xxhash64("f", "label"), "f").limit(settings.findings), "labelled")
-        held = {r["label"]: r["count"] for r in given.groupBy("label").count().collect()}
+        value = F.col("value") if "value" in labelled.columns else F.lit("")
+        given = given.select(F.xxhash64(value, "f").alias("h"), "f", "label")
+        given = given.groupBy("h", "f", "label").agg(F.count(F.lit(1)).alias("n"))
+        chosen = [
+            given.filter(F.col("label") == k).orderBy("h", "f").limit(settings.findings)
+            for k in (0, 1)
+        ]
+        given = stored(chosen[0].unionByName(chosen[1]), "labelled")
+        held = {r["label"]: r["n"] for r in given.groupBy("label").agg(F.sum("n").alias("n")).collect()}
         if min(held.get(0, 0), held.get(1, 0)) < 5:
             return cls(None)
         columns = given.select(
@@ -185,7 +194,9 @@ class Forest:
         total = F.lit(0.0)
         for tree in self.trees:
             total += walk(tree)
-        return total / len(self.trees)
+        value = finding["value"]
+        certain = value.rlike(PROVIDERS) & ~value.rlike(PLACEHOLDER)
+        return F.when(certain, 1.0).otherwise(total / len(self.trees))
 
 
 @dataclass(frozen=True)
@@ -212,9 +223,9 @@ def fit(
     given = source.select(F.coalesce(body, F.lit("")).alias("__text"), *extra)
     found = with_findings(given, "__text", dictionary).withColumn("c", F.explode("__found"))
     if labelled is None:
-        rows = found.select("c.f", certain_label(F.col("c")).alias("label"))
+        rows = found.select("c.f", "c.value", certain_label(F.col("c")).alias("label"))
     else:
-        rows = found.filter("c.start = __at").select("c.f", F.col("__as").cast("int").alias("label"))
+        rows = found.filter("c.start = __at").select("c.f", "c.value", F.col("__as").cast("int").alias("label"))
     return Scanner(dictionary, Forest.fit(rows, settings), settings.threshold)
 
 
