@@ -42,14 +42,14 @@ LOOSE = (
 )
 LOOSE_GUARD = "@|[(\\[]at[)\\]]|[0-9][().\\x20-]{0,2}[0-9]"
 
-#: Gazetteers. Cue words in the languages of the corpus, and endings of domains.
+#: Gazetteers: cue words in the languages of the corpus; and what a domain ends in.
 CUES = {
     "email": "mail|contact|write|address|kontakt|correo|courriel|adresse",
     "ip": "\\bip\\b|host|server|addr|login|serveur|servidor",
     "card": "card|visa|master|credit|pay|karte|carte|tarjeta",
     "phone": "phone|\\btel|call|mobile|fax|telefon|téléphone|teléfono|handy",
 }
-ENDINGS = "(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|us|ch|at|it|nl)"
+ENDING = "[A-Za-z]{2,}"
 AGAINST = (
     "(?:version|isbn|issn|page|order|invoice|token|password|secret|hash|sku|\\bno\\.|#|\\$|="
     "|\\bid\\b)\\W{0,4}$"
@@ -119,7 +119,7 @@ def _described(span: Column) -> Column:
     kind = (
         F.when(mail, "email")
         .when(dotted, "ip")
-        .when(value.rlike("[+()]") | (n < 13), "phone")
+        .when(value.rlike("[+()]") | (n < 13) | ((n <= 15) & ~luhn(value)), "phone")
         .otherwise("card")
     )
     around = F.concat_ws(" ", left, right)
@@ -140,7 +140,7 @@ def _described(span: Column) -> Column:
     )
     check = of_kind(
         {
-            "email": F.lower(value).rlike(f"(?:\\.|[(\\[]dot[)\\]])\\x20?{ENDINGS}$"),
+            "email": value.rlike(f"(?:\\.|[(\\[]dot[)\\]])\\x20?{ENDING}$"),
             "ip": _octets(value),
             "card": luhn(value),
             "phone": n.between(9, 15),
