@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from sftprep.llm import (
     bpe,
+    hard_negatives,
     jaccard_join,
     katz,
+    language_id,
     multiprobe,
     packing,
     pii,
@@ -17,6 +19,7 @@ from sftprep.llm import (
     secret_scan,
     token_counts,
     toxicity,
+    vector_codes,
 )
 from sftprep.llm.common import table
 
@@ -97,6 +100,27 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    learned = docs.filter(outside_fold("doc_id", 5, 0))
+    profiles = language_id.learn(learned, F.col("text"), F.col("lang"))
+    named = language_id.identify(docs, F.col("text"), profiles)
+    held_out = ~outside_fold("doc_id", 5, 0)
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    asks = F.col("vec_id") % 100 == 0
+    return hard_negatives.mine(rows, F.col("vec_id"), F.col("embedding"), label, asks)
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    return vector_codes.encode(rows, F.col("vec_id"), F.col("embedding"), F.col("label"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -108,6 +132,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_language_id": op11_language_id,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: The same rows in SQL, where SQL can express them.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from test_models import component_of
+from plain_join import component_of
 
 FOLDER = contract.SMOKE_DIR
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
