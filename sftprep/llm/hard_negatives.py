@@ -239,6 +239,8 @@ def mine(
             for row in batch.itertuples(index=False):
                 block = Block(row)
                 at = np.flatnonzero(np.frombuffer(row.asked, dtype=np.uint8))
+                if not len(at):
+                    continue
                 q = from_planes(np.ascontiguousarray(block.bits[:, :, at]), block.dim)
                 yield pd.DataFrame(
                     {

@@ -22,6 +22,7 @@ from sftprep.llm import (
     vector_codes,
 )
 from sftprep.llm.common import table
+from sftprep.llm.oracle import ORACLE  # noqa: F401 - registered with the queries
 
 
 def outside_fold(doc_id: str, folds: int, fold: int) -> Column:
@@ -136,6 +137,3 @@ QUERIES = {
     "op12_hard_negatives": op12_hard_negatives,
     "op13_vector_codes": op13_vector_codes,
 }
-
-#: The same rows in SQL, where SQL can express them.
-ORACLE: dict[str, str] = {}

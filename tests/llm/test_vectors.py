@@ -94,7 +94,8 @@ def test_hard_negatives_of_nothing(spark):
     assert hard_negatives.mine(frame(spark, ODD[:8]), *args).count() == 0
 
 
-def test_an_id_repeated_often_is_no_partner_of_its_own(spark):
+def test_an_id_repeated_often_is_no_partner_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "CANDIDATES", 4)  # so that blocks lack anchors
     rows = [(0, [0.5, k / 64], 1) for k in range(40)] + [(1, [0.5, 0.5], 1), (2, [0.4, 0.1], 2)]
     got = hard_negatives.mine(frame(spark, rows), F.col("vec_id"), F.col("embedding"), F.col("label"), F.col("vec_id") == 0)
     assert {r.positive_id for r in got.collect()} == {1}
