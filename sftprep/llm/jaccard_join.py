@@ -1,11 +1,15 @@
 """Jaccard self-join of shingle sets with a token-group matrix.
 
 Documents with equal sets form a class, and only one of a class goes on. Similar classes are
-partitioned into groups of bounded size. Of each group its row of the token-group matrix is
-stored: the union of its members' tokens, and a bit for each member and token. Two groups
-meet only when they share a signature (below). The overlap of a document with the other
-group's union bounds its overlap with every member; only documents that this bound lets reach
-the threshold open the group, where bits give all exact overlaps at once.
+partitioned into groups, bounded in members and in tokens. Of each group its row of the
+token-group matrix is stored: the union of its members' tokens, and a bit for each member and
+token. Two groups meet only when they share a signature (below). The overlap of a document with
+the other group's union bounds its overlap with every member; only if this bound lets a
+document reach the threshold is the group opened, where bits give all exact overlaps at once.
+
+The smaller group of a pair always goes to the larger one. First only a sketch of its union
+goes, a bitmap of the tokens' hashes, which never makes an overlap look smaller; the whole row
+follows for the pairs that this leaves. The larger group is read once for a block of partners.
 
 Signatures lose no pair. Sets that link differ in at most ``D`` tokens, where ``D`` follows
 from their sizes. Tokens are hashed into more than ``D`` parts, and the contents of a set's
@@ -19,9 +23,11 @@ number of parts; a document near the lower end of a level also signs as the leve
 Which tokens are rare is taken from a bounded sample: it is only a matter of speed, as
 signatures lose no pair whatever tokens are called rare.
 
-Groups that share a signature first meet the signature's hub, one of them, which is linear in
-the size of even the largest family of copies. After that, groups meet pairwise unless all of
-both is already one component. So every pair is either verified or already connected.
+Groups that share a signature first meet the signature's hub, the smallest of them, which is
+linear in the size of even the largest family of copies. After that, groups meet pairwise
+unless all of both is already one component; such groups stand together as one when pairs are
+made, so a family that is connected costs one row. So every pair is either verified or already
+connected.
 """
 
 from __future__ import annotations
@@ -39,8 +45,9 @@ from sftprep.storage import stored
 
 #: Documents of the sample that tells frequent tokens, and in how many of them those are.
 SAMPLE, OFTEN = 5000, 4
-#: Members of a group, about; words a worker remembers the hashes of.
-GROUP = 128
+#: Members of a group and tokens of all of them, about; partners of a group in one block; bits
+#: of a sketch for each token; words a worker remembers the hashes of.
+GROUP, GROUP_TOKENS, PARTNERS, SKETCH = 128, 1 << 16, 64, 4
 REMEMBERED = 800_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -188,46 +195,72 @@ def spanning(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
 
 
 class Group:
-    """A row of the token-group matrix: token union, and a bit for each member and token."""
+    """A row of the token-group matrix: token union, and a packed bit for each member and token."""
 
     def __init__(self, members: np.ndarray, union: np.ndarray, bits: np.ndarray):
         self.members, self.union, self.bits = members, union, bits
-        self.sizes = bits.sum(axis=1).astype(np.int64)
+        self.sizes = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
 
     @classmethod
     def of(cls, members: list[int], sets: list[np.ndarray]) -> Group:
         union = np.unique(np.concatenate(sets))
-        bits = np.zeros((len(sets), len(union)), dtype=np.float32)
-        for row, own in zip(bits, sets):
-            row[np.searchsorted(union, own)] = 1
+        bits = np.zeros((len(sets), -(-len(union) // 8)), dtype=np.uint8)
+        for packed, own in zip(bits, sets):
+            row = np.zeros(len(union), dtype=bool)
+            row[np.searchsorted(union, own)] = True
+            packed[:] = np.packbits(row)
         return cls(np.array(members, dtype=np.int64), union, bits)
 
     @classmethod
-    def read(cls, members, union, packed: bytes) -> Group:
-        union = np.asarray(union)
-        bits = np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).reshape(len(members), -1)
-        return cls(np.asarray(members), union, bits[:, : len(union)].astype(np.float32))
+    def read(cls, members, tokens, bits: bytes) -> Group:
+        union = np.asarray(tokens).view(np.uint64)
+        packed = np.frombuffer(bits, dtype=np.uint8).reshape(len(members), -1)
+        return cls(np.asarray(members), union, packed)
+
+    def overlaps(self, held: np.ndarray) -> np.ndarray:
+        """How many of each member's tokens are among those of the union that ``held`` marks."""
+        return np.bitwise_count(self.bits & np.packbits(held)).sum(axis=1, dtype=np.int64)
+
+    def columns(self, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Bits of some members and tokens, as numbers to multiply."""
+        return np.unpackbits(self.bits[rows], axis=1)[:, places].astype(np.float32)
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of hashes of the tokens, of ``SKETCH`` bits each or a little more."""
+    size = 1 << max(6, int(SKETCH * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[_sketched(tokens, size)] = True
+    return np.packbits(bits)
 
-    def packed(self) -> bytes:
-        return np.packbits(self.bits.astype(bool), axis=1).tobytes()
+
+def _sketched(tokens: np.ndarray, size: int) -> np.ndarray:
+    return ((tokens * _MIX[2]) >> np.uint64(64 - (size.bit_length() - 1))).astype(np.int64)
+
+
+def may_link(a: Group, sketched: bytes, percent: int) -> bool:
+    """Whether a member of ``a`` may link with one of a group, given the sketch of its union."""
+    bits = np.unpackbits(np.frombuffer(sketched, dtype=np.uint8)).astype(bool)
+    bound = a.overlaps(bits[_sketched(a.union, len(bits))])
+    return bool(linked(bound, a.sizes, bound, percent).any())
 
 
 def open_groups(a: Group, b: Group, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in ``a`` and ``b`` of the members that link."""
-    _, in_a, in_b = np.intersect1d(a.union, b.union, assume_unique=True, return_indices=True)
-    bits = a.bits[:, in_a]
-    bound = bits.sum(axis=1).astype(np.int64)  # with the union of b
+    in_a, in_b = np.isin(a.union, b.union), np.isin(b.union, a.union)
     # no member of b overlaps more than the bound; its size is at least that
+    bound, back = a.overlaps(in_a), b.overlaps(in_b)
     may = np.flatnonzero(linked(bound, a.sizes, bound, percent))
-    other = b.bits[:, in_b]
-    back = np.flatnonzero(
-        linked(held := other.sum(axis=1).astype(np.int64), b.sizes, held, percent)
-    )
-    if not len(may) or not len(back):
+    other = np.flatnonzero(linked(back, b.sizes, back, percent))
+    if not len(may) or not len(other):
         return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
-    overlap = (bits[may] @ other[back].T).astype(np.int64)
-    x, y = np.nonzero(linked(overlap, a.sizes[may][:, None], b.sizes[back][None, :], percent))
-    return may[x], back[y]
+    places, same = np.flatnonzero(in_a), np.flatnonzero(in_b)  # both in rising order of tokens
+    overlap = np.zeros((len(may), len(other)), dtype=np.int64)
+    for lo in range(0, len(places), 1 << 14):
+        x = a.columns(may, places[lo : lo + (1 << 14)])
+        overlap += (x @ b.columns(other, same[lo : lo + (1 << 14)]).T).astype(np.int64)
+    x, y = np.nonzero(linked(overlap, a.sizes[may][:, None], b.sizes[other][None, :], percent))
+    return may[x], other[y]
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
@@ -324,15 +357,17 @@ def _links(
     """Links ``(a, b)`` between classes, enough of them to connect what is connected."""
     reps = signed.filter("size(sigs) > 0").join(
         classes, ["h1", "h2"]
-    ).filter("id = rep").select("id", "sigs")
+    ).filter("id = rep").select("id", "n", "sigs")
     by_id = Window.partitionBy("sig").orderBy("id")
-    postings = reps.select("id", F.explode("sigs").alias("sig")).select(
-        "id", "sig", F.lag("id").over(by_id).alias("before"), F.lead("id").over(by_id).alias("after")
+    postings = reps.select("id", "n", F.explode("sigs").alias("sig")).select(
+        "id", "n", "sig", F.lag("id").over(by_id).alias("before"), F.lead("id").over(by_id).alias("after")
     )
     shared = F.col("before").isNotNull() | F.col("after").isNotNull()
-    postings = stored(postings.filter(shared).select("sig", "id"), "postings")
-    family = postings.groupBy("id").agg(F.min("sig").alias("family"))
-    sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("units"))
+    postings = stored(postings.filter(shared).select("sig", "id", "n"), "postings")
+    family = postings.groupBy("id").agg(F.min("sig").alias("family"), F.max("n").alias("n"))
+    sizes = family.groupBy("family").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / GROUP_TOKENS)).alias("units")
+    )
     unit = F.pmod(F.xxhash64("id"), F.col("units"))
     placed = family.join(sizes, "family").select(
         "id", F.xxhash64("family", unit).alias("grp")
@@ -356,7 +391,8 @@ def _links(
                 "members": [g.members],
                 "own": [g.members[spanning(x, y, len(g.members))]],
                 "tokens": [g.union.view(np.int64)],
-                "bits": [g.packed()],
+                "bits": [g.bits.tobytes()],
+                "sketch": [sketch(g.union).tobytes()],
             }
         )
 
@@ -366,19 +402,24 @@ def _links(
         .mapInPandas(tokens_of, "grp long, id long, tokens array<long>")
         .groupBy("grp")
         .applyInPandas(
-            build, "grp long, members array<long>, own array<long>, tokens array<long>, bits binary"
+            build,
+            "grp long, members array<long>, own array<long>, tokens array<long>, bits binary, sketch binary",
         ),
         "matrix",
     )
     inner = matrix.select(F.explode(F.arrays_zip("members", "own")).alias("x")).select(
         F.col("x.members").alias("a"), F.col("x.own").alias("b")
     )
-    columns = stored(postings.join(placed, "id").select("sig", "grp").distinct(), "columns")
-    hubs = columns.groupBy("sig").agg(F.min_by("grp", F.xxhash64("sig", "grp")).alias("hub"))
+    size = matrix.select("grp", (F.size("tokens") * 8 + F.length("bits")).alias("size"))
+    columns = postings.join(placed, "id").select("sig", "grp").distinct()
+    columns = stored(columns.join(size, "grp"), "columns")
+    smallest = F.min(F.struct("size", "grp"))
+    hubs = columns.groupBy("sig").agg(smallest.alias("hub")).select("sig", "hub.grp", "hub.size")
+    hubs = hubs.withColumnsRenamed({"grp": "light", "size": "least"})
     first = stored(
         columns.join(hubs, "sig")
-        .filter("grp != hub")
-        .select(F.least("grp", "hub").alias("g1"), F.greatest("grp", "hub").alias("g2"))
+        .filter("grp != light")
+        .select(F.col("grp").alias("heavy"), "light")
         .distinct(),
         "hubs",
     )
@@ -388,43 +429,76 @@ def _links(
     whole = placed.join(component, F.col("id") == F.col("node")).groupBy("grp").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi")
     )
-    known = stored(columns.join(whole, "grp"), "known")
-    left, right = known.alias("l"), known.alias("r")
-    apart = (F.col("l.lo") != F.col("r.lo")) | (F.col("l.hi") != F.col("r.hi"))
-    apart |= F.col("l.lo") != F.col("l.hi")
-    rest = left.join(
-        right, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.grp") < F.col("r.grp")) & apart
-    ).select(F.col("l.grp").alias("g1"), F.col("r.grp").alias("g2"))
-    rest = rest.distinct().join(first, ["g1", "g2"], "left_anti")
+    # a group that is one component stands for all such groups, any other for itself
+    one = F.col("lo") == F.col("hi")
+    known = columns.join(whole, "grp").select(
+        "sig", "grp", "size", F.when(one, F.struct("lo", F.lit(-1).cast("long").alias("of"))).otherwise(
+            F.struct(F.lit(0).cast("long").alias("lo"), F.col("grp").alias("of"))
+        ).alias("cls"),
+    )
+    several = known.groupBy("sig").agg(F.min("cls").alias("x"), F.max("cls").alias("y"))
+    known = stored(known.join(several.filter("x != y").select("sig"), "sig"), "known")
+    kinds = known.select("sig", "cls").distinct()
+    meeting = kinds.alias("l").join(
+        kinds.alias("r"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.cls") < F.col("r.cls"))
+    ).select("l.sig", F.col("l.cls").alias("c1"), F.col("r.cls").alias("c2"))
+
+    def members(k: int) -> DataFrame:
+        names = {"cls": f"c{k}", "grp": f"g{k}", "size": f"s{k}"}
+        return known.withColumnsRenamed(names)
+
+    rest = meeting.join(members(1), ["sig", "c1"]).join(members(2), ["sig", "c2"])
+    lighter = F.struct("s1", "g1") < F.struct("s2", "g2")
+    rest = rest.select(
+        F.when(lighter, F.col("g2")).otherwise(F.col("g1")).alias("heavy"),
+        F.when(lighter, F.col("g1")).otherwise(F.col("g2")).alias("light"),
+    ).distinct()
+    rest = rest.join(first, ["heavy", "light"], "left_anti")
     return found.union(stored(_opened(rest, matrix, percent), "links"))
 
 
 def _opened(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
-    """Spanning links of the pairs of groups ``(g1, g2)``."""
-
-    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            a, b = [], []
-            for row in batch.itertuples(index=False):
-                g1 = Group.read(row.m1, np.asarray(row.t1).view(np.uint64), row.b1)
-                g2 = Group.read(row.m2, np.asarray(row.t2).view(np.uint64), row.b2)
+    """Spanning links of the pairs of groups ``(heavy, light)``."""
+
+    def bound(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own = [Group.read(x.members, x.tokens, x.bits) for x in left.itertuples(index=False)]
+        keep = [bool(own) and may_link(own[0], x, percent) for x in right["its_sketch"]]
+        return right.loc[keep, ["heavy", "light"]]
+
+    def opened(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for heavy in left.itertuples(index=False):
+            g1 = Group.read(heavy.members, heavy.tokens, heavy.bits)
+            for light in right.itertuples(index=False):
+                g2 = Group.read(light.its_members, light.its_tokens, light.its_bits)
                 x, y = open_groups(g1, g2, percent)
                 ids = np.concatenate([g1.members, g2.members])
                 label = spanning(x, y + len(g1.members), len(ids))
                 moved = np.flatnonzero(label != np.arange(len(ids)))
                 a.append(ids[moved])
                 b.append(ids[label[moved]])
-            yield pd.DataFrame(
-                {"a": np.concatenate(a or [[]]), "b": np.concatenate(b or [[]])}, dtype="int64"
-            )
-
-    def side(k: int) -> DataFrame:
-        return matrix.select(
-            F.col("grp").alias(f"g{k}"),
-            F.col("members").alias(f"m{k}"),
-            F.col("tokens").alias(f"t{k}"),
-            F.col("bits").alias(f"b{k}"),
+        return pd.DataFrame(
+            {"a": np.concatenate(a or [[]]), "b": np.concatenate(b or [[]])}, dtype="int64"
+        )
+
+    def met(pairs: DataFrame, fields: list[str], work, schema: str) -> DataFrame:
+        """``work`` on each heavy group with blocks of its light ones, of which ``fields`` go."""
+        counted = pairs.groupBy("heavy").agg(
+            F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("units")
+        )
+        light = matrix.select(F.col("grp").alias("light"), *(F.col(x).alias(f"its_{x}") for x in fields))
+        unit = F.pmod(F.xxhash64("light"), F.col("units")).cast("int")
+        right = pairs.join(counted, "heavy").withColumn("unit", unit).drop("units")
+        right = right.join(light, "light")
+        left = counted.join(matrix, F.col("heavy") == F.col("grp")).select(
+            "grp",
+            F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"),
+            "members",
+            "tokens",
+            "bits",
         )
+        groups = left.groupBy("grp", "unit"), right.groupBy("heavy", "unit")
+        return groups[0].cogroup(groups[1]).applyInPandas(work, schema)
 
-    rows = pairs.join(side(1), "g1").join(side(2), "g2").drop("g1", "g2")
-    return rows.mapInPandas(opened, "a long, b long")
+    left = stored(met(pairs, ["sketch"], bound, "heavy long, light long"), "bounded")
+    return met(left, ["members", "tokens", "bits"], opened, "a long, b long")
