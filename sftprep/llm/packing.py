@@ -196,8 +196,8 @@ def pack(pieces: DataFrame, length: str, order: list[str], limit: int) -> DataFr
 class WordEncoder:
     """Ids of the parts of a text between spaces and line feeds, as bytes.
 
-    Those never stand inside a token of the tokenizer, nor does the boundary between a letter
-    and a stop at the end, so a word is encoded once however it is followed or, in ASCII,
+    Those never stand inside a token of the tokenizer, nor does the boundary between an ASCII
+    letter and a stop at the end, so a word is encoded once however it is followed or, in ASCII,
     capitalised. Words of lower-case letters alone are what normalising and cutting leave as
     they are, and skip both.
     """
@@ -226,7 +226,8 @@ class WordEncoder:
         parts = {}
         for x in words:
             y = x.lower() if x.isascii() and "<|" not in x else x
-            stop = y[-1] if y[-1:] in (".", ",") and y[-2:-1].isalpha() else ""
+            before = y[-2:-1]  # in other scripts lower-casing may end in a mark
+            stop = y[-1] if y[-1:] in (".", ",") and before.isascii() and before.isalpha() else ""
             parts[x] = (y[:-1] if stop else y, stop)
         known = self.memory.known
         out = {y: known[y] for y, _ in parts.values() if y in known}
