@@ -119,7 +119,7 @@ def _bucketed(df: DataFrame, label: str, buckets: int) -> DataFrame:
 
 
 BLOCKS = (
-    "block long, docs array<long>, lens array<int>, held array<boolean>, "
+    "block long, docs array<string>, lens array<int>, held array<boolean>, "
     "tokens array<int>, words array<long>, train array<long>"
 )
 
@@ -127,7 +127,7 @@ BLOCKS = (
 BLOCK_SCHEMA = pa.schema(
     [
         ("block", pa.int64()),
-        ("docs", pa.list_(pa.int64())),
+        ("docs", pa.list_(pa.string())),  # a null beside long numbers would make them doubles
         ("lens", pa.list_(pa.int32())),
         ("held", pa.list_(pa.bool_())),
         ("tokens", pa.list_(pa.int32())),
@@ -172,7 +172,7 @@ def tokenize_blocks(docs: DataFrame, doc_id: str, text: Column, folds: int, fold
                 yield pa.RecordBatch.from_pydict(
                     {
                         "block": [uuid.uuid4().int >> 65],
-                        "docs": [ids],
+                        "docs": [[None if x is None else str(x) for x in ids]],
                         "lens": [lens.astype(np.int32)],
                         "held": [held],
                         "tokens": [tokens],
@@ -381,7 +381,7 @@ def _evaluate(unigrams: Unigrams, discount: np.ndarray, parts: int):
         base = np.log10((own + 1) / (unigrams.tokens + unigrams.types + 1))
         return pd.DataFrame(
             {
-                "id": pd.array([None if x is None or x != x else int(x) for x in row.docs], "Int64"),
+                "id": pd.array([None if x is None else int(x) for x in row.docs], "Int64"),
                 "held_out": block.held,
                 "n_tokens": block.lens,
                 "n_known": np.add.reduceat((own > 0).astype(np.int64), starts),
