@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sftprep.llm.spans import drop_scans, spelled, with_matches
+from sftprep.llm.spans import drop_scans, spelled, with_matches, with_running
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -55,6 +55,8 @@ AGAINST = (
     "|\\bid\\b)\\W{0,4}$"
 )
 ABSTAIN = -1
+#: Behind the end of any text.
+BEHIND = (1 << 31) - 1
 
 
 def _digits(value: Column) -> Column:
@@ -258,7 +260,9 @@ class Classifier:
 def train(candidates: DataFrame, threshold: float) -> Classifier:
     """Reliabilities and classifier from the candidates ``__loose`` of all documents."""
     rows = (
-        candidates.select(F.explode("__loose").alias("c"))
+        # with explode() the optimizer would work the whole array out again for each element
+        candidates.select(F.explode_outer("__loose").alias("c"))
+        .filter("c is not null")
         .groupBy("c.kind", "c.f")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy("kind", "f")
@@ -283,14 +287,11 @@ def find(docs: DataFrame, text: Column, threshold: float = 0.8) -> DataFrame:
     given = docs.withColumn("__text", F.coalesce(text, F.lit("")))
     classifier = train(with_candidates(given.select("__text"), "__text"), threshold)
     df = with_candidates(with_base_spans(given, "__text"), "__text")
-    base = F.concat(*[F.col(f"__base_{k}") for k in KINDS])
-    df = df.withColumn("__base", base).withColumn(
+    df = _with_free(df).withColumn(
         "__added",
         F.filter(
-            "__loose",
-            lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-            & (c["f"][LABELERS.index("check")] == 1)
-            & classifier.accepts(c),
+            "__free",
+            lambda c: (c["f"][LABELERS.index("check")] == 1) & classifier.accepts(c),
         ),
     )
     added = {k: _of_kind("__added", k) for k in KINDS}
@@ -309,7 +310,55 @@ def find(docs: DataFrame, text: Column, threshold: float = 0.8) -> DataFrame:
             "spans": F.array_join(F.concat(*every), ","),
         }
     )
-    return df.drop("__text", "__loose", "__base", "__added", *[f"__base_{k}" for k in KINDS])
+    return df.drop("__text", "__loose", "__free", "__added", *[f"__base_{k}" for k in KINDS])
+
+
+def _with_free(df: DataFrame) -> DataFrame:
+    """Add ``__free``: the candidates of ``__loose`` that overlap no base span, in order.
+
+    Candidates and base spans are sorted together by their start. A candidate overlaps one before
+    it if the furthest end of those lies behind its start, and one after it if the next one's start lies
+    before its end; both come from one run over the array.
+    """
+    events = [
+        F.transform(
+            f"__base_{k}",
+            lambda s: F.struct(
+                s["start"].alias("start"), s["end"].alias("end"), F.lit(-1).alias("at")
+            ),
+        )
+        for k in KINDS
+    ]
+    events.append(
+        F.transform(
+            "__loose",
+            lambda c, i: F.struct(c["start"].alias("start"), c["end"].alias("end"), i.alias("at")),
+        )
+    )
+    any_ = F.size("__loose") > 0
+    none = F.array().cast("array<struct<start:int,end:int,at:int>>")
+    df = df.withColumn("__events", F.when(any_, F.sort_array(F.concat(*events))).otherwise(none))
+    ends = F.transform("__events", lambda e: F.when(e["at"] < 0, e["end"]).otherwise(-1))
+    starts = F.transform(
+        F.reverse("__events"), lambda e: F.when(e["at"] < 0, e["start"]).otherwise(BEHIND)
+    )
+    df = df.withColumns({"__ends": ends, "__starts": starts})
+    df = with_running(df, "__reach", "__ends", lambda a, b: F.greatest(a, b), -1)
+    df = with_running(df, "__ahead", "__starts", lambda a, b: F.least(a, b), BEHIND)
+    df = df.withColumn("__ahead", F.reverse("__ahead"))
+    # arrays side by side, as one named once within a loop would be worked out in every turn
+    side = F.arrays_zip("__events", "__reach", "__ahead")
+    free = F.filter(
+        side,
+        lambda x: (x["__events"]["at"] >= 0)
+        & (x["__reach"] <= x["__events"]["start"])
+        & (x["__ahead"] >= x["__events"]["end"]),
+    )
+    df = df.withColumn("__places", F.transform(free, lambda x: x["__events"]["at"]))
+    own = F.transform("__places", lambda i: F.get("__loose", i))
+    return df.withColumn("__free", F.when(F.size("__loose") > 0, own).otherwise(F.col("__loose"))).drop(
+        "__events", "__ends", "__starts", "__reach", "__ahead", "__places"
+    )
 
 
 def _of_kind(column: str, kind: str) -> Column:

@@ -125,11 +125,12 @@ def certain_label(finding: Column) -> Column:
 
 
 def with_findings(docs: DataFrame, text: str, dictionary: list[str]) -> DataFrame:
-    """Add ``__found``: the described findings of a text column without nulls."""
+    """Add ``__found``: the described findings of a text column without nulls.
+
+    The helper columns of ``with_matches`` stay.
+    """
     docs = with_matches(docs, text, PATTERN, "__found", F.col(text).rlike(GUARD))
-    return drop_scans(docs, "__found").withColumn(
-        "__found", F.transform("__found", lambda s: _described(s, dictionary))
-    )
+    return docs.withColumn("__found", F.transform("__found", lambda s: _described(s, dictionary)))
 
 
 class Forest:
@@ -221,7 +222,9 @@ def fit(
     body = text if labelled is None else F.col("text")
     extra = [] if labelled is None else [F.col("start").alias("__at"), F.col("label").alias("__as")]
     given = source.select(F.coalesce(body, F.lit("")).alias("__text"), *extra)
-    found = with_findings(given, "__text", dictionary).withColumn("c", F.explode("__found"))
+    found = drop_scans(with_findings(given, "__text", dictionary), "__found")
+    # with explode() the optimizer would work the whole array out again for each element
+    found = found.withColumn("c", F.explode_outer("__found")).filter("c is not null")
     if labelled is None:
         rows = found.select("c.f", "c.value", certain_label(F.col("c")).alias("label"))
     else:
@@ -229,12 +232,8 @@ def fit(
     return Scanner(dictionary, Forest.fit(rows, settings), settings.threshold)
 
 
-def scan(docs: DataFrame, text: Column, scanner: Scanner) -> DataFrame:
-    """Add ``secrets``: an array of structs ``(start, end, score)``, and ``n_findings``.
-
-    Places count code points, ends exclusive. Null text counts as empty: no findings. Texts
-    are taken whole; rows are neither merged nor dropped; both columns are replaced.
-    """
+def _with_scores(docs: DataFrame, text: Column, scanner: Scanner) -> DataFrame:
+    """Add ``__scored``, for each finding ``(start, end, score)``, beside helper columns."""
     df = with_findings(
         docs.withColumn("__text", F.coalesce(text, F.lit(""))), "__text", scanner.dictionary
     )
@@ -246,7 +245,16 @@ def scan(docs: DataFrame, text: Column, scanner: Scanner) -> DataFrame:
             scanner.forest.probability(c).alias("score"),
         ),
     )
-    df = df.withColumn("__scored", scored)
+    return df.withColumn("__scored", scored)
+
+
+def scan(docs: DataFrame, text: Column, scanner: Scanner) -> DataFrame:
+    """Add ``secrets``: an array of structs ``(start, end, score)``, and ``n_findings``.
+
+    Places count code points, ends exclusive. Null text counts as empty: no findings. Texts
+    are taken whole; rows are neither merged nor dropped; both columns are replaced.
+    """
+    df = drop_scans(_with_scores(docs, text, scanner), "__found")
     return df.withColumns(
         {
             "n_findings": F.size("__found").cast("long"),
@@ -261,23 +269,21 @@ def spell(secrets: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str, scanner: Scanner, mask: str = "<secret>") -> DataFrame:
-    """``docs`` with ``mask`` in place of every secret of column ``text``; null stays null."""
-    df = scan(docs, F.col(text), scanner)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    body = F.col(text)
-
-    def add(acc: Column, s: Column) -> Column:
-        return F.struct(
-            s["end"].alias("at"),
-            F.concat(
-                acc["parts"],
-                F.array(F.substr(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)),
-            ).alias("parts"),
-        )
+    """``docs`` with ``mask`` in place of every secret of column ``text``; null stays null.
 
-    def end(acc: Column) -> Column:
-        rest = F.array(F.substr(body, acc["at"] + 1, F.length(body)))
-        return F.array_join(F.concat(acc["parts"], rest), "")
-
-    hidden = F.when(F.size("secrets") > 0, F.aggregate("secrets", start, add, end)).otherwise(body)
-    return df.withColumn(text, hidden).drop("secrets", "n_findings")
+    A text is put together from its matches and the parts between them, in one run.
+    """
+    df = _with_scores(docs, F.col(text), scanner)
+    hits, gaps = F.col("____found_hits"), F.col("____found_gaps")
+
+    def shown(hit: Column, s: Column) -> Column:
+        # a secret is the tail of its match
+        rest = F.left(hit, F.length(hit) - (s["end"] - s["start"]))
+        return F.when(s["score"] >= scanner.threshold, F.concat(rest, F.lit(mask))).otherwise(hit)
+
+    before = F.slice(gaps, F.lit(1), F.size(hits))
+    pieces = F.zip_with(before, F.zip_with(hits, "__scored", shown), lambda g, h: F.concat(g, h))
+    whole = F.concat(F.array_join(pieces, ""), F.get(gaps, F.size(hits)))
+    secret = F.exists("__scored", lambda s: s["score"] >= scanner.threshold)
+    hidden = F.when(secret, whole).otherwise(F.col(text))
+    return drop_scans(df.withColumn(text, hidden), "__found").drop("__text", "__found", "__scored")
