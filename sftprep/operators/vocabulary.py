@@ -16,6 +16,8 @@ from sftprep.storage import stored
 
 GROUP = 128
 VOCAB_SCHEMA = "token string, id int, freq bigint"
+#: An item is heavy with more than this share of the elements looked up.
+HEAVY = 1000
 MAX_SHIPPED_TOKENS = 1 << 20
 MAX_SHIPPED_BYTES = 64 << 20
 
@@ -117,14 +119,33 @@ def _arrow_lookup(shipped, source: str, target: str, ddl: str):
     return look_up
 
 
+def _found_in(rest: DataFrame, elements: DataFrame) -> DataFrame:
+    """``elements (__key, __at, __item)`` with the ``__found`` of their items, unknown ones gone.
+
+    Items are counted first, added up in the tasks, and each is looked up once: the table
+    shuffles once, whatever the number of partitions. The answers for items that are more than
+    a thousandth of all elements, of which there are less than a thousand, known or not, are
+    sent to the elements; so no task of the join for the others gets a hot item.
+    """
+    counts = elements.groupBy("__item").agg(F.count("*").alias("n"))
+    known = stored(counts.join(rest, "__item", "left"), "tail-items")
+    total = known.agg(F.sum("n")).first()[0] or 0
+    is_heavy = F.col("n") * HEAVY > total
+    heavy = F.broadcast(known.filter(is_heavy).select("__item", "__found"))
+    light = known.filter(~is_heavy & F.col("__found").isNotNull()).select("__item", "__found")
+    hot = elements.join(heavy, "__item").filter(F.col("__found").isNotNull())
+    cold = elements.join(heavy, "__item", "left_anti").join(light, "__item")
+    return hot.unionByName(cold)
+
+
 class Vocabulary:
     """A vocabulary table with both lookup directions.
 
     Its head, the lowest ids up to ``max_tokens`` tokens and ``max_bytes`` of text, is
     shipped to the executors, and each Arrow batch is looked up there in place: no
     exploded rows and no shuffle of the corpus. A table that fits is all head. Of a
-    larger one only the elements outside the head are joined with the rest of the table,
-    on salted keys, and put back by row key. As ids follow falling frequency, the tokens
+    larger one only the elements outside the head are joined with the rest of the table
+    (``_found_in``), and put back by row key. As ids follow falling frequency, the tokens
     that make up most of a corpus never reach that join.
     """
 
@@ -201,25 +222,21 @@ class Vocabulary:
         if complete:
             return df
 
-        # a hot token outside the head is spread over as many tasks as there are
-        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rest = self.table.filter(F.col("id") >= limit).select(
-            F.col(source).alias("__item"),
-            F.col(target).alias("__found"),
-            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"),
+            F.col(source).alias("__item"), F.col(target).alias("__found")
         )
         open_items = F.filter(
             F.transform(items, lambda x, i: F.struct(i.alias("at"), x.alias("item"))),
             lambda e: F.get(out, e["at"]).isNull(),
         )
-        elements = df.select(F.col(key).alias("__key"), F.explode(open_items).alias("e")).select(
-            "__key",
-            F.col("e.at").alias("__at"),
-            F.col("e.item").alias("__item"),
-            F.pmod(F.xxhash64("__key", "e.at"), F.lit(salts)).cast("int").alias("__salt"),
+        elements = stored(
+            df.select(F.col(key).alias("__key"), F.explode(open_items).alias("e")).select(
+                "__key", F.col("e.at").alias("__at"), F.col("e.item").alias("__item")
+            ),
+            "open-items",
         )
         patches = (
-            elements.join(rest, ["__item", "__salt"])
+            _found_in(rest, elements)
             .groupBy("__key")
             .agg(F.map_from_entries(F.collect_list(F.struct("__at", "__found"))).alias("__patch"))
         )

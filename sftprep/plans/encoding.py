@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sftprep.config import Recipe
+from sftprep.functions.added import AddedTokens
 from sftprep.functions.tokens import (
     TOKEN_PATTERN,
     attention_mask,
@@ -17,8 +18,6 @@ from sftprep.functions.tokens import (
     full_labels,
     mask_padded_labels,
     pad_ids,
-    tokenize,
-    tokenize_literal,
     tokenizer_udf,
     truncate,
 )
@@ -49,17 +48,21 @@ def single_id(encoder: Encoder, token: str) -> int:
 class TableEncoder:
     """The regex tokenizer with the ids of a vocabulary table.
 
-    Cut before the lookup, so that tokens beyond ``length`` are never looked up.
+    Cut before the lookup, so that tokens beyond ``length`` are never looked up. ``added``
+    tokens are found in the text before the pattern is.
     """
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str = TOKEN_PATTERN) -> None:
+    def __init__(
+        self, vocabulary: Vocabulary, pattern: str = TOKEN_PATTERN, added: Sequence[str] | AddedTokens = ()
+    ) -> None:
         self.vocabulary = vocabulary
         self.pattern = pattern
+        self.added = added if isinstance(added, AddedTokens) else AddedTokens(added)
         self.literal_ids = functools.cache(self._literal_ids)
 
     def encode(self, df: DataFrame, key: str, text: str, out: str, length: int) -> DataFrame:
-        tokens = truncate(tokenize(F.col(text), self.pattern), length)
-        cut = df.withColumn("__tokens", tokens)
+        cut = self.added.tokenize(df, text, "__tokens", self.pattern)
+        cut = cut.withColumn("__tokens", truncate(F.col("__tokens"), length))
         return self.vocabulary.encode(cut, key, "__tokens", out).drop("__tokens")
 
     def decode(
@@ -68,7 +71,7 @@ class TableEncoder:
         return self.vocabulary.decode(df, key, ids, out, skip)
 
     def _literal_ids(self, text: str) -> list[int]:
-        return self.vocabulary.ids(tokenize_literal(text, self.pattern))
+        return self.vocabulary.ids(self.added.tokenize_literal(text, self.pattern))
 
 
 class PluginEncoder:

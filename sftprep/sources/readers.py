@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sftprep.config import ColumnNames, check_format, check_split
+from sftprep.sources.quoted_lines import quoted_records
 
 # The cell texts that count as missing in a CSV file.
 NA_VALUES = (
@@ -91,19 +92,29 @@ def read_csv(
     """CSV with a header and doubled quotes, every column a string, missing markers null.
 
     Without ``sep`` the delimiter is guessed. ``multi_line`` accepts line breaks in quoted
-    cells, but makes each file one task: turn it on only for tables that have such cells.
+    cells; files are still read in splits, at the price of a pass that counts quotes and of
+    Arrow batches. It expects every quote inside a cell to be doubled and the cell quoted, and
+    all files to have the header of the first. Cells beyond the header's are dropped, missing
+    ones null.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("sep", sep or sniff_delimiter(spark, path))
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
+    sep = sep or sniff_delimiter(spark, path)
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    reader = spark.read.options(header=True, multiLine=multi_line, **options)
+    raw = reader.csv(path)
+    if multi_line:
+        raw = _parsed_records(quoted_records(spark, path), raw.columns, options)
     return raw.select(*[missing_to_null(raw[f"`{c}`"], na_values).alias(c) for c in raw.columns])
 
 
+def _parsed_records(records: DataFrame, columns: list[str], options: dict[str, str]) -> DataFrame:
+    """The cells of records; blank ones are left out."""
+    fields = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(columns))])
+    record = F.regexp_replace("record", "\\r$", "")
+    cells = F.from_csv(record, fields.simpleString()[7:-1].replace(":", " "), {**options, "maxCharsPerColumn": "-1"})
+    parsed = records.filter(F.trim("record") != "").select(cells.alias("x"))
+    return parsed.select(*[F.col(f"x.c{k}").alias(c) for k, c in enumerate(columns)])
+
+
 def parse_messages(df: DataFrame, column: str, names: ColumnNames = ColumnNames()) -> DataFrame:
     """Turn JSON text (a conversation kept in a CSV cell) into a message list."""
     return df.withColumn(column, F.from_json(column, messages_type(names), {"mode": "FAILFAST"}))

@@ -5,6 +5,7 @@ from sftprep.functions.tokens import tokenize
 from sftprep.operators.vocabulary import (
     VOCAB_SCHEMA,
     Vocabulary,
+    _found_in,
     append_special,
     build_vocab,
     count_tokens,
@@ -83,3 +84,20 @@ def test_counts_shrink_before_the_shuffle(spark):
     df = spark.range(10).select(F.array(F.lit("a"), F.lit("b")).alias("tokens"))
     plan = count_tokens(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_count") > plan.index("Exchange hashpartitioning(token")
+
+
+def test_hot_and_unknown_items_of_the_tail(spark):
+    table = Vocabulary(vocab(spark, WORDS), "<unk>", max_tokens=8)
+    rows = [(k, ["nowhere"] * 30 + ["w39"] * 20 + [f"w{k % 40}", f"new{k}"]) for k in range(120)]
+    df = spark.createDataFrame(rows, "key int, tokens array<string>")
+    index = {w: i for i, w in enumerate(WORDS)}
+    found = {r.key: r.ids for r in table.encode(df, "key", "tokens", "ids").collect()}
+    assert found == {k: [index.get(t, 1) for t in own] for k, own in rows}
+
+
+def test_the_table_of_the_tail_shuffles_once_for_any_partitions(spark):
+    elements = spark.createDataFrame([(1, 0, "a"), (2, 0, "b")], "__key int, __at int, __item string")
+    rest = spark.createDataFrame([("a", 7)], "__item string, __found int")
+    plan = _found_in(rest, elements)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "Generate" not in plan
+    assert [tuple(r) for r in _found_in(rest, elements).collect()] == [("a", 1, 0, 7)]
