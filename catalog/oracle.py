@@ -10,6 +10,7 @@ SEED = 2025
 RATIO = "0.1::DOUBLE"
 SHARDS = 10
 ACCENTS = "À-ÿ"
+ADDED_CLASS, ADDED_GROUP = "ß", 16
 
 
 def quoted(value: str) -> str:
@@ -106,8 +107,9 @@ def labels(name: str, rel: str, start: list[int], end: list[int]) -> str:
   FROM (SELECT r.k, r.p, r.id, s.stop FROM {rel} r LEFT JOIN {name}_spans s ON r.k = s.k AND r.p = s.p))"""
 
 
-def encoded(name: str, rel: str, key: str, prompt: str, length: int) -> str:
+def encoded(name: str, rel: str, key: str, prompt: str, length: int, left: bool = False) -> str:
     """``name (k, input_ids, attention_mask, labels)`` of the prompts in ``rel``."""
+    at = f"p + {length} - count(*) OVER (PARTITION BY k)" if left else "p"
     return ",\n".join(
         [
             elements(
@@ -116,7 +118,7 @@ def encoded(name: str, rel: str, key: str, prompt: str, length: int) -> str:
             f"""{name}_padded AS (
   SELECT g.k, g.p, coalesce(e.id, {PAD}) AS id, (e.id IS NOT NULL)::INT AS mask
   FROM (SELECT {key} AS k, unnest(range({length})) AS p FROM {rel}) g
-  LEFT JOIN (SELECT k, p, coalesce(v.id, {UNK}) AS id FROM {name}_el LEFT JOIN vocab v USING (token)) e
+  LEFT JOIN (SELECT k, {at} AS p, coalesce(v.id, {UNK}) AS id FROM {name}_el LEFT JOIN vocab v USING (token)) e
     ON g.k = e.k AND g.p = e.p)""",
             labels(f"{name}_labels", f"{name}_padded", [IM_START, ASSISTANT], [IM_END]),
             f"""{name} AS (
@@ -259,14 +261,19 @@ SELECT {keys}, coalesce(string_agg(label, ' ' ORDER BY p), '') AS labels
 FROM {rel} LEFT JOIN found ON k = {key} GROUP BY {keys}"""
 
 
-EXTENDED = f"""{vocab('other', "lang <> 'en'", ())},
+def extended(letters: str = ACCENTS, group: int = 128) -> str:
+    """CTEs ending in ``extended (token, id, freq)``, beside ``vocab``."""
+    return f"""{vocab('other', "lang <> 'en'", ())},
 new AS (
   SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) - 1 AS slot, count(*) OVER () AS n
-  FROM other WHERE regexp_matches(token, '[{ACCENTS}]') AND token NOT IN (SELECT token FROM vocab)),
+  FROM other WHERE regexp_matches(token, '[{letters}]') AND token NOT IN (SELECT token FROM vocab)),
 extended AS (
   SELECT token, id, freq FROM vocab
   UNION ALL
-  SELECT token, ((SELECT max(id) + 1 FROM vocab) + slot)::INT, freq FROM new WHERE slot < n // 128 * 128)"""
+  SELECT token, ((SELECT max(id) + 1 FROM vocab) + slot)::INT, freq FROM new WHERE slot < n // {group} * {group})"""
+
+
+EXTENDED = extended()
 
 SPLIT_DOCS = f"split AS ({ranked('documents', 'doc_id')})"
 
@@ -484,6 +491,36 @@ SELECT record_id, instruction, input, pos, nullif(text, '') AS response FROM bas
 SELECT token, id, freq FROM extended
 UNION ALL
 SELECT token, ((SELECT max(id) FROM extended) + i)::INT, 0 FROM (VALUES ('<think>', 1), ('</think>', 2)) t(token, i)""",
+    "encode_added_tokens": f"""WITH {vocab('vocab', "lang = 'en'")}, {extended(ADDED_CLASS, ADDED_GROUP)},
+whole AS (
+  SELECT token, id FROM extended
+  UNION ALL
+  SELECT token, ((SELECT max(id) FROM extended) + i)::INT FROM (VALUES ('<think>', 1), ('</think>', 2)) t(token, i)),
+found AS (
+  SELECT string_agg(regexp_escape(token), '|' ORDER BY length(token) DESC, token) AS pattern
+  FROM whole WHERE token NOT IN (SELECT token FROM vocab)),
+pieces AS (
+  SELECT doc_id, unnest(t) AS piece, generate_subscripts(t, 1) AS nth
+  FROM (SELECT doc_id, string_split(regexp_replace('<think>' || text || '</think>',
+    '(' || pattern || ')', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS t FROM documents, found)),
+cut AS (
+  SELECT doc_id, nth, unnest(t) AS token, generate_subscripts(t, 1) AS p
+  FROM (SELECT doc_id, nth, CASE WHEN nth % 2 = 0 THEN [piece] ELSE regexp_extract_all(piece, {RE}) END AS t
+    FROM pieces))
+SELECT doc_id, string_agg(coalesce(id, {UNK}), ' ' ORDER BY nth, p) AS ids,
+  string_agg(CASE WHEN id IS NULL THEN '<|unk|>' ELSE token END, '' ORDER BY nth, p) AS back
+FROM cut LEFT JOIN whole USING (token) GROUP BY doc_id""",
+    "prepare_chat_preference": f"""WITH {vocab()},
+prompts AS (
+  SELECT conv_id, string_agg({turn('role', 'text')}, '' ORDER BY turn) AS good,
+    string_agg({turn('role', "CASE WHEN role = 'assistant' THEN translate(text, 'aeiou', '43105') ELSE text END")}, '' ORDER BY turn) AS bad
+  FROM conversations GROUP BY conv_id),
+{encoded('c', 'prompts', 'conv_id', 'good', LENGTH, left=True)},
+{encoded('r', 'prompts', 'conv_id', 'bad', LENGTH, left=True)}
+SELECT c.k AS pair, row_number() OVER (ORDER BY c.k) - 1 AS pos,
+  c.input_ids AS chosen_input_ids, c.attention_mask AS chosen_attention_mask, c.labels AS chosen_labels,
+  r.input_ids AS rejected_input_ids, r.attention_mask AS rejected_attention_mask, r.labels AS rejected_labels
+FROM c JOIN r USING (k)""",
     "preference_report": f"""WITH {LOGITS},
 steps AS (
   SELECT 'run' || step % 2 AS run, CASE WHEN step % 3 = 0 THEN 'val' ELSE 'train' END AS split,

@@ -26,6 +26,8 @@ SHARDS = 10
 #: Longer than any turn of a conversation in tokens.
 LONGEST = 1024
 LATIN_ACCENTS = "À-ÿ"
+#: Tokens with this letter are added in groups; longer than any document in tokens.
+ADDED_CLASS, ADDED_GROUP, WHOLE = "ß", 16, 1 << 30
 BLANKS = "　 \t"
 
 
@@ -679,6 +681,37 @@ def extend_vocabulary(spark, sf_dir):
     )
 
 
+def encode_added_tokens(spark, sf_dir):
+    """Documents in thinking marks, by the English vocabulary and tokens added to it; and back."""
+    documents = docs(spark, sf_dir)
+    base = vocabulary_plan.corpus_vocabulary(documents.filter("lang = 'en'"), reserved=TOKENS.reserved)
+    encoder = vocabulary_plan.extended_encoder(
+        base, documents.filter("lang <> 'en'"), TOKENS.unk_token, char_class=ADDED_CLASS, group=ADDED_GROUP
+    )
+    marked = F.concat(F.lit("<think>"), "text", F.lit("</think>")).alias("marked")
+    ids = encoder.encode(documents.select("doc_id", marked), "doc_id", "marked", "ids", WHOLE)
+    back = encoder.decode(ids, "doc_id", "ids", "back", [])
+    return back.select("doc_id", joined("ids").alias("ids"), "back")
+
+
+def prepare_chat_preference(spark, sf_dir):
+    """Conversational pairs, padded on the left."""
+    frame = prepare.prepare_preference(
+        stored(shapes.chat_preference(spark, sf_dir), "chat-pairs"),
+        "pair",
+        shapes.encoder(spark, sf_dir),
+        replace(RECIPE, split="test", tokens=replace(TOKENS, left_padding=True)),
+        "conversational",
+    ).frame
+    fields = ["input_ids", "attention_mask", "labels"]
+    return frame.select(
+        "pair",
+        "pos",
+        *[joined(f"encoded_choice.{f}").alias(f"chosen_{f}") for f in fields],
+        *[joined(f"encoded_rejection.{f}").alias(f"rejected_{f}") for f in fields],
+    )
+
+
 def preference_report(spark, sf_dir):
     found = report.preference_report(shapes.step_logits(spark, sf_dir), BETA)
     return found.withColumn("value", F.round("value", 6))
@@ -758,6 +791,8 @@ QUERIES = {
         prepare_predict_preference,
         predict_and_merge,
         extend_vocabulary,
+        encode_added_tokens,
+        prepare_chat_preference,
         preference_report,
     ]
 }

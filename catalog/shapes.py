@@ -101,6 +101,21 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of message lists: each conversation as it is, and with its assistant's vowels as digits."""
+    whole = conversations(spark, sf_dir)
+    changed = F.transform(
+        "messages",
+        lambda m: F.struct(
+            m["role"].alias("role"),
+            F.when(m["role"] == "assistant", F.translate(m["content"], "aeiou", "43105")).otherwise(m["content"]).alias("content"),
+        ),
+    )
+    return whole.select(
+        F.col("conv_id").alias("pair"), F.col("messages").alias("chosen"), changed.alias("rejected")
+    )
+
+
 def step_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.floor(F.col("pair") / 10)
     return logits(spark, sf_dir).select(
