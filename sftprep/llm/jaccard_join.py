@@ -48,7 +48,9 @@ SAMPLE, OFTEN = 5000, 4
 #: Members of a group and tokens of all of them, about; partners of a group in one block; bits
 #: of a sketch for each token; words a worker remembers the hashes of.
 GROUP, GROUP_TOKENS, PARTNERS, SKETCH = 128, 1 << 16, 64, 4
-REMEMBERED = 800_000
+#: Rows of a group id and a number that may be sent to all tasks, of 16 bytes each.
+SENT = 1 << 20
+REMEMBERED = 400_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
@@ -357,14 +359,16 @@ def _links(
     """Links ``(a, b)`` between classes, enough of them to connect what is connected."""
     reps = signed.filter("size(sigs) > 0").join(
         classes, ["h1", "h2"]
-    ).filter("id = rep").select("id", "n", "sigs")
+    ).filter("id = rep").select("id", "sigs")
     by_id = Window.partitionBy("sig").orderBy("id")
-    postings = reps.select("id", "n", F.explode("sigs").alias("sig")).select(
-        "id", "n", "sig", F.lag("id").over(by_id).alias("before"), F.lead("id").over(by_id).alias("after")
+    postings = reps.select("id", F.explode("sigs").alias("sig")).select(
+        "id", "sig", F.lag("id").over(by_id).alias("before"), F.lead("id").over(by_id).alias("after")
     )
     shared = F.col("before").isNotNull() | F.col("after").isNotNull()
-    postings = stored(postings.filter(shared).select("sig", "id", "n"), "postings")
-    family = postings.groupBy("id").agg(F.min("sig").alias("family"), F.max("n").alias("n"))
+    postings = stored(postings.filter(shared).select("sig", "id"), "postings")
+    family = postings.groupBy("id").agg(F.min("sig").alias("family"))
+    # rows that repeat an id count as one
+    family = family.join(signed.groupBy("id").agg(F.max("n").alias("n")), "id")
     sizes = family.groupBy("family").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / GROUP_TOKENS)).alias("units")
     )
@@ -457,6 +461,11 @@ def _links(
     return found.union(stored(_opened(rest, matrix, percent), "links"))
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """A stored table of group ids, to be sent to the rows it is joined with if it is small."""
+    return F.broadcast(ids) if ids.count() <= SENT else ids.hint("merge")
+
+
 def _opened(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
     """Spanning links of the pairs of groups ``(heavy, light)``."""
 
@@ -486,11 +495,15 @@ def _opened(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
         counted = pairs.groupBy("heavy").agg(
             F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("units")
         )
-        light = matrix.select(F.col("grp").alias("light"), *(F.col(x).alias(f"its_{x}") for x in fields))
+        counted = stored(counted.select(F.col("heavy").alias("grp"), "units"), "partners")
+        light = matrix.select("grp", *(F.col(x).alias(f"its_{x}") for x in fields))
+        if "tokens" in fields:  # only some groups are opened
+            light = light.join(_sent(stored(pairs.select(F.col("light").alias("grp")).distinct(), "opened")), "grp")
+        units = counted.select(F.col("grp").alias("heavy"), "units")
         unit = F.pmod(F.xxhash64("light"), F.col("units")).cast("int")
-        right = pairs.join(counted, "heavy").withColumn("unit", unit).drop("units")
-        right = right.join(light, "light")
-        left = counted.join(matrix, F.col("heavy") == F.col("grp")).select(
+        right = pairs.join(_sent(units), "heavy").withColumn("unit", unit).drop("units")
+        right = right.join(light.withColumnRenamed("grp", "light"), "light")
+        left = matrix.join(_sent(counted), "grp").select(
             "grp",
             F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"),
             "members",
