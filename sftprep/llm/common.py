@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Iterator
@@ -66,9 +67,17 @@ class WorkerMemory:
 
 
 def worker_memory(purpose: tuple, limit: int) -> WorkerMemory:
-    """The memory for a purpose, which outlives the task in a worker that is used again."""
+    """The memory for a purpose, which outlives the task in a worker that is used again.
+
+    A worker holds one at a time: the next operator's replaces it, so that they never add up.
+    """
     place = sys.modules.setdefault("_sftprep_worker", types.ModuleType("_sftprep_worker"))
-    return place.__dict__.setdefault(purpose, WorkerMemory(limit))
+    held = place.__dict__.setdefault("held", {})
+    if purpose not in held:
+        held.clear()
+        gc.collect()
+        held[purpose] = WorkerMemory(limit)
+    return held[purpose]
 
 
 def steps(batch: pa.RecordBatch, column: str, rows: int, size: int) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ from sftprep.llm.common import steps, worker_memory
 from sftprep.storage import stored
 
 #: Words a worker remembers the ids of.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 #: Pieces that one rank counter numbers.
 PIECES_PER_COUNTER = 2_000
 
@@ -251,7 +251,7 @@ class WordEncoder:
 
 
 #: Rows, and bytes of text, that a task encodes at once.
-STEP_ROWS, STEP_BYTES = 4000, 16_000_000
+STEP_ROWS, STEP_BYTES = 2000, 6_000_000
 
 
 def cut_documents(
@@ -267,6 +267,7 @@ def cut_documents(
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
         encoder = WordEncoder(tokenizer)
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
