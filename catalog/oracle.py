@@ -360,6 +360,31 @@ UNION ALL SELECT record_id, 1, 'user', coalesce(input, '_') FROM structural
 UNION ALL SELECT record_id, 2, 'assistant', coalesce(response, '_') FROM structural""",
     "render_chat": f"""WITH {RENDERED}
 SELECT conv_id, prompt, prompt || '<|im_start|>assistant' || {NL} AS open_prompt FROM rendered""",
+    "render_template": f"""WITH said AS (
+  SELECT *, role = 'assistant' AND turn >= coalesce(
+      max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id), turn) AS kept,
+    '<think>' || {NL} || length(text) || {NL} || '</think>' || {NL} || {NL} AS thought
+  FROM conversations),
+rendered AS (
+  SELECT conv_id, string_agg({turn('role', "CASE WHEN kept THEN thought ELSE '' END || text")}, '' ORDER BY turn) AS prompt,
+    string_agg(CASE role
+      WHEN 'system' THEN '<<SYS>>' || {NL} || text || {NL} || '<</SYS>>' || {NL} || {NL}
+      WHEN 'user' THEN '[INST] ' || text || ' [/INST]'
+      ELSE ' ' || thought || text || ' </s>' END, '' ORDER BY turn) AS blocks
+  FROM said GROUP BY conv_id)
+SELECT conv_id, prompt, prompt || '<|im_start|>assistant' || {NL} AS thinking,
+  prompt || '<|im_start|>assistant' || {NL} || '<think>' || {NL} || {NL} || '</think>' || {NL} || {NL} AS not_thinking,
+  blocks || ' ' AS blocks FROM rendered""",
+    "prepare_template_sft": f"""WITH {STRUCTURAL},
+base AS (
+  SELECT record_id, row_number() OVER (ORDER BY record_id) - 1 AS pos, count(*) OVER () AS n,
+    {OPEN_PROMPT} || '<think>' || {NL} || {NL} || '</think>' || {NL} || {NL} AS prompt FROM structural),
+dealt AS (
+  SELECT record_id, pos, prompt FROM base
+  UNION ALL
+  SELECT record_id, n + i, prompt FROM base, range({DEVICES - 1}) r(i)
+  WHERE pos = n - 1 AND i < ({DEVICES} - n % {DEVICES}) % {DEVICES})
+SELECT record_id, pos, (pos % {DEVICES})::INT AS device_num, pos // {DEVICES * BATCH} AS batch_idx, prompt FROM dealt""",
     "assemble_conversations": f"""SELECT conv_id, count(*)::INT AS turns,
   string_agg(role, ',' ORDER BY turn) AS roles, string_agg(text, {NL} ORDER BY turn) AS contents
 FROM conversations GROUP BY conv_id""",
@@ -433,6 +458,8 @@ FROM trials ORDER BY value, trial LIMIT 1)
 UNION ALL
 (SELECT trial, value, to_json({{'steps': steps, 'first_step': first_step}})::VARCHAR, 'max'
 FROM trials ORDER BY value DESC, trial LIMIT 1)""",
+    "write_best_trial": f"""WITH {TRIALS}
+SELECT steps, first_step FROM trials ORDER BY value, trial LIMIT 1""",
     "row_counts": f"{MODES} SELECT mode, count(*) AS rows FROM modes GROUP BY mode",
     "generate_sequences": f"""WITH {PREDICT_PROMPTS},
 made AS (SELECT k, string_agg(id, ' ' ORDER BY p) AS ids FROM echoed GROUP BY k),

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from catalog import shapes
 from catalog.shapes import BATCH, BETA, DEVICES, TOKENS, table
 from sftprep.config import BatchSpec, Recipe, SplitSpec
-from sftprep.functions import chat, preference, text, tokens
+from sftprep.functions import chat, preference, templates, text, tokens
+from sftprep.operators import conversations as assembly
 from sftprep.operators import merge, metrics, order, split, vocabulary
 from sftprep.operators.generation import GenerationOptions, generate
 from sftprep.plans import predict as predict_plan
@@ -293,6 +294,35 @@ def render_chat(spark, sf_dir):
     )
 
 
+def render_template(spark, sf_dir):
+    """Conversations with a thought in each assistant turn, by two templates, thinking on and off."""
+    thought = F.concat(F.lit("<think>\n"), F.length("text").cast("string"), F.lit("\n</think>\n\n"))
+    said = table(spark, sf_dir, "conversations").withColumn(
+        "text", F.when(F.col("role") == "assistant", F.concat(thought, "text")).otherwise(F.col("text"))
+    )
+    messages = F.col("messages")
+    return assembly.assemble_conversations(said).select(
+        "conv_id",
+        templates.render_template(messages, templates.CHATML_THINKING).alias("prompt"),
+        templates.render_template(
+            messages, templates.CHATML_THINKING, add_generation_prompt=True
+        ).alias("thinking"),
+        templates.render_template(
+            messages, templates.CHATML_THINKING, add_generation_prompt=True, thinking=False
+        ).alias("not_thinking"),
+        templates.render_template(
+            messages, templates.INSTRUCTION_BLOCKS, add_generation_prompt=True
+        ).alias("blocks"),
+    )
+
+
+def prepare_template_sft(spark, sf_dir):
+    """Prompts of the structural records by a template, open for generation without a thought."""
+    recipe = replace(RECIPE, split="predict", template=templates.CHATML_THINKING)
+    prompts = prepare.structural_prompts(shapes.structural(spark, sf_dir), "record_id", recipe)
+    return prompts.frame.select("record_id", "pos", "device_num", "batch_idx", "prompt")
+
+
 def assemble_conversations(spark, sf_dir):
     return shapes.conversations(spark, sf_dir).select(
         "conv_id",
@@ -537,6 +567,14 @@ def best_trial(spark, sf_dir):
     )
 
 
+def write_best_trial(spark, sf_dir):
+    """The written parameters, read back."""
+    path = shared_path(spark, "best-trial")
+    best = metrics.best_trial(shapes.trials(spark, sf_dir), ["steps", "first_step"])
+    writers.write_best_trial(best, path)
+    return spark.read.schema("steps long, first_step long").json(path)
+
+
 def row_counts(spark, sf_dir):
     return metrics.row_counts(split_mode(spark, sf_dir), ["mode"])
 
@@ -748,6 +786,8 @@ QUERIES = {
         assign_batches,
         to_messages,
         render_chat,
+        render_template,
+        prepare_template_sft,
         assemble_conversations,
         remap_markers,
         render_pair,
@@ -780,6 +820,7 @@ QUERIES = {
         reward_margin,
         epoch_metrics,
         best_trial,
+        write_best_trial,
         row_counts,
         generate_sequences,
         tokenizer_plugin,

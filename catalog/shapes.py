@@ -20,6 +20,8 @@ BATCH = 4
 BETA = 0.1
 #: More than the turns of any conversation.
 TURNS = 1_000_000
+#: Rows that the smaller class of the preference pairs may be repeated to.
+ROUNDS = 4096
 INSTRUCTION = "Continue the text."
 
 
@@ -65,19 +67,31 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Good and bad documents, paired by rank; ranks of the smaller class start over."""
+    """Good and bad documents, paired by rank; ranks of the smaller class start over.
+
+    The larger class goes round the smaller one many times where that is small: a rank is
+    then met in up to ``ROUNDS`` parts, and the smaller side repeated for each of them.
+    """
     labelled = table(spark, sf_dir, "documents").join(
         table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"
     )
     chosen, good = index_rows(labelled.filter("quality = 1"), ["doc_id"], "rank")
     rejected, bad = index_rows(labelled.filter("quality = 0"), ["doc_id"], "rank")
-    fewer = F.lit(max(min(good, bad), 1))
+    fewer = max(min(good, bad), 1)
+    rounds = min(max(good, bad) // fewer + 1, max(ROUNDS // fewer, 1))
+
+    def placed(side: DataFrame, rank: str, larger: bool) -> DataFrame:
+        turn = F.floor(F.col(rank) / F.lit(fewer)) % F.lit(rounds)
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rounds - 1).cast("bigint")))
+        side = side.withColumn("place", F.pmod(F.col(rank), F.lit(fewer)))
+        return side.withColumn("turn", turn if larger else every)
+
     left = chosen.select(
         F.col("rank").alias("good"), F.col("source").alias("input"), F.col("text").alias("chosen")
     )
     right = rejected.select(F.col("rank").alias("bad"), F.col("text").alias("rejected"))
-    same = F.pmod("good", fewer) == F.pmod("bad", fewer)
-    return left.join(right, same).select(
+    left, right = placed(left, "good", good >= bad), placed(right, "bad", good < bad)
+    return left.join(right, ["place", "turn"]).select(
         F.greatest("good", "bad").alias("pair"),
         F.lit(INSTRUCTION).alias("instruction"),
         "input",

@@ -56,6 +56,27 @@ class ChatMarkers:
         return self.turn_start + self.assistant
 
 
+@dataclass(frozen=True)
+class ChatTemplate:
+    """A prompt form with text of its own around the turns of each role.
+
+    ``turns`` holds ``(role, before, after)``; a turn of another role is an error. With
+    ``thought``, the marks around a thought, assistant turns before the last user turn lose
+    all up to their last closing mark, and the line breaks after it. ``opening`` begins the
+    turn to generate, followed by ``no_thought`` where thinking is off. ``default_system`` is
+    the system turn of conversations that begin with another role; None adds none.
+    """
+
+    turns: tuple[tuple[str, str, str], ...]
+    opening: str
+    thought: tuple[str, str] | None = None
+    no_thought: str = ""
+    default_system: str | None = None
+    system: str = "system"
+    user: str = "user"
+    assistant: str = "assistant"
+
+
 @dataclass(frozen=True)
 class TokenSpec:
     """Lengths and padding of encoded rows, and the tokens with a fixed id.
@@ -109,7 +130,9 @@ class Recipe:
     """What one mode does with a table.
 
     ``is_sft`` masks the labels outside assistant turns; without it every id is a label.
-    Predict rows get labels only on request (``label_predict``).
+    Predict rows get labels only on request (``label_predict``). A ``template`` renders
+    prompts in place of the markers, which still say where assistant turns begin for the
+    labels; ``thinking`` leaves the thought to the model in predict mode.
     """
 
     split: str = "train"
@@ -120,6 +143,8 @@ class Recipe:
     names: ColumnNames = ColumnNames()
     is_sft: bool = True
     label_predict: bool = False
+    template: ChatTemplate | None = None
+    thinking: bool = False
 
     def __post_init__(self) -> None:
         check_split(self.split)

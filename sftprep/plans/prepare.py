@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sftprep.config import Recipe
 from sftprep.functions.chat import drop_last_turn, project_turns, render_chat, to_messages
+from sftprep.functions.templates import render_template
 from sftprep.functions.text import fill_missing, strip_text
 from sftprep.operators.order import assign_batches, index_rows, pad_tail
 from sftprep.operators.split import split_part
@@ -39,6 +40,14 @@ def _positions(df: DataFrame, key: str, recipe: Recipe) -> Prepared:
     return Prepared(frame, rows)
 
 
+def _rendered(messages: Column, recipe: Recipe) -> Column:
+    if recipe.template is None:
+        return render_chat(messages, recipe.markers, recipe.names, recipe.predicting)
+    return render_template(
+        messages, recipe.template, recipe.names, recipe.predicting, recipe.thinking
+    )
+
+
 def _structural_prompt(recipe: Recipe, target: str) -> Column:
     names = recipe.names
     messages = to_messages(
@@ -48,14 +57,14 @@ def _structural_prompt(recipe: Recipe, target: str) -> Column:
         recipe.markers,
         names,
     )
-    return render_chat(messages, recipe.markers, names, recipe.predicting)
+    return _rendered(messages, recipe)
 
 
 def _conversation_prompt(recipe: Recipe, column: str) -> Column:
     messages = project_turns(F.col(column), recipe.names)
     if recipe.predicting:
         messages = drop_last_turn(messages)
-    text = render_chat(messages, recipe.markers, recipe.names, recipe.predicting)
+    text = _rendered(messages, recipe)
     return F.coalesce(text, F.raise_error(F.lit(f"a row has no conversation in {column}")))
 
 

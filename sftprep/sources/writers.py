@@ -20,20 +20,37 @@ def csv_writer(df: DataFrame):
 
 
 def write_prediction_shards(
-    df: DataFrame, path: str, target: str = "response", per_batch: bool = False
+    df: DataFrame,
+    path: str,
+    target: str = "response",
+    per_batch: bool = False,
+    files_per_device: int = 16,
 ) -> None:
     """Write ``index, target`` as CSV by device and batch; an existing ``path`` is an error.
 
-    Directories go by device, and the batch is a column of the files. ``per_batch=True``
-    makes a directory for every batch as well, which is only for small outputs.
+    Directories go by device, and the batch is a column of the files. A device's batches go
+    in turn to at most ``files_per_device`` files, however many tasks made them.
+    ``per_batch=True`` makes a directory for every batch as well, which is only for small
+    outputs.
     """
     levels = ["device_num", "batch_idx"] if per_batch else ["device_num"]
     shards = df.select("index", target, "batch_idx", "device_num")
     if per_batch:
         shards = shards.repartition(*levels)
+    else:
+        run = F.pmod(F.col("batch_idx"), F.lit(files_per_device))
+        shards = shards.repartition("device_num", run)
     csv_writer(shards).partitionBy(*levels).csv(path)
 
 
+def write_best_trial(best: DataFrame, path: str, params: str = "params") -> None:
+    """Write the parameters of the best trial, one JSON object in one line, as a text file.
+
+    ``best`` is the row of ``best_trial``; without one there is no line.
+    """
+    best.select(params).coalesce(1).write.mode("errorifexists").text(path)
+
+
 def write_submission(df: DataFrame, path: str, pos: str = "pos") -> None:
     """Write the merged table as CSV part files with a header, in row order, without ``pos``.
 

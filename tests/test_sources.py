@@ -3,6 +3,7 @@ import json
 import pytest
 
 from sftprep.config import ColumnNames
+from sftprep.operators import metrics
 from sftprep.sources import readers, writers
 
 
@@ -97,6 +98,27 @@ def test_shards_round_trip(spark, tmp_path, per_batch):
         writers.write_prediction_shards(df, path, per_batch=per_batch)
 
 
+@pytest.mark.parametrize("rows", [200, 2000])
+def test_shard_files_are_bounded(spark, tmp_path, rows):
+    path = str(tmp_path / "shards")
+    df = spark.range(rows, numPartitions=16).selectExpr(
+        "id as index", "string(id) as response", "int(id % 3) as device_num", "id div 10 as batch_idx"
+    )
+    writers.write_prediction_shards(df, path, files_per_device=2)
+    assert len(list((tmp_path / "shards").glob("*/part-*.csv"))) <= 6
+    assert readers.read_prediction_shards(spark, path).count() == rows
+
+
+def test_best_trial_is_one_json_object(spark, tmp_path):
+    trials = spark.createDataFrame([(0, 2.0, 0.1), (1, 1.0, 0.2)], "trial int, value double, lr double")
+    writers.write_best_trial(metrics.best_trial(trials, ["lr"]), str(tmp_path / "best"))
+    (part,) = (tmp_path / "best").glob("part-*")
+    assert json.loads(part.read_text()) == {"lr": 0.2}
+    empty = metrics.best_trial(trials.filter("false"), ["lr"])
+    writers.write_best_trial(empty, str(tmp_path / "none"))
+    assert spark.read.text(str(tmp_path / "none")).count() == 0
+
+
 def test_flat_shard_names(spark, tmp_path):
     (tmp_path / "device_num=2-batch_idx=13.csv").write_text("index,answer\n5,x\n6,\n")
     (tmp_path / "notes.txt").write_text("no shard")

@@ -1,8 +1,10 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from sftprep.config import ChatMarkers
-from sftprep.functions import chat, text
+from sftprep.functions import chat, templates, text
 
 
 def one(spark, column, value, kind="string"):
@@ -84,6 +86,41 @@ def test_rendering(spark):
     assert opened == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\n<think>\n"
 
 
+THOUGHT = "<think>\nhm\n</think>\n\n"
+
+
+def test_template_drops_old_thoughts_only(spark):
+    turns = [("user", "a", 1), ("assistant", THOUGHT + "b", 2), ("user", "c", 3), ("assistant", THOUGHT + "d", 4)]
+    form = templates.CHATML_THINKING
+    kept = [(r, c.removeprefix(THOUGHT) if k < 2 else c) for k, (r, c, _) in enumerate(turns)]
+    plain = "".join(f"<|im_start|>{r}\n{c}<|im_end|>\n" for r, c in kept)
+    assert one(spark, lambda c: templates.render_template(c, form), turns, MESSAGES) == plain
+    for thinking, end in ((True, ""), (False, "<think>\n\n</think>\n\n")):
+        opened = one(
+            spark, lambda c: templates.render_template(c, form, add_generation_prompt=True, thinking=thinking), turns, MESSAGES
+        )
+        assert opened == plain + "<|im_start|>assistant\n" + end
+    without_user = [("assistant", THOUGHT + "b", 1)]
+    assert THOUGHT in one(spark, lambda c: templates.render_template(c, form), without_user, MESSAGES)
+
+
+def test_template_edges(spark):
+    form = replace(templates.INSTRUCTION_BLOCKS, default_system="S")
+
+    def made(turns):
+        return one(spark, lambda c: templates.render_template(c, form), turns, MESSAGES)
+
+    assert made([("user", None, 1)]) == "<<SYS>>\nS\n<</SYS>>\n\n[INST]  [/INST]"
+    assert made([("system", "x", 1), ("assistant", "y", 2)]) == "<<SYS>>\nx\n<</SYS>>\n\n y </s>"
+    assert made([]) == "<<SYS>>\nS\n<</SYS>>\n\n"
+    assert made(None) is None
+    with pytest.raises(Exception, match="no turn of role tool"):
+        made([("tool", "x", 1)])
+    frame = spark.createDataFrame([([("user", "a", 1)],)], f"m {MESSAGES}")
+    plan = frame.select(templates.render_template(F.col("m"), form))._jdf.queryExecution().toString()
+    assert "Python" not in plan
+
+
 def test_messages_take_configured_roles(spark):
     markers = ChatMarkers(assistant="model")
     df = spark.createDataFrame([("i", "d", "t")], "i string, d string, t string")
