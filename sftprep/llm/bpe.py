@@ -3,15 +3,18 @@
 Every match of the pre-token pattern is encoded by itself. The ones a worker has not met yet
 become rows (word, position, token), one row a byte, of an in-process DuckDB table. A recursive
 query joins neighbouring rows with the merge table and contracts, in each word, the pair of
-the lowest rank, from the left, until no word has a pair left. Equal pairs of a word are
-contracted in one step: a joined token ranks behind its parts, so contracting one of them
-cannot make a pair of a lower rank. Decoding is an ordered aggregation over the token rows.
+the lowest rank, from the left, until no word has a pair left. In long words the equal pairs
+of that rank are contracted in one step. A contraction can make a pair of a lower rank with a
+neighbour, as a token may rank before its parts; a word's step then ends with the first that
+does, so the ids are those of one contraction at a time, whatever the ranks. Decoding is an
+ordered aggregation over the token rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,7 +62,8 @@ SELECT word, toks, live FROM step WHERE NOT live OR depth = {CALL_STEPS}
 """
 
 #: The same for long words, one row a token: all pairs of the lowest rank in one step, of a
-#: run of overlapping ones the first, third, and so on.
+#: run of overlapping ones the first, third, and so on, up to the first that makes a pair of a
+#: lower rank (``early`` holds the pairs whose token ranks before one of its parts).
 LONG_STEPS = f"""
 WITH RECURSIVE step(depth, word, pos, tok, live) AS (
     SELECT 0, word, generate_subscripts(toks, 1), unnest(toks), TRUE FROM fed
@@ -68,22 +72,36 @@ WITH RECURSIVE step(depth, word, pos, tok, live) AS (
     FROM (
         SELECT *, coalesce(lag(take) OVER (PARTITION BY word ORDER BY pos), FALSE) AS taken
         FROM (
-            SELECT *, hit AND (row_number() OVER (PARTITION BY word, hit, island
-                                                  ORDER BY pos)) % 2 = 1 AS take
+            SELECT depth, word, pos, tok, made, lowest, take AND pos <= coalesce(
+                min(pos) FILTER (due) OVER (PARTITION BY word), pos) AS take
             FROM (
-                SELECT *, nth - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS island
+                SELECT t.*, coalesce(least(a.rank, b.rank) < lowest, FALSE) AS due
                 FROM (
-                    SELECT *, coalesce(rank = lowest, FALSE) AS hit
+                    SELECT *, CASE WHEN lag(take, 2) OVER (PARTITION BY word ORDER BY pos)
+                        THEN made ELSE lag(tok) OVER (PARTITION BY word ORDER BY pos) END AS before,
+                        lead(tok, 2) OVER (PARTITION BY word ORDER BY pos) AS after
                     FROM (
-                        SELECT p.*, m.rank, m.made, min(m.rank) OVER (PARTITION BY word) AS lowest
+                        SELECT *, hit AND (row_number() OVER (PARTITION BY word, hit, island
+                                                              ORDER BY pos)) % 2 = 1 AS take
                         FROM (
-                            SELECT depth, word, pos, tok,
-                                lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt,
-                                row_number() OVER (PARTITION BY word ORDER BY pos) AS nth
-                            FROM step WHERE live AND depth < {CALL_STEPS}
-                        ) p LEFT JOIN merges m ON p.tok = m.lft AND p.nxt = m.rgt
+                            SELECT *, nth - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS island
+                            FROM (
+                                SELECT *, coalesce(rank = lowest, FALSE) AS hit
+                                FROM (
+                                    SELECT p.*, m.rank, m.made, min(m.rank) OVER (PARTITION BY word) AS lowest
+                                    FROM (
+                                        SELECT depth, word, pos, tok,
+                                            lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt,
+                                            row_number() OVER (PARTITION BY word ORDER BY pos) AS nth
+                                        FROM step WHERE live AND depth < {CALL_STEPS}
+                                    ) p LEFT JOIN merges m ON p.tok = m.lft AND p.nxt = m.rgt
+                                )
+                            )
+                        )
                     )
-                )
+                ) t
+                LEFT JOIN early a ON t.take AND a.lft = t.before AND a.rgt = t.made
+                LEFT JOIN early b ON t.take AND b.lft = t.made AND b.rgt = t.after
             )
         )
     )
@@ -116,6 +134,11 @@ def token_table(ranks: dict[bytes, int]) -> pa.Table:
     )
 
 
+def database_settings() -> dict:
+    """One thread, bounded memory, and spilling to the temporary folder of the worker."""
+    return {"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.gettempdir()}
+
+
 class RankEncoder:
     """Encodes and decodes words with a merge table that an in-process DuckDB holds."""
 
@@ -123,7 +146,7 @@ class RankEncoder:
         import duckdb
 
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config=database_settings())
         pairs = [
             (left, right, made, made)
             for token, made in ranks.items()
@@ -138,6 +161,7 @@ class RankEncoder:
         merges["rank"] = merges["rank"].astype(np.int64)
         self._table("merges", pa.table(merges))
         self._table("tokens", token_table(ranks))
+        self.db.execute("CREATE TABLE early AS FROM merges WHERE rank < greatest(lft, rgt)")
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -163,6 +187,18 @@ class RankEncoder:
             self.db.unregister("encoded")
             fed = rows.filter(rows["live"]).select(["word", "toks"])
 
+    def unmerged(self, ranks: dict[bytes, int]) -> list[bytes]:
+        """The tokens that merging does not give back from their bytes: a library that looks
+        whole words up before it merges gives other ids for these words. None in a file of
+        tokens that merging has found."""
+        out, tokens = [], list(ranks)
+        for lo in range(0, len(tokens), CALL_WORDS):
+            part = tokens[lo : lo + CALL_WORDS]
+            for k, ids, _ in self._finish(part, STEPS):
+                if ids != str(ranks[part[k]]):
+                    out.append(part[k])
+        return out
+
     def encode(self, words: list[str]) -> dict[str, tuple[str, bytes]]:
         """Of each word, none empty: the ids in decimal, parted by spaces, and their bytes."""
         out = {}
@@ -250,7 +286,7 @@ def decode(docs: DataFrame, ids: Column, ranks_path: str) -> DataFrame:
         import duckdb
 
         ranks = read_ranks(ranks_path)
-        db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        db = duckdb.connect(":memory:", config=database_settings())
         db.register("tokens", token_table(ranks))
         known = set(ranks.values())
         for batch in batches:

@@ -6,8 +6,9 @@ are laid out together in flat arrays: one symbol a place, and the chunk each pla
 to. Every round looks up the rank of all neighbouring pairs at once, finds the lowest rank of
 each chunk, and joins all pairs of that rank simultaneously (of overlapping ones, the first,
 third, ... of a run); chunks without a pair left drop out with the number of their symbols.
-Joining equal pairs at once gives what one join at a time gives, because a piece always ranks
-behind the pieces it is made of: no join makes a pair of a lower rank possible.
+A join can make a pair of no higher rank with a neighbour, as a piece may rank before its
+parts. One join at a time would take that pair next, so a chunk's joins of a round end with
+the first that makes one. That gives what one join at a time gives, whatever the ranks.
 """
 
 from __future__ import annotations
@@ -59,6 +60,29 @@ class PieceMerger:
         place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[place] == key, place, -1)
 
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        place = self.pair_places(left, right)
+        return np.where(place >= 0, self.ranks[place], NEVER)
+
+    def _cut(self, hit, symbol, owner, place, rank) -> None:
+        """Take back, in each chunk, the joins after the first that makes a pair which is due."""
+        at = np.flatnonzero(hit)
+        if not len(at):
+            return
+        own, made = owner[at], self.made[place[at]]
+        last = len(symbol) - 1
+        inside = (at > 0) & (owner[np.maximum(at - 1, 0)] == own)
+        before = np.where(inside, symbol[np.maximum(at - 1, 0)], -1)
+        joined = np.append(False, (np.diff(at) == 2) & (own[1:] == own[:-1]))
+        before = np.where(joined, np.append(-1, made[:-1]), before)
+        inside = (at + 2 <= last) & (owner[np.minimum(at + 2, last)] == own)
+        after = np.where(inside, symbol[np.minimum(at + 2, last)], -1)
+        due = np.minimum(self._rank_of(before, made), self._rank_of(made, after)) <= rank[at]
+        if due.any():
+            earlier = np.cumsum(due) - due
+            firsts = np.searchsorted(own, own)
+            hit[at[earlier > earlier[firsts]]] = False
+
     def count(self, chunks: list[str]) -> np.ndarray:
         """The number of tokens of each chunk, spaces written as U+2581, none of them empty.
 
@@ -86,6 +110,7 @@ class PieceMerger:
             at = np.arange(len(hit))
             before = np.maximum.accumulate(np.where(hit, -1, at))
             hit &= (at - before) % 2 == 1
+            self._cut(hit, symbol, owner, place, rank)
             symbol = np.where(hit, self.made[place], symbol)
             keep = np.repeat(~done, counts)
             keep[1:] &= ~hit[:-1]

@@ -1,6 +1,7 @@
 """Token operators against the libraries they stand in for."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -67,6 +68,61 @@ def test_runs_of_spaces(spaces, word):
     assert merger.count(chunks).sum() == len(sp.encode(text))
 
 
+def one_at_a_time(parts, rank_of):
+    """The parts of a word after its joins: each time the leftmost of the lowest rank."""
+    parts = list(parts)
+    while True:
+        ranks = [rank_of(a + b) for a, b in zip(parts, parts[1:])]
+        lowest = min((r for r in ranks if r is not None), default=None)
+        if lowest is None:
+            return parts
+        k = ranks.index(lowest)
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def strange_words(rng, least, most):
+    return ["".join(rng.choices("abc", weights=[5, 3, 1], k=rng.randint(least, most))) for _ in range(60)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_long_words_by_ranks_in_any_order(seed):
+    rng = random.Random(seed)
+    made = {"".join(rng.choices("abc", k=rng.randint(2, 5))).encode() for _ in range(60)}
+    ranks = {bytes([k]): k for k in range(256)}
+    for k, token in enumerate(rng.sample(sorted(made), len(made))):
+        ranks[token] = 256 + k
+    words = list(dict.fromkeys(strange_words(rng, bpe.LONG - 20, bpe.LONG + 60)))
+    coded = bpe.RankEncoder(ranks).encode(words)
+    for w in words:
+        parts = one_at_a_time([bytes([c]) for c in w.encode()], ranks.get)
+        assert coded[w] == (" ".join(str(ranks[p]) for p in parts), w.encode())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_piece_counts_by_ranks_in_any_order(seed):
+    rng = random.Random(seed)
+    made = sorted({"".join(rng.choices("abc", k=rng.randint(2, 5))) for _ in range(60)})
+    order = {p: rng.randrange(40) for p in made}  # ties between pieces
+    pieces = {p: k for k, p in enumerate([*"abc", *made])}
+    merger = token_counts.PieceMerger.__new__(token_counts.PieceMerger)
+    merger.size, merger.chars = len(pieces), {c: pieces[c] for c in "abc"}
+    found = sorted(
+        (pieces[p[:k]] * merger.size + pieces[p[k:]], order[p], pieces[p])
+        for p in made
+        for k in range(1, len(p))
+        if p[:k] in pieces and p[k:] in pieces
+    )
+    merger.keys, merger.ranks, merger.made = (np.array(x, dtype=np.int64) for x in zip(*found))
+    words = strange_words(rng, 1, 80)
+    expected = [len(one_at_a_time(w, order.get)) for w in words]
+    assert merger.count(words).tolist() == expected
+
+
+def test_merging_gives_every_token_back():
+    ranks = bpe.read_ranks(RANKS)
+    assert bpe.RankEncoder(ranks).unmerged(ranks) == []
+
+
 def test_packing_keeps_every_token_in_place(docs):
     from tokenizers import Tokenizer
 
