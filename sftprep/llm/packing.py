@@ -251,7 +251,7 @@ class WordEncoder:
 
 
 #: Rows, and bytes of text, that a task encodes at once.
-STEP_ROWS, STEP_BYTES = 4000, 16_000_000
+STEP_ROWS, STEP_BYTES = 4000, 6_000_000
 
 
 def cut_documents(
