@@ -215,24 +215,37 @@ class WordEncoder:
         self.memory = worker_memory(("ids", tokenizer), REMEMBERED)
 
     def _encode(self, words: set[str]) -> dict[str, bytes]:
-        plain = {w for w in words if w.isalpha() and w == w.lower() and is_normalized("NFC", w)}
-        out = {}
-        for encoder, own in ((self.bare, list(plain)), (self.whole, list(words - plain))):
+        plain, others, out = [], [], {}
+        for w in words:
+            as_is = w.isalpha() and w == w.lower() and (w.isascii() or is_normalized("NFC", w))
+            (plain if as_is else others).append(w)
+        for encoder, own in ((self.bare, plain), (self.whole, others)):
             coded = encoder.encode_batch_fast(own, add_special_tokens=False)
             out.update((w, array("I", c.ids).tobytes()) for w, c in zip(own, coded))
         return out
 
     def _work_out(self, words: list[str]) -> dict[str, bytes]:
-        parts = {}
+        known, old = self.memory.known, self.memory.old
+        parts, out, new = [], {}, {".", ","}
         for x in words:
-            y = x.lower() if x.isascii() and "<|" not in x else x
-            before = y[-2:-1]  # in other scripts lower-casing may end in a mark
-            stop = y[-1] if y[-1:] in (".", ",") and before.isascii() and before.isalpha() else ""
-            parts[x] = (y[:-1] if stop else y, stop)
-        known = self.memory.known
-        out = {y: known[y] for y, _ in parts.values() if y in known}
-        out.update(self._encode({".", ",", *(y for y, _ in parts.values())} - out.keys()))
-        return out | {x: out[y] + out[stop] if stop else out[y] for x, (y, stop) in parts.items()}
+            y, stop = x.lower() if x.isascii() and "<|" not in x else x, ""
+            if y.endswith((".", ",")):
+                before = y[-2:-1]  # in other scripts lower-casing may end in a mark
+                if before.isascii() and before.isalpha():
+                    y, stop = y[:-1], y[-1]
+            ids = known.get(y)
+            if ids is None:
+                ids = old.get(y)
+            if ids is None:
+                new.add(y)
+            else:
+                out[y] = ids
+            if stop or x != y:
+                parts.append((x, y, stop))
+        out.update(self._encode(new))
+        for x, y, stop in parts:
+            out[x] = out[y] + out[stop] if stop else out[y]
+        return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's begin and end."""
@@ -245,7 +258,9 @@ class WordEncoder:
         word = coded.indices.to_numpy(zero_copy_only=False)
         counts = lengths[word]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        places = np.repeat(starts[word] - ends[:-1], counts) + np.arange(ends[-1])
+        kind = np.int32 if max(ends[-1], len(each)) < 1 << 31 else np.int64
+        places = np.repeat((starts[word] - ends[:-1]).astype(kind), counts)
+        places += np.arange(ends[-1], dtype=kind)
         edges = words.offsets.to_numpy() - words.offsets[0].as_py()
         return each[places], ends[edges]
 
