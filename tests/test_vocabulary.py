@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,23 @@ def test_the_table_of_the_tail_shuffles_once_for_any_partitions(spark):
     plan = _found_in(rest, elements)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in plan and "Generate" not in plan
     assert [tuple(r) for r in _found_in(rest, elements).collect()] == [("a", 1, 0, 7)]
+
+
+def test_unknown_items_are_not_shuffled_and_odd_keys_keep_their_ids(spark, tmp_path):
+    """Elements that the table lacks stay out of the stored ones; null and repeated keys work."""
+    table = Vocabulary(vocab(spark, WORDS), "<unk>", max_tokens=8)
+    rows = [(k if k % 10 else None, ["w39", *[f"new{k}-{i}" for i in range(200)], "w1"]) for k in range(40)]
+    rows.append((1, ["w38", "w39"]))
+    df = spark.createDataFrame(rows, "key int, tokens array<string>")
+    root = spark.conf.get("spark.checkpoint.dir") + "/sftprep"
+    before = set(os.listdir(root)) if os.path.exists(root) else set()
+    encoded = table.encode(df, "key", "tokens", "ids", keep=False)
+    assert encoded.columns == ["key", "ids"]
+    index = {w: i for i, w in enumerate(WORDS)}
+    expect = sorted(([index.get(t, 1) for t in own], key or -1) for key, own in rows)
+    assert sorted((r.ids, -1 if r.key is None else r.key) for r in encoded.collect()) == expect
+    stored = [p for p in set(os.listdir(root)) - before if p.startswith("open-items")]
+    assert spark.read.parquet(f"{root}/{stored[0]}").count() < 100  # of 8,042, 42 of them known
+    back = table.decode(encoded, "key", "ids", "back").collect()
+    assert sorted(r.back for r in back if "w38" in r.back) == ["w38w39"]
+    assert len(back) == len(rows)
