@@ -154,3 +154,41 @@ def test_span_labels_equal_the_plain_rule():
         end = [rng.randrange(3) for _ in range(rng.randrange(1, 3))]
         got = span_labels(np.array(ids, dtype=int), np.array(start), np.array(end), -100)
         assert got.tolist() == plain_labels(ids, start, end)
+
+
+def test_a_plugin_gets_texts_and_ids_in_steps(spark, tmp_path):
+    """No call gets a whole batch, nulls and order are kept."""
+    rows = [(k, None if k % 7 == 0 else chr(97 + k % 26) * 2000) for k in range(2000)]
+    df = spark.createDataFrame(rows, "k int, text string").coalesce(1)
+
+    def tokenizer():
+        def encode(texts):
+            assert sum(map(len, texts)) <= 1 << 20, "a step is too large"
+            return [list(t.encode()) for t in texts]
+
+        return encode
+
+    def detokenizer():
+        def decode(ids):
+            assert sum(map(len, ids)) <= 1 << 20, "a step is too large"
+            return ["".join(map(chr, row)) for row in ids]
+
+        return decode
+
+    ids = df.select("k", tokens.tokenizer_udf(tokenizer)(F.col("text")).alias("ids"))
+    back = ids.select("k", "ids", tokens.detokenizer_udf(detokenizer)(F.col("ids")).alias("back"))
+    found = {r.k: (r.ids, r.back) for r in back.collect()}
+    assert found == {k: (None if t is None else list(t.encode()), t) for k, t in rows}
+
+
+def test_labels_of_many_rows_go_in_steps(spark):
+    df = spark.range(3000).select(
+        "id", F.when(F.col("id") % 5 > 0, F.array(F.lit(7), F.lit(1), F.col("id").cast("int"), F.lit(9))).alias("ids")
+    )
+    labels = tokens.mask_padded_labels(F.col("ids"), [7, 1], [9], 600, 0)
+    found = {r.id: r.labels for r in df.coalesce(1).select("id", labels.alias("labels")).collect()}
+    for k in range(3000):
+        if k % 5 == 0:
+            assert found[k] is None
+        else:  # the id 9 is an end itself
+            assert found[k] == [-100, -100, -100 if k == 9 else k, *[-100] * 597]
