@@ -226,7 +226,8 @@ class Block:
         salt = np.concatenate([w2[: len(splits)] % splits, salts])
         known = np.concatenate([known, np.ones(len(extra), dtype=bool)])
         part = np.where(known, mixed(w1, salt) % parts, -1)
-        order = np.argsort(part, kind="stable")
+        # by second word within a part: its ids and counts then come in runs, which pack well
+        order = np.lexsort((w2, part))
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         self.pair = place[inverse]  # of each token

@@ -251,3 +251,25 @@ def test_toxicity_without_labels(docs, none):
     machine = toxicity.fit(docs, labels, "doc_id", F.col("text"), "toxic")
     assert not any(r.predicted for r in toxicity.score(docs, F.col("text"), machine).collect())
     assert toxicity.score(none, F.col("text"), machine).count() == 0
+
+
+def test_asked_pairs_come_by_second_word(spark):
+    """So that ids and counts of a part are runs, which pack into few bytes."""
+    from types import SimpleNamespace
+
+    from sftprep.llm import katz
+
+    rng = np.random.default_rng(5)
+    words = 300
+    row = SimpleNamespace(
+        places=list(range(words)), size=words, ids=rng.permutation(words) * 7, counts=rng.integers(1, 9, words),
+        lens=[2000, 1000], held=[False, True], tokens=rng.integers(0, words, 3000),
+    )
+    block = katz.Block(row, 3)
+    asked = list(block.asked())
+    assert [part for part, _ in asked] == [0, 1, 2]
+    assert all((np.diff(block.w2[own]) >= 0).all() for _, own in asked)
+    # every token still finds its own pair
+    first = np.concatenate([[words], row.tokens[:-1]])
+    first[2000] = words
+    assert (block.left[block.pair] == first).all() and (block.right[block.pair] == row.tokens).all()
