@@ -10,6 +10,7 @@ A sentence is scored by its best window of ``WIDTH`` characters of one chunk (te
 white space; single letters with spaces between count as one chunk). Training sentences come
 from a bounded sample of labelled documents: every sentence of a clean document is negative;
 of a toxic one, the sentence that scores highest so far is positive, chosen anew each round.
+Executors split the sample into chunks; the driver gets the different ones of each document.
 
 As the machine is linear in its features and these are linear in the kernel's own space, the
 trained score of a window is a sum of one weight for each of its subsequences. Executors look
@@ -46,6 +47,12 @@ START = "^"
 #: Chunks whose kernels are worked out at a time, and the largest table of all keys.
 PART = 1000
 DENSE = 1 << 24
+#: Chunks whose windows are worked out at a time, and characters whose parts are.
+STEP = 8192
+FLAT_STEP = 1 << 18
+#: Lengths of the parts of chunks that may become landmarks; bits of a character's code.
+PARTS = range(4, 9)
+CODE_BITS = 21
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -85,6 +92,11 @@ def chunks_of(sentence: str) -> list[str]:
     return found
 
 
+def distinct_chunks(text: str) -> str:
+    """The different chunks of a text in order, one a line; no chunk holds a line feed."""
+    return "\n".join(sorted({c for s in SENTENCE.split(text) for c in chunks_of(s)}))
+
+
 def codes_of(chunks: list[str], alphabet: str) -> tuple[np.ndarray, np.ndarray]:
     """Places in ``alphabet`` of all chunks' characters, -2 for others and -1 after each chunk,
     and where each chunk starts."""
@@ -139,15 +151,15 @@ def scales(chunks: list[str]) -> np.ndarray:
 
 
 def best_windows(
-    code: np.ndarray, starts: np.ndarray, base: int, table: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Of each chunk the largest sum of ``table`` over a window's subsequences, and its place."""
-    if not len(starts):
-        return np.zeros(0), np.zeros(0, dtype=np.int64)
+    code: np.ndarray, starts: np.ndarray, base: int, table: np.ndarray, done: float = 0.0
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of each chunk the largest sum of ``table`` over a window's subsequences, and its place.
+
+    ``done`` is the running sum before these chunks; the one after them is returned too."""
     gain = np.zeros(len(code))
     for at, key, weight in terms(code, base):
         gain[at] += table[key] * weight
-    total = np.concatenate([[0.0], np.cumsum(gain)])
+    total = np.cumsum(np.concatenate([[done], gain]))
     ends = np.append(starts[1:], len(code))
     stop = np.minimum(np.arange(len(code)) + WIDTH, np.repeat(ends, ends - starts))
     sums = total[stop] - total[:-1]
@@ -155,7 +167,7 @@ def best_windows(
     owner = np.repeat(np.arange(len(starts)), ends - starts)
     hits = np.flatnonzero(sums == best[owner])
     _, firsts = np.unique(owner[hits], return_index=True)
-    return best, hits[firsts] - starts
+    return best, hits[firsts] - starts, total[-1]
 
 
 def cut_window(chunk: str, at: int) -> str:
@@ -207,11 +219,89 @@ class Landmarks:
         return out * scales(chunks)[:, None]
 
 
+class Parts:
+    """The parts of chunks that at least ``least`` toxic documents hold, one length after the other.
+
+    Documents are arrays of places in ``chunks``. A part goes by a number, which the character
+    after it continues: no part is in more documents than its beginning, so what is dropped at
+    one length is not looked at again, and only numbers are held of the parts of one length.
+    """
+
+    def __init__(self, chunks: list[str], toxic: list[np.ndarray], clean: list[np.ndarray], least: int):
+        self.toxic, self.clean, self.least = toxic, clean, least
+        self.text = "\n".join([*chunks, ""])
+        self.code = np.frombuffer(self.text.encode("utf-32-le"), np.uint32).astype(np.int32)
+        self.lengths = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)) + 1
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        held = np.zeros(len(chunks), dtype=bool)
+        for own in toxic:
+            held[own] = True
+        self.held = np.repeat(held, self.lengths)
+        #: The number of the part that begins at each place, -1 where there is none; its length.
+        self.own, self.size = np.zeros(len(self.code), dtype=np.int32), 0
+
+    def steps(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places where a part goes on by a character, and what tells it from others, by step."""
+        for lo in range(0, len(self.code) - self.size, FLAT_STEP):
+            hi = min(lo + FLAT_STEP, len(self.code) - self.size)
+            after = self.code[lo + self.size : hi + self.size]
+            at = np.flatnonzero((self.own[lo:hi] >= 0) & (after != 10))
+            yield lo + at, (self.own[lo + at].astype(np.int64) << CODE_BITS) + after[at]
+
+    def of(self, document: np.ndarray) -> np.ndarray:
+        """The numbers of a document's parts."""
+        lengths = self.lengths[document]
+        before = np.cumsum(lengths) - lengths
+        places = np.repeat(self.starts[document] - before, lengths) + np.arange(lengths.sum())
+        found = np.unique(self.own[places])
+        return found[found >= 0]
+
+    def counted(self, documents: list[np.ndarray], size: int) -> np.ndarray:
+        counts = np.zeros(size, dtype=np.int64)
+        for x in documents:
+            counts[self.of(x)] += 1
+        return counts
+
+    def lengthen(self) -> tuple[np.ndarray, np.ndarray]:
+        """Go on to parts longer by one; returns how many toxic documents hold each, and a place
+        of each."""
+        keys = np.zeros(0, dtype=np.int64)
+        for at, key in self.steps():
+            keys = np.union1d(keys, key[self.held[at]])
+        longer = np.full(len(self.own), -1, dtype=np.int32)
+        for at, key in self.steps() if len(keys) else ():
+            number = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            same = keys[number] == key
+            longer[at[same]] = number[same]
+        self.own, self.size = longer, self.size + 1
+        counts = self.counted(self.toxic, len(keys))
+        kept = counts >= self.least
+        number = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1).astype(np.int32)
+        self.own = number[self.own]
+        places = np.zeros(int(kept.sum()), dtype=np.int64)
+        known = np.flatnonzero(self.own >= 0)
+        places[self.own[known]] = known
+        return counts[kept], places
+
+    def texts(self, places: np.ndarray) -> list[str]:
+        return [self.text[k : k + self.size] for k in places.tolist()]
+
+    def holders(self, numbers: np.ndarray) -> list[list[int]]:
+        """For each of these parts the toxic documents that hold it."""
+        found: list[list[int]] = [[] for _ in numbers]
+        for k, x in enumerate(self.toxic):
+            for j in np.flatnonzero(np.isin(numbers, self.of(x))).tolist():
+                found[j].append(k)
+        return found
+
+
 def choose_landmarks(
-    toxic: list[set[str]], clean: list[set[str]], count: int
+    chunks: list[str], toxic: list[np.ndarray], clean: list[np.ndarray], count: int
 ) -> tuple[list[str], int]:
     """Strings that set toxic documents apart, greedily by the toxic documents they add.
 
+    Documents are the places of their different chunks in ``chunks``.
+
     Candidates are parts of chunks, 4 to 8 characters long, in at least three toxic documents
     (all, if there are fewer) and seldom in clean ones. Three quarters of ``count`` may be parts
     in a fiftieth of the toxic documents; beyond that, a part is taken for three documents that no
@@ -219,24 +309,24 @@ def choose_landmarks(
     at least, goes to frequent parts of clean documents, so that the features span both kinds. Also
     returns how many are of the first kind; there is always one landmark, if need be of no use.
     """
-
-    def parts(chunks: set[str]) -> set[str]:
-        return {
-            x[i : i + n] for x in chunks for n in range(4, 9) for i in range(max(0, len(x) - n + 1))
-        }
-
-    held: dict[str, list[int]] = {}
-    seen: Counter = Counter()
-    for k, chunks in enumerate(toxic):
-        for p in parts(chunks):
-            held.setdefault(p, []).append(k)
     least = min(3, len(toxic))
     often = max(least, min(len(toxic) // 50, len(toxic)))
-    held = {p: x for p, x in held.items() if len(x) >= least}
-    for chunks in clean:
-        seen.update(held.keys() & parts(chunks))
     share = len(clean) / max(len(toxic), 1)
-    pure = {p: x for p, x in held.items() if seen[p] <= 0.02 * share * len(x)}
+    pure: dict[str, list[int]] = {}
+    usual: list[tuple[int, str]] = []
+    parts = Parts(chunks, toxic, clean, least)
+    for size in range(1, PARTS.stop):
+        counts, places = parts.lengthen()
+        if size not in PARTS:
+            continue
+        seen = parts.counted(clean, len(counts))
+        apart = seen <= 0.02 * share * counts
+        numbers = np.flatnonzero(apart)
+        pure.update(zip(parts.texts(places[numbers]), parts.holders(numbers)))
+        rest = np.flatnonzero(~apart & (seen > 0))
+        if len(rest) > count:
+            rest = rest[seen[rest] >= np.partition(seen[rest], -count)[-count]]
+        usual = sorted([*usual, *zip((-seen[rest]).tolist(), parts.texts(places[rest]))])[:count]
     covered, chosen = Counter(), []
     ranked = sorted(pure, key=lambda p: (-len(pure[p]), -len(p), p))
     for p in ranked:
@@ -249,8 +339,8 @@ def choose_landmarks(
             continue
         chosen.append(p)
         covered.update(pure[p])
-    usual = sorted((p for p in seen if p not in pure), key=lambda p: (-seen[p], p))
-    return (chosen + usual[: max(count - len(chosen), count // 4)]) or ["   "], max(len(chosen), 1)
+    frequent = [p for _, p in usual[: max(count - len(chosen), count // 4)]]
+    return (chosen + frequent) or ["   "], max(len(chosen), 1)
 
 
 class Sparse:
@@ -287,9 +377,15 @@ class Machine:
 
     def windows(self, chunks: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Score and place of each chunk's best window; ``table`` is the machine's own."""
-        code, starts = codes_of(chunks, self.alphabet)
-        best, at = best_windows(code, starts, self.base, table)
-        return best * scales(chunks) + self.bias, at
+        best, at = np.zeros(len(chunks)), np.zeros(len(chunks), dtype=np.int64)
+        done = 0.0
+        for lo in range(0, len(chunks), STEP):
+            part = chunks[lo : lo + STEP]
+            own = slice(lo, lo + len(part))
+            code, starts = codes_of(part, self.alphabet)
+            best[own], at[own], done = best_windows(code, starts, self.base, table, done)
+            best[own] = best[own] * scales(part) + self.bias
+        return best, at
 
     def probability(self, score: float) -> float:
         x = self.slope * score + self.shift
@@ -327,41 +423,53 @@ def logistic_fit(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(toxic: list[str], clean: list[str], settings: Training = Training()) -> Machine:
-    """Fit the machine to labelled texts; see the module.
+    """Fit the machine to labelled texts; see the module."""
+    split = ([distinct_chunks(t) for t in own] for own in (toxic, clean))
+    return train_on(*split, settings)
+
+
+def train_on(toxic: list[str], clean: list[str], settings: Training = Training()) -> Machine:
+    """The same for the ``distinct_chunks`` of labelled texts.
 
     Without toxic texts, or without clean ones, every text gets the same probability: the
     share of toxic ones, and 0 without any text.
+
+    Each different chunk is held once; documents are numbers of their chunks.
     """
     if not toxic or not clean:
         share = min(max(len(toxic) / max(len(toxic) + len(clean), 1), 1e-3), 1 - 1e-3)
         machine = Machine(Landmarks([]), np.zeros(0), 0.0)
         machine.slope, machine.shift = 0.0, math.log(share / (1 - share))
         return machine
-    bags = [[chunks_of(s) for s in SENTENCE.split(t)] for t in toxic]
-    quiet = [[c for s in SENTENCE.split(t) for c in chunks_of(s)] for t in clean]
-    landmarks, insults = choose_landmarks(
-        [{c for s in b for c in s} for b in bags], [set(c) for c in quiet], settings.landmarks
+    seen, rest = set(), set()
+    for own in clean:
+        seen.update(own.split("\n") if own else ())
+    negative = len(seen)
+    for own in toxic:
+        rest.update(c for c in (own.split("\n") if own else ()) if c not in seen)
+    chunks = sorted(seen) + sorted(rest)
+    del seen, rest
+    place = {c: k for k, c in enumerate(chunks)}
+    owned, quiet = (
+        [np.array(sorted(place[c] for c in (x.split("\n") if x else ())), dtype=np.int32) for x in own]
+        for own in (toxic, clean)
     )
+    del place
+    landmarks, insults = choose_landmarks(chunks, owned, quiet, settings.landmarks)
     insult = re.compile("|".join(map(re.escape, landmarks[:insults])))
     space = Landmarks(landmarks)
     values, vectors = np.linalg.eigh(space.rows @ space.rows.T)
     kept = values > 1e-6 * values.max(initial=1e-12)
     root = vectors[:, kept] / np.sqrt(values[kept])
-    seen = set().union(*map(set, quiet))
-    negative = sorted(seen)
-    chunks = negative + sorted({c for b in bags for s in b for c in s} - seen)
-    place = {c: k for k, c in enumerate(chunks)}
-    owned = [sorted({place[c] for s in b for c in s}) for b in bags]
-    owned = [np.array(o) for o in owned if o]
     # chunks that hold one of the strings which set toxic documents apart are positive throughout
-    sure = [k for k, c in enumerate(chunks) if k >= len(negative) and insult.search(c)]
-    even = np.random.default_rng(7).permutation(len(negative))[: settings.negatives // 2]
+    sure = [k for k, c in enumerate(chunks) if k >= negative and insult.search(c)]
+    even = np.random.default_rng(7).permutation(negative)[: settings.negatives // 2]
     machine = Machine(space, 1.0 * (np.arange(len(landmarks)) < insults), 0.0)
     for _ in range(settings.rounds):
         score, at = machine.windows(chunks, machine.table())
-        best = np.array([o[np.argmax(score[o])] for o in owned], dtype=int)
-        best = np.union1d(best[best >= len(negative)], sure).astype(int)
-        hard = np.argsort(-score[: len(negative)], kind="stable")[: settings.negatives // 2]
+        best = np.array([o[np.argmax(score[o])] for o in owned if len(o)], dtype=int)
+        best = np.union1d(best[best >= negative], sure).astype(int)
+        hard = np.argsort(-score[:negative], kind="stable")[: settings.negatives // 2]
         calm = np.union1d(hard, even)
         chosen = np.concatenate([best, calm]).astype(int)
         features = space.kernels([chunks[k] for k in chosen], at[chosen]) @ root
@@ -369,8 +477,8 @@ def train(toxic: list[str], clean: list[str], settings: Training = Training()) -
         cost = np.where(y > 0, settings.positive_cost, 1.0)
         w = hinge_fit(features, y, cost, settings.ridge)
         machine = Machine(space, root @ w[:-1], float(w[-1]))
-    table = machine.table()
-    own = np.array([document_score(machine, table, t) for t in [*toxic, *clean]])
+    score = machine.windows(chunks, machine.table())[0]
+    own = np.array([score[o].max() if len(o) else machine.bias for o in [*owned, *quiet]])
     labels = np.array([1] * len(toxic) + [0] * len(clean))
     machine.slope, machine.shift = logistic_fit(own, labels)
     return machine
@@ -378,18 +486,24 @@ def train(toxic: list[str], clean: list[str], settings: Training = Training()) -
 
 def document_score(machine: Machine, table: np.ndarray, text: str) -> float:
     """The score of the best sentence; that of no chunk at all for a blank text."""
-    chunks = list({c for s in SENTENCE.split(text) for c in chunks_of(s)})
-    return float(machine.windows(chunks, table)[0].max()) if chunks else machine.bias
+    chunks = distinct_chunks(text)
+    return float(machine.windows(chunks.split("\n"), table)[0].max()) if chunks else machine.bias
 
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, doc_id: str, text: Column, label: str, settings: Training
 ) -> tuple[list[str], list[str]]:
-    """Distinct whole texts of at most ``settings.toxic`` and ``settings.clean`` documents.
+    """``distinct_chunks`` of the different texts, whole ones, of at most ``settings.toxic`` and
+    ``settings.clean`` documents.
 
     Ids are chosen from ``labels`` first, at most that many, so only they are broadcast and
     no text is shuffled. An id without a document, or with a null text, is left out.
     """
+
+    @F.pandas_udf("string")
+    def chunks(texts: pd.Series) -> pd.Series:
+        return texts.map(distinct_chunks)
+
     chosen = [
         labels.filter(F.col(label) == k)
         .select(F.col(doc_id).alias("__id"), F.col(label).alias("__label"))
@@ -402,11 +516,13 @@ def labelled_sample(
         docs.select(F.col(doc_id).alias("__id"), text.alias("__text"))
         .filter(F.col("__text").isNotNull())
         .join(F.broadcast(chosen[0].union(chosen[1])), "__id")
+        .select("__id", "__label", F.sha2("__text", 256), chunks("__text"))
         .dropDuplicates(["__id", "__label"])
         .collect()
     )
-    found = sorted((r["__id"], r["__label"], r["__text"]) for r in rows)
-    return tuple(list(dict.fromkeys(t for _, own, t in found if own == k)) for k in (1, 0))
+    found = sorted(map(tuple, rows))
+    own = ({digest: x for _, label_, digest, x in found if label_ == k} for k in (1, 0))
+    return tuple(list(x.values()) for x in own)
 
 
 def fit(
@@ -418,7 +534,7 @@ def fit(
     settings: Training = Training(),
 ) -> Machine:
     """A machine trained on a bounded sample of the documents that ``labels`` marks."""
-    return train(*labelled_sample(docs, labels, doc_id, text, label, settings), settings)
+    return train_on(*labelled_sample(docs, labels, doc_id, text, label, settings), settings)
 
 
 def score(docs: DataFrame, text: Column, machine: Machine) -> DataFrame:

@@ -253,6 +253,89 @@ def test_toxicity_without_labels(docs, none):
     assert toxicity.score(none, F.col("text"), machine).count() == 0
 
 
+def plain_landmarks(toxic, clean, count):
+    """All parts of all chunks at once, by sets and dictionaries."""
+    parts = lambda own: {x[i : i + n] for x in own for n in range(4, 9) for i in range(max(0, len(x) - n + 1))}
+    held, seen = {}, {}
+    for k, own in enumerate(toxic):
+        for p in parts(own):
+            held.setdefault(p, []).append(k)
+    least = min(3, len(toxic))
+    often = max(least, min(len(toxic) // 50, len(toxic)))
+    held = {p: x for p, x in held.items() if len(x) >= least}
+    for own in clean:
+        for p in held.keys() & parts(own):
+            seen[p] = seen.get(p, 0) + 1
+    pure = {p: x for p, x in held.items() if seen.get(p, 0) <= 0.02 * (len(clean) / len(toxic)) * len(x)}
+    covered, chosen = [0] * len(toxic), []
+    for p in sorted(pure, key=lambda p: (-len(pure[p]), -len(p), p)):
+        new = sum(1 / (1 + covered[k]) for k in pure[p])
+        useful = len(pure[p]) >= often and new >= max(0.08 * len(pure[p]), 0.2)
+        fresh = sum(covered[k] == 0 for k in pure[p]) >= least
+        if (fresh or (useful and len(chosen) < count * 3 // 4)) and not any(p in x or x in p for x in chosen):
+            chosen.append(p)
+            for k in pure[p]:
+                covered[k] += 1
+    usual = sorted((p for p in seen if p not in pure), key=lambda p: (-seen[p], p))
+    return (chosen + usual[: max(count - len(chosen), count // 4)]) or ["   "], max(len(chosen), 1)
+
+
+@pytest.mark.parametrize("n_toxic, n_clean, step", [(60, 90, 1 << 18), (60, 90, 100), (2, 1, 7), (1, 5, 1 << 18)])
+def test_landmarks_are_what_all_parts_give(monkeypatch, n_toxic, n_clean, step):
+    import random
+
+    monkeypatch.setattr(toxicity, "FLAT_STEP", step)
+    rng = random.Random(n_toxic + step)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 12)))
+    plain = [word("abcdé") for _ in range(50)]
+    insults = [word("abcxyz\U0001f642") for _ in range(12)]
+    text = lambda *more: " ".join([*rng.choices(plain, k=rng.randint(0, 15)), *more])
+    toxic = [text(*rng.choices(insults, k=2)) for _ in range(n_toxic)] + [""]
+    clean = [text() for _ in range(n_clean)] + ["", " "]
+    split = lambda x: toxicity.distinct_chunks(x).split("\n") if x.strip() else []
+    sets = [[set(split(x)) for x in own] for own in (toxic, clean)]
+    chunks = sorted(set().union(*sets[0], *sets[1]))
+    place = {c: k for k, c in enumerate(chunks)}
+    numbers = [[np.array(sorted(place[c] for c in x), dtype=np.int32) for x in own] for own in sets]
+    for count in (4, 64):
+        assert toxicity.choose_landmarks(chunks, *numbers, count) == plain_landmarks(*sets, count)
+
+
+def test_windows_do_not_depend_on_steps(monkeypatch):
+    machine = toxicity.train(["zwackel und so weiter"] * 5, ["ein ganz anderer Text", "und noch einer"])
+    chunks = [toxicity.START + "x" * (k % 5) + "zwackel"[: k % 8] + "und" * (k % 3) for k in range(500)]
+    table = machine.table()
+    whole = machine.windows(chunks, table)
+    monkeypatch.setattr(toxicity, "STEP", 7)
+    parts = machine.windows(chunks, table)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+    assert [len(x) for x in machine.windows([], table)] == [0, 0]
+
+
+def test_driver_gets_different_chunks_only(spark):
+    long = "weiter immer weiter " * 5000
+    rows = [(1, "Zwackel! " + long, 1), (2, long, 0), (3, long, 0), (4, "", 0), (5, None, 1), (6, "fort", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    sample = toxicity.labelled_sample(df, df, "doc_id", F.col("text"), "toxic", toxicity.Training())
+    assert sample == (["^immer\n^weiter\n^zwackel!", "^fort"], ["^immer\n^weiter", ""])
+
+
+def test_training_memory_follows_different_chunks():
+    import random
+    import tracemalloc
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 10)))
+    vocabulary = [word() for _ in range(4000)]
+    text = lambda *more: " ".join([*rng.choices(vocabulary, k=400), *more])
+    toxic, clean = [text("zwackel") for _ in range(100)], [text() for _ in range(150)]
+    tracemalloc.start()
+    toxicity.train(toxic, clean)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+
+
 def test_asked_pairs_come_by_second_word(spark):
     """So that ids and counts of a part are runs, which pack into few bytes."""
     from types import SimpleNamespace
