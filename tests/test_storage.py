@@ -40,3 +40,39 @@ def test_temporary_tables_are_removed(spark):
         spark.range(3).write.parquet(path)
         assert os.path.isdir(path)
     assert not os.path.exists(path)
+
+
+def test_stored_tables_leave_no_shuffle_files(tmp_path):
+    """In a process of its own, whose folders hold nothing else."""
+    import subprocess
+    import sys
+    import textwrap
+    from pathlib import Path
+
+    job = """
+        import sys, time
+        from pathlib import Path
+        from pyspark.sql import SparkSession
+        from sftprep import storage
+
+        local, shared = sys.argv[1:]
+        spark = (
+            SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+            .config("spark.local.dir", local).config("spark.checkpoint.dir", shared).getOrCreate()
+        )
+        before = spark.conf.get(storage.DROP_SHUFFLES, None)
+        df = spark.range(50_000).selectExpr("id % 20000 as k", "id").groupBy("k").count()
+        table = storage.stored(df.repartition(3, "count"), "t")
+        files = lambda: list(Path(local).rglob("shuffle_*.data"))
+        for _ in range(50):
+            if not files():
+                break
+            time.sleep(0.2)
+        assert not files(), files()
+        assert spark.conf.get(storage.DROP_SHUFFLES, None) == before
+        assert table.count() == 20_000 and df.count() == 20_000
+    """
+    args = [sys.executable, "-c", textwrap.dedent(job), str(tmp_path / "local"), str(tmp_path / "shared")]
+    root = Path(__file__).resolve().parent.parent
+    done = subprocess.run(args, cwd=root, capture_output=True, text=True, timeout=200)
+    assert done.returncode == 0, done.stderr[-2000:]
