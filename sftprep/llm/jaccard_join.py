@@ -11,17 +11,22 @@ The smaller group of a pair always goes to the larger one. First only a sketch o
 goes, a bitmap of the tokens' hashes, which never makes an overlap look smaller; the whole row
 follows for the pairs that this leaves. The larger group is read once for a block of partners.
 
-Signatures lose no pair. Sets that link differ in at most ``D`` tokens, where ``D`` follows
-from their sizes. Tokens are hashed into more than ``D`` parts, and the contents of a set's
-first ``D + 1`` parts with tokens are its signatures: at most ``D`` of them differ from the
-other set's, and the one that does not is among the other's as well. This is done with the
-rare tokens alone, so that passages and phrases of many documents bring nobody together. A
-set with too few parts of rare tokens signs all it has, and signs all its tokens as well: its
-first ``D + 1`` parts, or all of them, those without tokens included. Two sets of that sort
-have an equal part in any case. Sizes fall into levels so that both documents use the same
-number of parts; a document near the lower end of a level also signs as the level below.
-Which tokens are rare is taken from a bounded sample: it is only a matter of speed, as
-signatures lose no pair whatever tokens are called rare.
+Signatures lose no pair. A set differs from any it links with in at most ``D`` tokens, where
+``D`` follows from its own size. Tokens are hashed into more than ``D`` parts, and the contents
+of a set's first ``D + 1`` parts with tokens are its signatures: the first part that is equal in
+both sets comes after parts that differ only, so it is among the signatures of either. This is
+done with the rare tokens alone, so that passages and phrases of many documents bring nobody
+together. A set with too few parts of rare tokens signs all it has, and signs all its tokens as
+well: its first ``D + 1`` parts, or all of them, those without tokens included. Two sets of that
+sort have an equal part in any case. Sizes fall into levels so that both documents use the same
+number of parts; a document near the lower end of a level also signs as the level below. As
+``D`` is the set's own, few sets lack parts, and hardly any has to sign those without tokens,
+which all of a level share.
+
+Which tokens are rare is taken from a sample, a fixed share of a large table: so a rare token is
+in about the same number of documents at every size, and the groups that it brings together
+stay in proportion. It is only a matter of speed, as signatures lose no pair whatever tokens are
+called rare.
 
 Groups that share a signature first meet the signature's hub, the smallest of them, which is
 linear in the size of even the largest family of copies. After that, groups meet pairwise
@@ -43,8 +48,9 @@ from pyspark.sql.window import Window
 from sftprep.llm.common import worker_memory
 from sftprep.storage import stored
 
-#: Documents of the sample that tells frequent tokens, and in how many of them those are.
-SAMPLE, OFTEN = 5000, 4
+#: Documents of the sample that tells frequent tokens, or one of so many if that is more; in how
+#: many of them those tokens are; and how many tokens are called frequent at most.
+SAMPLE, ONE_OF, OFTEN, FREQUENT = 5000, 8, 4, 1 << 21
 #: Members of a group and tokens of all of them, about; partners of a group in one block; bits
 #: of a sketch for each token; words a worker remembers the hashes of.
 GROUP, GROUP_TOKENS, PARTNERS, SKETCH = 128, 1 << 16, 64, 4
@@ -102,12 +108,20 @@ class Levels:
             self.starts.append(nxt)
         return int(np.searchsorted(self.starts, size, side="right")) - 1
 
-    def parts(self, level: int) -> tuple[int, int]:
-        """``D`` for sets of a level and those they reach above it, and the number of parts."""
+    def _differ(self, both: int) -> int:
+        """The most tokens by which sets of ``both`` tokens in all differ if they link."""
+        return both * (100 - self.percent) // (100 + self.percent)
+
+    def parts(self, level: int) -> int:
+        """The number of parts: more than any ``D`` of sets that sign as the level."""
         largest = self.starts[level + 1] - 1
-        both = largest + self.reach(largest)
-        differ = both * (100 - self.percent) // (100 + self.percent)
-        return differ, differ + 3 + differ // 6
+        differ = self._differ(largest + self.reach(largest))
+        return differ + 3 + differ // 6
+
+    def differ(self, size: int, level: int) -> int:
+        """``D`` of a set that signs as a level: its own, or the one below to meet that one's sets."""
+        own = level == self.of(size)
+        return self._differ(size + (self.reach(size) if own else self.starts[level + 1] - 1))
 
     def signing(self, size: int) -> list[int]:
         if size < self.least:
@@ -136,7 +150,7 @@ def signatures(tokens: np.ndarray, levels: Levels, frequent: np.ndarray) -> np.n
         place = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         rare = tokens[frequent[place] != tokens]
     for level in levels.signing(len(tokens)):
-        differ, m = levels.parts(level)
+        differ, m = levels.differ(len(tokens), level), levels.parts(level)
         own, content = _parts(rare, m)
         found = [(0, own[: differ + 1], content[: differ + 1])]
         if len(own) <= differ:
@@ -156,11 +170,12 @@ def signatures(tokens: np.ndarray, levels: Levels, frequent: np.ndarray) -> np.n
 
 
 def frequent_tokens(given: DataFrame, width: int) -> np.ndarray:
-    """Tokens in at least ``OFTEN`` of about ``SAMPLE`` documents, those of the smallest hash.
+    """Tokens in at least ``OFTEN`` documents of a sample, those of the smallest hash.
 
-    At most a few million numbers, whatever the size of the table.
+    The sample is ``SAMPLE`` documents, or a fixed share of a larger table. At most
+    ``FREQUENT`` tokens, those in the most documents, whatever the size of the table.
     """
-    share = min(1.0, SAMPLE / max(given.count(), 1))
+    share = min(1.0, max(SAMPLE / max(given.count(), 1), 1 / ONE_OF))
     sample = given.filter(
         F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
     ).select("text")
@@ -168,11 +183,25 @@ def frequent_tokens(given: DataFrame, width: int) -> np.ndarray:
     def tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(width)
         for batch in batches:
+            found, held = [], 0
             for t in batch["text"]:
-                yield pd.DataFrame({"token": shingler.tokens(t).view(np.int64)})
+                found.append(shingler.tokens(t).view(np.int64))
+                held += len(found[-1])
+                if held > 1 << 19:
+                    yield pd.DataFrame({"token": np.concatenate(found)})
+                    found, held = [], 0
+            if held:
+                yield pd.DataFrame({"token": np.concatenate(found)})
 
     counts = sample.mapInPandas(tokens_of, "token long").groupBy("token").count()
-    rows = counts.filter(F.col("count") >= OFTEN).select("token").toPandas()
+    often = stored(counts.filter(F.col("count") >= OFTEN), "frequent")
+    least, held = OFTEN, 0
+    for count, n in sorted(often.groupBy("count").agg(F.count(F.lit(1))).collect(), reverse=True):
+        held += n
+        if held > FREQUENT:
+            least = count + 1
+            break
+    rows = often.filter(F.col("count") >= least).select("token").toPandas()
     return np.sort(rows["token"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
@@ -457,7 +486,7 @@ def _links(
         F.when(lighter, F.col("g2")).otherwise(F.col("g1")).alias("heavy"),
         F.when(lighter, F.col("g1")).otherwise(F.col("g2")).alias("light"),
     ).distinct()
-    rest = rest.join(first, ["heavy", "light"], "left_anti")
+    rest = stored(rest.join(first, ["heavy", "light"], "left_anti"), "rest")
     return found.union(stored(_opened(rest, matrix, percent), "links"))
 
 

@@ -96,6 +96,28 @@ def test_signatures_share_one_whenever_sets_link():
                     assert len(shared) or np.array_equal(a, b)
 
 
+def test_unrelated_sets_of_any_size_share_no_signature():
+    rng = np.random.default_rng(6)
+    for percent in (80, 90):
+        levels, seen = jaccard_join.Levels(percent), Counter()
+        for n in range(60, 420):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            found = jaccard_join.signatures(a, levels, a[:0])
+            seen.update(found.tolist())
+        assert max(seen.values()) == 1
+
+
+def test_tokens_of_a_fixed_number_of_documents_are_frequent_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 20)
+    tail = [" ".join(f"w{k}x{i}" for i in range(9)) for k in range(800)]
+    rows = [(k, f"{t} a common phrase here" if k % 10 == 0 else t) for k, t in enumerate(tail)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    phrase = set(jaccard_join.Shingler(3).tokens("a common phrase here").tolist())
+    assert set(jaccard_join.frequent_tokens(df, 3).tolist()) == phrase
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 1)
+    assert len(jaccard_join.frequent_tokens(df, 3)) <= 1
+
+
 def test_join_of_odd_rows(docs, none):
     rows = jaccard_join.jaccard_join(docs, "doc_id", F.col("text")).collect()
     found = {r.doc_id: r.component_id for r in rows}
