@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sftprep.functions import added as added_tokens
 from sftprep.functions.added import MAX_ADDED, AddedTokens, Trie
 from sftprep.functions.tokens import tokenize_literal
 from sftprep.operators.vocabulary import VOCAB_SCHEMA, Vocabulary
@@ -33,6 +34,34 @@ def test_the_trie_takes_the_leftmost_and_then_the_longest():
         Trie([""])
 
 
+def test_a_trie_of_many_tokens_takes_little_more_than_their_text():
+    import tracemalloc
+
+    rng = random.Random(9)
+    tokens = list({"".join(rng.choice("abcdefgß") for _ in range(rng.randrange(6, 16))) for _ in range(50_000)})
+    tracemalloc.start()
+    trie = Trie(tokens)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 16 << 20  # beside the tokens themselves
+    assert trie.cut(f"{tokens[5]} x{tokens[6]}") == plain_cut(f"{tokens[5]} x{tokens[6]}", tokens)
+
+
+def test_texts_cut_in_steps(spark, monkeypatch):
+    texts = ["aß b", None, "", "ßß", "x" * 40, "cßa"] * 30
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "key int, text string").coalesce(1)
+    for step in (1 << 19, 7):
+        monkeypatch.setattr(added_tokens, "STEP", step)
+        whole = df.withColumn("p", AddedTokens(["ß", "aß"]).cut(F.col("text")))
+        found = {r.key: r.p and [tuple(x) for x in r.p] for r in whole.collect()}
+        for k, t in enumerate(texts):
+            assert found[k] == (None if t is None else plain_cut(t, ["ß", "aß"]))
+    import pyarrow as pa
+
+    cut = added_tokens._cut(Trie(["ß", "aß"]), pa.array(texts))
+    assert [x and [(p["piece"], p["added"]) for p in x] for x in cut.to_pylist()] == [found[k] for k in range(len(texts))]
+
+
 def test_tokens_of_a_column(spark):
     added = AddedTokens(["<think>", "</think>", "한국", "한국어", " \n"])
     texts = ["a<think>b c</think> <thin", "x한국어y 한국", "", None, "<|im_end|> \nend", "<think><think>"]
