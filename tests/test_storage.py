@@ -76,3 +76,19 @@ def test_stored_tables_leave_no_shuffle_files(tmp_path):
     root = Path(__file__).resolve().parent.parent
     done = subprocess.run(args, cwd=root, capture_output=True, text=True, timeout=200)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_what_is_stored_goes_to_workers_in_small_batches(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    @F.arrow_udf("int")
+    def together(ids: pa.Array) -> pa.Array:
+        return pa.array([len(ids)] * len(ids), pa.int32())
+
+    df = spark.range(0, 100, 1, 1).select(together("id").alias("n"))
+    before = spark.conf.get(storage.BATCH_ROWS)
+    with storage.small_batches(spark, 30):
+        small = storage.stored(df, "small")
+    assert {r.n for r in small.collect()} == {30, 10} and spark.conf.get(storage.BATCH_ROWS) == before
+    assert {r.n for r in storage.stored(df, "whole").collect()} == {100}
